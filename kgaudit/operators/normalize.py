@@ -67,23 +67,13 @@ def project_prefixes(roots: DataFrame, paths: DataFrame) -> DataFrame:
     return found.select("flow_key", F.coalesce(top, F.lit("")).alias("prefix"))
 
 
-def in_project(path, prefix):
-    """True when ``path`` lies below ``prefix``; an empty prefix accepts all."""
-    p, q = F.upper(fx.slashes(path)), F.upper(fx.slashes(prefix))
-    return (q == "") | (p == q) | F.startswith(p, F.concat(q, F.lit("/")))
-
-
 def scope_edges(edges: DataFrame, prefixes: DataFrame, path_column: str) -> DataFrame:
-    """FIL-1: per prefix the edges whose path is in scope, flagged, not dropped.
+    """FIL-1: the edges in scope of every distinct prefix, ignoring case.
 
-    An edge path fixes its top folder, so scoping is an equi join on that folder; an
-    empty prefix takes every edge.
+    A prefix is a top folder, so only the leading substrings of a path's top folder can
+    equal it; they become equi-join keys. The empty prefix takes every edge.
     """
-    scopes = prefixes.select("prefix").distinct()
+    scopes = prefixes.select("prefix", F.upper("prefix").alias("_lead")).distinct()
     top = F.upper(F.substring_index(fx.slashes(path_column), "/", 1))
-    named = edges.withColumn("_top", top).join(
-        scopes.where("prefix <> ''").withColumn("_top", F.upper("prefix")), "_top"
-    ).where(in_project(path_column, "prefix")).drop("_top")
-    open_scope = scopes.where("prefix = ''").limit(1)
-    everything = edges.join(open_scope, F.lit(True), "inner")
-    return named.unionByName(everything)
+    leads = F.transform(F.sequence(F.lit(0), F.length(top)), lambda n: F.substring(top, F.lit(1), n))
+    return edges.withColumn("_lead", F.explode(leads)).join(scopes, "_lead").drop("_lead")

@@ -75,7 +75,7 @@ def join_3(t):
     return diff.missing_pairs(*sides(t))
 
 
-LAST = "list_last(list_filter(list_transform(string_split({x}, '::'), p -> trim(p)), p -> p <> ''))"
+LAST = "list_last(list_filter(list_transform(string_split({x}, '::'), lambda p: trim(p)), lambda p: p <> ''))"
 
 
 @query("join_4", f"""WITH sites AS (SELECT {LAST.format(x='caller')} AS caller, {LAST.format(x='callee')} AS callee,

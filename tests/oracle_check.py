@@ -20,7 +20,7 @@ def spark_session():
 
     spark = (
         SparkSession.builder.master("local[8]").appName("kgaudit-check")
-        .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
