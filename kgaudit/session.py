@@ -56,25 +56,25 @@ def ordinal(
     is an integer column; a null counts as zero.
     """
     cols = df.columns
-    ranged = df.withColumn("_chunk", F.floor(F.coalesce(F.col(seq), F.lit(0)) / F.lit(chunk)))
-    sizes = ranged.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
+    ranged = df.withColumn("_ord_range", F.floor(F.coalesce(F.col(seq), F.lit(0)) / F.lit(chunk)))
+    sizes = ranged.groupBy(*keys, "_ord_range").agg(F.count(F.lit(1)).alias("_ord_rows"))
     before = (
-        Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys).orderBy("_ord_range").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = sizes.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_chunk").alias("_k_chunk"),
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
+        *[F.col(k).alias(f"_ord_key_{k}") for k in keys],
+        F.col("_ord_range").alias("_ord_range_k"),
+        F.coalesce(F.sum("_ord_rows").over(before), F.lit(0)).alias("_ord_offset"),
     )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(
+    inside = Window.partitionBy(*keys, "_ord_range").orderBy(
         F.coalesce(F.col(seq), F.lit(0)), *[F.col(t) for t in ties]
     )
-    local = ranged.withColumn("_pos", F.row_number().over(inside))
-    cond = F.col("_chunk") == F.col("_k_chunk")
+    local = ranged.withColumn("_ord_pos", F.row_number().over(inside))
+    cond = F.col("_ord_range") == F.col("_ord_range_k")
     for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_ord_key_{k}"))
     return local.join(offsets, cond).select(
-        *cols, (F.col("_pos") + F.col("_offset")).cast("bigint").alias(out)
+        *cols, (F.col("_ord_pos") + F.col("_ord_offset")).cast("bigint").alias(out)
     )
 
 

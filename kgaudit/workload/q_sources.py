@@ -277,9 +277,9 @@ def fil_2(t):
     return lookup.lookup_files(t.wanted_names, t.code_index)
 
 
-@query("fil_3", "SELECT function_name, file_path, class_name, seq FROM code_index WHERE function_name = 'Red_bolt' AND class_name = 'TPROMO' ORDER BY file_path, class_name, seq LIMIT 10")
+@query("fil_3", "SELECT function_name, file_path, class_name, seq FROM code_index WHERE function_name = 'Red_bolt' AND class_name = 'TSMALL' ORDER BY file_path, class_name, seq LIMIT 10")
 def fil_3(t):
-    return lookup.search_functions(t.code_index, "Red_bolt", class_name="TPROMO").select("function_name", "file_path", "class_name", "seq")
+    return lookup.search_functions(t.code_index, "Red_bolt", class_name="TSMALL").select("function_name", "file_path", "class_name", "seq")
 
 
 @query("fil_4", "SELECT function_name, file_path, class_name FROM code_index WHERE upper(function_name) = 'RED_BOLT' AND upper(class_name) = 'TSMALL'")
