@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kgaudit.session import shared_folder
+
 BASE = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -23,6 +25,12 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Derived tables that a user would hold as stored tables. They are computed from the
+# base tables once per session and folder, written to the shared folder and read back.
+STORED = {"kg_nodes", "kg_rels", "edges_a", "edges_b", "call_edges", "code_index"}
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
 def fixture(fn: Callable[[str], str]) -> Callable[[str], str]:
     """Register derived-table SQL; the argument is 'spark' or 'duckdb'."""
     FIXTURES[fn.__name__] = fn
@@ -60,11 +68,20 @@ class Tables:
                 deps = {d for d in refs(sql)}
                 sql = sql.replace("{", "{{").replace("}", "}}")
                 sql = _REF.sub(lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in deps else m[0], sql)
-                self._made[name] = self.spark.sql(sql, **{d: getattr(self, d) for d in deps})
+                derived = self.spark.sql(sql, **{d: getattr(self, d) for d in deps})
+                self._made[name] = self._stored(name, derived) if name in STORED else derived
             else:
                 raise AttributeError(name)
         return self._made[name]
 
+    def _stored(self, name: str, derived: DataFrame) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _WRITTEN:
+            path = shared_folder(self.spark, name)
+            derived.write.parquet(path)
+            _WRITTEN[key] = path
+        return self.spark.read.parquet(_WRITTEN[key])
+
 
 def refs(sql: str) -> list[str]:
     """Tables of ours that ``sql`` reads, in order of first use."""
