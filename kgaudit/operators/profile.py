@@ -29,8 +29,14 @@ def file_lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(lines_of("content")).alias("_p", "line")).select("path", (F.col("_p") + 1).alias("line_number"), "line")
 
 
+def line_count(content: Column | str) -> Column:
+    """TXT-16: number of lines of a file; a final line break starts no new line."""
+    lines = lines_of(content)
+    return F.size(lines) - F.when(F.element_at(lines, -1) == "", 1).otherwise(0)
+
+
 def loc(content: Column | str) -> Column:
-    """TXT-16: number of lines that are not blank."""
+    """Number of lines that are not blank, for AGG-12 and TOP-6."""
     return F.size(F.filter(lines_of(content), lambda x: fx.strip(x) != ""))
 
 

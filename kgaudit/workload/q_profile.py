@@ -25,9 +25,9 @@ def with_loc(t):
     return t.doc_files.withColumns({"loc": profile.loc("content"), "ext": fx.extension("path")})
 
 
-@query("txt_16", "SELECT doc_id, loc FROM ck_loc")
+@query("txt_16", "SELECT doc_id, len(l) - (l[-1] = '')::INT AS lines, loc FROM (SELECT doc_id, loc, string_split_regex(content, '\\r?\\n') AS l FROM ck_loc)")
 def txt_16(t):
-    return t.doc_files.select("doc_id", profile.loc("content").alias("loc"))
+    return t.doc_files.select("doc_id", profile.line_count("content").alias("lines"), profile.loc("content").alias("loc"))
 
 
 LANGS = "CASE ext " + " ".join(f"WHEN '{e}' THEN '{v}'" for e, v in fixed.EXTENSION_LANGUAGES.items()) + " END"
