@@ -243,7 +243,8 @@ def function_bodies(files: DataFrame, wanted: DataFrame, max_lines: int = 500) -
     Python files end a body at the first line indented no deeper than its ``def``; all
     others where the braces balance. A longer body keeps its first and last lines.
     """
-    rows = wanted.join(files.select("path", F.split("content", r"\r?\n").alias("lines")), "path")
+    named = wanted.where(fx.text("function_name") != "")
+    rows = named.join(files.select("path", F.split("content", r"\r?\n").alias("lines")), "path")
     ext = fx.extension("path")
     starts = F.filter(F.transform("lines", lambda line, i: F.when(defined_name(line, ext) == F.col("function_name"), i)), lambda i: i.isNotNull())
     rows = rows.withColumns({"start": F.get(starts, F.lit(0)), "total": F.size("lines")}).where("start IS NOT NULL")

@@ -142,7 +142,7 @@ def check_parity(items: DataFrame, declared: DataFrame) -> DataFrame:
 
 def apply_verdicts(parity: DataFrame, verdicts: DataFrame) -> DataFrame:
     """External match verdicts (legacy, status, new_file) over the checked items."""
-    last = verdicts.where(F.col("status").isin("migrated", "partial", "missing", "modified")).groupBy(F.col("legacy").alias("function_name")).agg(
+    last = verdicts.where(F.col("status").isin("migrated", "partial", "missing", "not_applicable")).groupBy(F.col("legacy").alias("function_name")).agg(
         F.max("status").alias("_status"), F.max("new_file").alias("_file"))
     out = parity.join(last, "function_name", "left")
     return out.withColumns({"status": F.coalesce("_status", "status"), "new_file": F.coalesce("_file", "new_file")}).select(*parity.columns)
