@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgaudit.functions import scalars as fx
-from kgaudit.session import first_per, ordinal
+from kgaudit.session import checkpointed, first_per, ordinal
 
 KEY6 = ["flow_key", "caller", "caller_class", "caller_file", "callee", "callee_class", "callee_file"]
 KEY4 = ["flow_key", "caller", "caller_file", "callee", "callee_file"]
@@ -86,25 +86,29 @@ def diff_edges(a: DataFrame, b: DataFrame) -> DataFrame:
     A row of tier ``full`` is a 6-part key, of the name-and-file tiers a key without
     classes, of all others a bare name pair. One name pair may be confirmed in the
     first two tiers at once.
+
+    The three key levels are each read several times, so each is checkpointed: the
+    edges are scanned and shuffled once.
     """
-    t6 = _tagged(a, b, KEY6)
-    t4 = _bare(
+    t6 = checkpointed(_tagged(a, b, KEY6))
+    t4 = checkpointed(_bare(
         t6.groupBy(*KEY4).agg(
             F.bool_or("in_a").alias("in_a"),
             F.bool_or("in_b").alias("in_b"),
             F.bool_or(F.col("in_a") & F.col("in_b")).alias("full"),
             F.bool_or(F.col("in_a") & ~F.col("in_b")).alias("rest"),
         )
-    )
+    ))
     bare_key = ["flow_key", "_bc", "caller_file", "_be", "callee_file"]
-    t4 = t4.join(t4.groupBy(*bare_key).agg(F.bool_or("in_b").alias("bare_b")), bare_key)
-    t2 = _bare(
+    t4 = t4.join(t4.where("in_b").select(*bare_key, F.lit(True).alias("bare_b")).distinct(), bare_key, "left")
+    t4 = checkpointed(t4.withColumn("bare_b", F.coalesce("bare_b", F.lit(False))))
+    t2 = checkpointed(_bare(
         t4.groupBy(*KEY2).agg(
             F.bool_or("in_a").alias("in_a"),
             F.bool_or("in_b").alias("in_b"),
             F.bool_or(F.expr("full OR (rest AND (in_b OR bare_b))")).alias("done"),
         )
-    )
+    ))
     bare_pairs = t2.groupBy("flow_key", "_bc", "_be").agg(
         F.bool_or("in_a").alias("bare_a"), F.bool_or("in_b").alias("bare_b")
     )
