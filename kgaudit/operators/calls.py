@@ -63,7 +63,7 @@ def _keyword_names(profile: Profile) -> Column:
 
 
 def mentioned_names(chunks: DataFrame, profiles: dict[str, Profile] = DEFAULT_PROFILES) -> DataFrame:
-    """Distinct (chunk_id, strategy, name) that a chunk may call, before any join.
+    """Distinct (chunk_id, strategy, name, is_self) that a chunk may call, before any join.
 
     Strategy 1 is a call with parentheses, 2 a call keyword, 3 a bare identifier.
     """
@@ -84,7 +84,7 @@ def mentioned_names(chunks: DataFrame, profiles: dict[str, Profile] = DEFAULT_PR
     bare = F.filter(without_self("_bare", "_all"), lambda x: F.length(x) >= SHORTEST_BARE_NAME)
 
     def tagged(strategy: int, names: Column) -> Column:
-        return F.transform(names, lambda x: F.struct(F.lit(strategy).alias("strategy"), x.alias("name")))
+        return F.transform(names, lambda x: F.struct(F.lit(strategy).alias("strategy"), x.alias("name"), (x == F.col("_me")).alias("is_self")))
 
     found = F.concat(tagged(1, without_self("_paren", "_paren")), tagged(2, F.array_distinct("_keyword")), tagged(3, bare))
     return prepared.select("chunk_id", F.inline(found))
@@ -103,11 +103,8 @@ def extract_calls(chunks: DataFrame, known: DataFrame, profiles: dict[str, Profi
 
     A form's name counts only after a call keyword, or as the chunk's own name.
     """
-    own = chunks.select("chunk_id", F.upper(fx.text("function_name")).alias("_me"))
-    hits = mentioned_names(chunks, profiles).join(known, "name")
-    plain = hits.where("NOT is_form OR strategy = 2")
-    recursive = hits.where("is_form AND strategy = 1").join(own, "chunk_id").where("name = _me").drop("_me")
-    best = plain.unionByName(recursive).groupBy("chunk_id", F.col("name").alias("callee")).agg(F.min("strategy").alias("strategy"))
+    hits = mentioned_names(chunks, profiles).join(known, "name").where("NOT is_form OR strategy = 2 OR (strategy = 1 AND is_self)")
+    best = hits.groupBy("chunk_id", F.col("name").alias("callee")).agg(F.min("strategy").alias("strategy"))
     score = F.when(F.col("strategy") == 1, PAREN_CALL).when(F.col("strategy") == 2, KEYWORD_CALL).otherwise(BARE_CALL)
     return best.select("chunk_id", "callee", score.alias("confidence"))
 

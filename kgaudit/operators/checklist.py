@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kgaudit.functions import scalars as fx
 from kgaudit.operators import graph as gr
+from kgaudit.session import checkpointed
 from kgaudit.sources import graph as g
 
 # The rules (item, title, category, priority).
@@ -55,23 +56,26 @@ class RunGraph:
     """The tables of one run that the rules read."""
 
     def __init__(self, nodes: DataFrame, rels: DataFrame, project_id: int, run_id: int):
+        # The rules read these small key tables many times; node attributes are read
+        # from the node table itself, only the columns a rule needs.
         self.flows = g.flow_keys(nodes, project_id, run_id)
-        self.members = g.participants(nodes, rels, self.flows)
+        members = g.participants(nodes, rels, self.flows)
+        self.members = checkpointed(members.select("flow_key", "key", "starts_flow", "execution_order"))
+        self.roots = self.members.where("starts_flow").select("key").distinct()
+        self.contained = checkpointed(g.contained_keys(rels, self.members))
         own = g.run_nodes(nodes, project_id, run_id)
-        reached = g.child_nodes(nodes, rels, self.members)
         # Children may lack a project; a node of the run is never listed twice.
-        self.nodes = own.unionByName(reached.join(own.select("key"), "key", "left_anti").select(*own.columns))
-        self.roots = self.members.where("starts_flow").select("key").distinct()
+        reached = checkpointed(g.child_keys(nodes, self.contained).join(own.select("key"), "key", "left_anti"))
+        self.nodes = own.unionByName(nodes.join(reached, "key", "left_semi").select(*own.columns))
         snippets = g.labelled(nodes, "Snippet")
         callers = snippets.where((F.col("project_id") == project_id) & (F.col("run_id") == run_id)).select(F.col("key").alias("src_key"))
         callees = snippets.select(F.col("key").alias("dst_key"))
-        self.calls = (
+        self.calls = checkpointed(
             rels.where("rel_type = 'CALLS'").join(callers, "src_key", "left_semi").join(callees, "dst_key", "left_semi")
             .select(F.col("src_key").alias("caller"), F.col("dst_key").alias("callee"), "execution_order", "global_execution_order")
         )
-        self.contained = g.contained_keys(rels, self.members)
         jobs = g.participants(nodes, rels, self.flows, label="Job")
-        self.job_steps = g.job_steps(nodes, rels, jobs)
+        self.job_steps = checkpointed(g.job_steps(nodes, rels, jobs))
 
     def labelled(self, label: str) -> DataFrame:
         return g.labelled(self.nodes, label)

@@ -140,17 +140,18 @@ def located_sites(sites: DataFrame, code_index: DataFrame) -> DataFrame:
     }).drop("_file", "_class")
 
 
-def _outgoing(nodes: DataFrame, sites: DataFrame) -> DataFrame:
+def _slotted(sites: DataFrame) -> DataFrame:
+    """Sites keyed for the nodes that may use them: under their caller's path, and under
+    '*' for nodes whose file is unknown."""
+    return sites.withColumn("slot", F.explode(F.array(F.col("caller_path"), F.lit("*"))))
+
+
+def _outgoing(nodes: DataFrame, slotted: DataFrame) -> DataFrame:
     """Call sites of (flow_key, prefix, node, node_file): those of the node's file or of
-    no file; all sites of the name when the node's file is unknown."""
-    at = nodes.withColumnsRenamed({"node": "caller_key"})
-    filed = sites.where("caller_path <> ''")
-    placed = at.where("node_file <> ''").withColumn("caller_path", _path_key("node_file"))
-    return (
-        placed.join(filed, ["caller_key", "caller_path"])
-        .unionByName(placed.drop("caller_path").join(sites.where("caller_path = ''"), "caller_key"))
-        .unionByName(at.where("node_file = ''").join(sites, "caller_key"))
-    )
+    no file; all sites of the name when the node's file is unknown. One equi join."""
+    slots = F.when(F.col("node_file") == "", F.array(F.lit("*"))).otherwise(F.array(_path_key("node_file"), F.lit("")))
+    at = nodes.withColumnRenamed("node", "caller_key").withColumn("slot", F.explode(slots))
+    return at.join(slotted, ["caller_key", "slot"])
 
 
 def _in_scope() -> Column:
@@ -168,7 +169,7 @@ def traverse(starts: DataFrame, sites: DataFrame, max_depth: int = MAX_TRAVERSAL
     """
     keys = ["flow_key", "prefix", "node", "node_file"]
     slim = sites.where("callee_key <> caller_key").select("caller_key", "caller_path", "callee_key", "callee_file").distinct()
-    slim = checkpointed(slim)
+    slim = checkpointed(_slotted(slim).drop("caller_path"))
     seeds = starts.select("flow_key", "prefix", fx.norm_name("start").alias("node"), fx.text("start_file").alias("node_file"))
 
     def advance(level: DataFrame) -> DataFrame:
@@ -176,7 +177,7 @@ def traverse(starts: DataFrame, sites: DataFrame, max_depth: int = MAX_TRAVERSAL
         return found.select("flow_key", "prefix", F.col("callee_key").alias("node"), F.col("callee_file").alias("node_file"))
 
     visited = reach(seeds, advance, keys, max_depth - 1)
-    edges = _outgoing(visited, sites)
+    edges = _outgoing(visited, _slotted(sites))
     return edges.select(
         "flow_key", F.col("caller_key").alias("caller"), F.coalesce(F.nullif("node_file", F.lit("")), F.col("caller_file")).alias("caller_file"), "caller_class",
         "callee", "callee_file", "callee_class", (F.col("depth") + 1).alias("depth"), _in_scope().alias("resolved"), "confidence", "seq",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,36 +12,33 @@ from pyspark.sql import functions as F
 ORDINAL_CHUNK = 1 << 20
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on reliable storage and cut its lineage.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local master without that setting (tests) gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a written table, below the checkpoint folder."""
-    import uuid
+    """A fresh folder on the storage all executors share.
 
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``. Only a local
+    master without that setting (tests) gets a folder of its own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
-        if not sc.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(base)
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
+
+    A lost executor then costs a re-read instead of the whole history, and later steps
+    prune columns in the scan.
+    """
+    path = shared_folder(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ordinal(
     df: DataFrame,
     keys: list[str],

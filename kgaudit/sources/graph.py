@@ -264,12 +264,17 @@ def topic_nodes(nodes: DataFrame, rels: DataFrame, project_id: int, run_id: int)
     )
 
 
+def child_keys(nodes: DataFrame, contained: DataFrame) -> DataFrame:
+    """Distinct keys of the nodes that fit one of the five child relations."""
+    keys = contained.where(F.col("rel_type").isin(list(CHILD_RELATIONS))).select("rel_type", F.col("child_key").alias("key"))
+    wanted = F.expr("CASE rel_type " + " ".join(f"WHEN '{r}' THEN '{t}'" for r, t in CHILD_RELATIONS.items() if r != "CONTAINS_INPUT") + " END")
+    fits = keys.distinct().join(nodes.select("key", "labels"), "key").where(wanted.isNull() | F.array_contains("labels", wanted))
+    return fits.select("key").distinct()
+
+
 def child_nodes(nodes: DataFrame, rels: DataFrame, members: DataFrame) -> DataFrame:
     """SRC-16: distinct child nodes, which may lack a project, reached from members."""
-    keys = contained_keys(rels, members).where(F.col("rel_type").isin(list(CHILD_RELATIONS))).select("rel_type", F.col("child_key").alias("key"))
-    wanted = F.expr("CASE rel_type " + " ".join(f"WHEN '{r}' THEN '{t}'" for r, t in CHILD_RELATIONS.items() if r != "CONTAINS_INPUT") + " END")
-    hits = keys.distinct().join(nodes, "key").where(wanted.isNull() | F.array_contains("labels", wanted)).select("key")
-    return nodes.join(hits, "key", "left_semi")
+    return nodes.join(child_keys(nodes, contained_keys(rels, members)), "key", "left_semi")
 
 
 def contained_keys(rels: DataFrame, members: DataFrame) -> DataFrame:

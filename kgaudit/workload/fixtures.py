@@ -171,7 +171,7 @@ def kg_nodes(d):
                file_name="CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'unit.pas' END",
                type="CASE WHEN c_custkey % 15 = 0 THEN 'ROOT' ELSE 'CHILD' END",
                root_type="CASE WHEN c_custkey % 30 = 0 THEN 'UI' END",
-               execution_order="CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_custkey % 23 END",
+               execution_order="CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_custkey % 13 END",
                topic="CASE WHEN c_custkey % 11 = 0 THEN '  ' WHEN c_custkey % 13 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN concat('Process ', c_mktsegment, ' data') WHEN c_custkey % 7 = 1 THEN concat('fast ', lower(c_mktsegment), ' build') ELSE concat('Validate ', c_mktsegment, ' ', CAST(c_custkey % 40 AS STRING)) END",
                business_summary="CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE concat('Checks ', c_mktsegment) END",
                short_summary="CASE WHEN c_custkey % 19 = 0 THEN '' ELSE c_mktsegment END",

@@ -9,7 +9,7 @@ from kgaudit.operators import chunking as ch
 from kgaudit.operators import graph as gr
 from kgaudit.operators import topics as tp
 from kgaudit.operators.normalize import resolve_aliases
-from kgaudit.session import shared_folder
+from kgaudit.session import checkpointed, shared_folder
 from kgaudit.sources import files as sf
 from kgaudit.workload.registry import fixture, query
 
@@ -50,6 +50,11 @@ def chunks(t):
     return ch.chunk_definitions(t.code_files)
 
 
+def chunk_table(t):
+    """The chunks as a stored table, for queries that read them several times."""
+    return checkpointed(chunks(t))
+
+
 @fixture
 def ck_chunks(d):
     """The expected chunks, from the file layout: four per file."""
@@ -162,22 +167,23 @@ def ck_extracted(d):
     return f"""SELECT chunk_id, name AS callee, CASE min(strategy) WHEN 1 THEN 0.7 WHEN 2 THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence FROM ck_mentions WHERE name IN {KNOWN} GROUP BY ALL"""
 
 
-def known(t):
-    return ca.known_names(chunks(t), ch.chunk_forms(t.form_files))
+def known(t, parts):
+    return ca.known_names(parts, ch.chunk_forms(t.form_files))
 
 
-def extracted(t):
-    return ca.extract_calls(chunks(t), known(t))
+def extracted(t, parts):
+    return ca.extract_calls(parts, known(t, parts))
 
 
 @query("txt_6", "SELECT * FROM ck_extracted")
 def txt_6(t):
-    return extracted(t)
+    return extracted(t, chunk_table(t))
 
 
 @query("join_15", f"SELECT chunk_id, name AS callee FROM ck_mentions WHERE strategy = 3 AND name IN {KNOWN}")
 def join_15(t):
-    return ca.contained_names(chunks(t), known(t))
+    parts = chunk_table(t)
+    return ca.contained_names(parts, known(t, parts))
 
 
 @fixture
@@ -194,20 +200,23 @@ def proposals(d):
    SELECT p.chunk_id, p.callee, greatest(0, least(1, p.confidence))::DOUBLE AS confidence FROM p JOIN c ON c.chunk_id = p.chunk_id
    WHERE name IN {KNOWN} AND list_contains(ids, name) AND (name <> me OR len(list_filter(w, lambda x: x = me)) > 1)""")
 def txt_7(t):
-    return ca.validate_proposals(t.proposals, chunks(t), known(t))
+    parts = chunk_table(t)
+    return ca.validate_proposals(t.proposals, parts, known(t, parts))
 
 
 @query("txt_8", f"""SELECT chunk_id, callee, confidence FROM ck_extracted WHERE confidence = 0.7 UNION ALL SELECT m.chunk_id, m.name, 0.55::DOUBLE FROM ck_mentions m
    WHERE m.strategy = 3 AND m.name IN {KNOWN} AND NOT EXISTS (SELECT 1 FROM ck_extracted e WHERE e.confidence = 0.7 AND e.chunk_id = m.chunk_id AND e.callee = m.name)""")
 def txt_8(t):
-    return ca.supplement_calls(extracted(t).where("confidence = 0.7"), chunks(t), known(t))
+    parts = chunk_table(t)
+    return ca.supplement_calls(extracted(t, parts).where("confidence = 0.7"), parts, known(t, parts))
 
 
 @query("txt_9", r"""WITH c AS (SELECT chunk_id, upper(function_name) AS me, regexp_extract_all(upper(content), '(\w+)\s*\(', 1) AS p, regexp_extract_all(upper(content), '\w+') AS w FROM ck_chunks),
    n AS (SELECT e.*, greatest(len(list_filter(p, lambda x: x = e.callee)) - (e.callee = me)::INT, 0) AS pc, greatest(len(list_filter(w, lambda x: x = e.callee)) - (e.callee = me)::INT, 1) AS bc FROM ck_extracted e JOIN c ON c.chunk_id = e.chunk_id)
    SELECT chunk_id, callee, confidence, unnest(range(1, CASE WHEN pc = 0 THEN bc ELSE pc END + 1)) AS site FROM n""")
 def txt_9(t):
-    return ca.expand_sites(extracted(t), chunks(t))
+    parts = chunk_table(t)
+    return ca.expand_sites(extracted(t, parts), parts)
 
 
 @query("txt_10", r"""SELECT chunk_id, string_agg(DISTINCT name, ',' ORDER BY name) AS callees FROM (SELECT chunk_id, unnest(list_concat(list_concat(regexp_extract_all(content, '\b([A-Za-z_]\w*)\s*\(', 1), regexp_extract_all(content, 'from\s+([A-Za-z_]\w*)\s+import', 1)), regexp_extract_all(content, 'import\s+([A-Za-z_]\w*)', 1))) AS name FROM ck_chunks) WHERE len(name) > 1 GROUP BY chunk_id""")
@@ -273,7 +282,7 @@ def join_13(t):
      UNION SELECT v.flow_key, s.cn, s.cpath, v.depth + 1 FROM v JOIN s ON s.n = v.n AND s.up = upper(v.path) WHERE s.cpath IS NOT NULL AND s.cn <> s.n AND v.depth < 50)
    SELECT flow_key, n AS node, path, min(depth) AS depth FROM v GROUP BY ALL""")
 def gra_14(t):
-    parts = gr.checkpointed(chunks(t))
+    parts = chunk_table(t)
     index = parts.select("function_name", F.col("path").alias("file_path"), "class_name", "line_start")
     sites = gr.located_sites(ca.fresh_sites(parts), index)
     starts = t.region.join(t.code_files, F.col("r_regionkey") == F.col("k")).selectExpr("concat('F', r_regionkey) AS flow_key", "concat('H', r_regionkey) AS start", "path AS start_file", "'' AS prefix")
@@ -307,7 +316,8 @@ def fil_15(t):
 
 @query("agg_22", "SELECT count(DISTINCT path) AS files, count(*) AS chunks, count(*) AS functions, (SELECT count(*) FROM ck_extracted) AS edges FROM ck_chunks")
 def agg_22(t):
-    return ch.index_stats(chunks(t), extracted(t))
+    parts = chunk_table(t)
+    return ch.index_stats(parts, extracted(t, parts))
 
 
 @query("agg_27", "SELECT 'definitions' AS method, count(*) AS chunks, floor(avg(len(content)))::BIGINT AS mean_chars FROM ck_chunks UNION ALL SELECT 'files', count(*), floor(avg(len(content)))::BIGINT FROM code_files")
