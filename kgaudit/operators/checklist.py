@@ -6,6 +6,7 @@ may fail for a third of the graph.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -110,46 +111,51 @@ def misplaced_roots(r: RunGraph) -> DataFrame:
     return placed.join(flow, "flow_key").where(rule).select("key")
 
 
-def rule_failures(r: RunGraph) -> DataFrame:
-    """QR-2..17: (item_id, key) of every failure."""
+def rule_failures(r: RunGraph, items: set[int] | None = None) -> DataFrame:
+    """QR-2..17: (item_id, key) of every failure, of all rules or of ``items``."""
     found: list[DataFrame] = []
 
-    def add(item: int, df: DataFrame) -> None:
-        found.append(df.select(F.lit(item).alias("item_id"), "key"))
+    def wanted(item: int) -> bool:
+        return items is None or item in items
+
+    def add(numbers: tuple[int, ...], rows: Callable[[], DataFrame]) -> None:
+        numbers = tuple(n for n in numbers if wanted(n))
+        if numbers:
+            found.append(rows().select(F.explode(F.array(*map(F.lit, numbers))).alias("item_id"), "key"))
+
+    def keys_of(df: DataFrame, column: str) -> DataFrame:
+        return df.where(F.col(column).isNotNull()).select(F.col(column).alias("key"))
 
-    marker = r.nodes.agg(F.count_if(F.array_contains("labels", "Snippet")).alias("n")).where("n = 0")
-    add(1, marker.select(F.lit("Snippet").alias("key")))
     # Attribute rules share one pass over the nodes.
-    is_snippet = F.array_contains("labels", "Snippet")
-    blank = fx.is_blank
-    attribute_rules = [
-        (2, F.col("execution_order").isNull()), (4, blank("name")), (5, is_snippet & blank("short_summary")), (6, is_snippet & blank("business_summary")),
-        (7, is_snippet & blank("snippet")), (8, blank("topic")), (9, is_snippet & blank("function_name")),
-        (11, F.col("visual_imagery_data").isNull() & (is_snippet | F.array_contains("labels", "Step"))),
-    ]
-    hits = F.array_compact(F.array(*[F.when(cond, F.lit(item)) for item, cond in attribute_rules]))
-    found.append(r.nodes.select(F.explode(hits).alias("item_id"), "key"))
-
-    add(3, r.nodes.join(r.roots, "key", "left_semi").where(fx.is_blank("root_type")))
-    variables = r.contained.where("rel_type = 'Contains_variable'").select("child_key").unionByName(
-        r.job_steps.where("variable_key IS NOT NULL").select(F.col("variable_key").alias("child_key"))).select(F.col("child_key").alias("key")).distinct()
-    add(10, r.labelled("Variable").join(variables, "key", "left_semi").where(fx.is_blank("meaning")))
-    db_calls = r.contained.where("rel_type = 'CONTAINS_DB_CALLS'").select(F.col("child_key").alias("key")).distinct()
-    add(12, r.labelled("DBCall").join(db_calls, "key", "left_semi").where("table_names IS NULL"))
-    lone = gr.orphans(r.labelled("Snippet"), r.roots, r.calls)
-    add(13, lone)
-    add(14, r.calls.where("global_execution_order IS NULL AND execution_order IS NULL").select(r.call_name()))
-    add(15, r.labelled("Snippet").join(r.members.select("key"), "key", "left_anti"))
-    add(16, r.labelled("DBCall").join(db_calls, "key", "left_anti"))
-    with_steps = r.job_steps.where("step_key IS NOT NULL").select(F.col("job_key").alias("key")).distinct()
-    add(22, r.job_steps.select(F.col("job_key").alias("key")).distinct().join(with_steps, "key", "left_anti"))
-    add(23, r.labelled("Variable").join(variables, "key", "left_anti"))
-    add(24, duplicate_orders(r))
-    add(25, unordered_calls(r))
-    add(26, misplaced_roots(r))
-    add(27, lone)
-    add(28, r.labelled("Snippet").select("key").join(gr.closure(r.roots, r.calls), "key", "left_anti"))
-    add(29, r.flows.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("ExecutionFlow").alias("key")))
+    is_snippet, blank = F.array_contains("labels", "Snippet"), fx.is_blank
+    attribute_rules = {
+        2: F.col("execution_order").isNull(), 4: blank("name"), 5: is_snippet & blank("short_summary"), 6: is_snippet & blank("business_summary"),
+        7: is_snippet & blank("snippet"), 8: blank("topic"), 9: is_snippet & blank("function_name"),
+        11: F.col("visual_imagery_data").isNull() & (is_snippet | F.array_contains("labels", "Step")),
+    }
+    checks = [F.when(cond, F.lit(item)) for item, cond in attribute_rules.items() if wanted(item)]
+    if checks:
+        found.append(r.nodes.select(F.explode(F.array_compact(F.array(*checks))).alias("item_id"), "key"))
+
+    variables = keys_of(r.contained.where("rel_type = 'Contains_variable'"), "child_key").unionByName(keys_of(r.job_steps, "variable_key")).distinct()
+    db_calls = keys_of(r.contained.where("rel_type = 'CONTAINS_DB_CALLS'"), "child_key").distinct()
+    with_steps = keys_of(r.job_steps.where("step_key IS NOT NULL"), "job_key").distinct()
+
+    add((1,), lambda: r.nodes.agg(F.count_if(is_snippet).alias("n")).where("n = 0").select(F.lit("Snippet").alias("key")))
+    add((3,), lambda: r.nodes.join(r.roots, "key", "left_semi").where(blank("root_type")))
+    add((10,), lambda: r.labelled("Variable").join(variables, "key", "left_semi").where(blank("meaning")))
+    add((12,), lambda: r.labelled("DBCall").join(db_calls, "key", "left_semi").where("table_names IS NULL"))
+    add((13, 27), lambda: gr.orphans(r.labelled("Snippet"), r.roots, r.calls))
+    add((14,), lambda: r.calls.where("global_execution_order IS NULL AND execution_order IS NULL").select(r.call_name()))
+    add((15,), lambda: r.labelled("Snippet").join(r.members.select("key"), "key", "left_anti"))
+    add((16,), lambda: r.labelled("DBCall").join(db_calls, "key", "left_anti"))
+    add((22,), lambda: keys_of(r.job_steps, "job_key").distinct().join(with_steps, "key", "left_anti"))
+    add((23,), lambda: r.labelled("Variable").join(variables, "key", "left_anti"))
+    add((24,), lambda: duplicate_orders(r))
+    add((25,), lambda: unordered_calls(r))
+    add((26,), lambda: misplaced_roots(r))
+    add((28,), lambda: r.labelled("Snippet").select("key").join(gr.closure(r.roots, r.calls), "key", "left_anti"))
+    add((29,), lambda: r.flows.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("ExecutionFlow").alias("key")))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -20,6 +20,7 @@ from kgaudit.session import checkpointed, first_per, ordinal
 MAX_TRAVERSAL_DEPTH = 50  # fixed value
 MAX_LISTING_DEPTH = 15  # fixed value
 LIST_PART = 1000
+LEVELS_PER_TABLE = 8
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -30,17 +31,21 @@ def reach(seeds: DataFrame, advance: Callable[[DataFrame], DataFrame], keys: lis
     """Nodes reached from ``seeds`` with their smallest depth.
 
     ``advance`` maps a level to its successors. Levels are disjoint, so the visited set
-    is their union and is never rewritten.
+    is their union; it is rewritten as one table only now and then, to keep deep
+    traversals from reading many small ones.
     """
     level = checkpointed(seeds.select(*keys).distinct().withColumn("depth", F.lit(0)))
-    levels = [level]
-    while max_depth is None or len(levels) <= max_depth:
+    levels, depth = [level], 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = advance(level).select(*keys).distinct()
         fresh = step.join(_union(levels).select(*keys), keys, "left_anti")
-        level = checkpointed(fresh.withColumn("depth", F.lit(len(levels))))
+        level = checkpointed(fresh.withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break
         levels.append(level)
+        if len(levels) > LEVELS_PER_TABLE:
+            levels = [checkpointed(_union(levels))]
     return _union(levels)
 
 

@@ -398,7 +398,7 @@ def _rule_query(items):
     wanted = ", ".join(map(str, items))
 
     def run(t):
-        return cl.rule_failures(run_graph(t)).where(F.col("item_id").isin(*items))
+        return cl.rule_failures(run_graph(t), set(items))
 
     return run, f"SELECT item_id, key FROM ck_failures WHERE item_id IN ({wanted})"
 
