@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgaudit.session import ordinal
@@ -69,11 +69,10 @@ def phases(foundation_and_backend: DataFrame, frontend: DataFrame) -> DataFrame:
     final = sums.agg(F.lit(1 << 40).alias("slot"), F.lit(0).cast("bigint").alias("items"),
                      F.greatest(F.coalesce(F.sum("hours"), F.lit(0.0)) * INTEGRATION_SHARE, F.lit(INTEGRATION_LEAST)).alias("hours"))
     listed = sums.unionByName(final)
-    earlier = listed.select(F.col("slot").alias("_s"))
     name = F.when(F.col("slot") == 0, "foundation").when(F.col("slot") == 1, "backend").when(F.col("slot") == 1 << 40, "integration").otherwise(F.concat(F.lit("frontend "), (F.col("slot") - 1).cast("string")))
-    # At most six rows: four kinds of phase, the front end in up to four batches.
-    numbered = listed.join(earlier, F.col("_s") <= F.col("slot")).groupBy("slot", "items", "hours").agg(F.count(F.lit(1)).alias("phase"))
-    return numbered.select("phase", name.alias("name"), "items", "hours")
+    # The window spans at most eight rows: up to five front-end batches and three others.
+    phase = F.row_number().over(Window.orderBy("slot")).cast("bigint")
+    return listed.select(phase.alias("phase"), name.alias("name"), "items", "hours")
 
 
 def roadmap_totals(phase_table: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Inventory, roadmap, parity, verdict and report queries: TXT-17..22/24..27, JOIN-17..19, AGG-5/15/16/18..20/24..26, QR-18..20/28..31, WIN-11/12, FIL-16, GRA-15."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kgaudit.functions import scalars as fx
@@ -294,9 +295,8 @@ def qr_29(t):
 
 @query("win_12", f"SELECT phase, name, sum(items) OVER (ORDER BY phase)::BIGINT AS items_so_far FROM {PHASES}")
 def win_12(t):
-    table = qr_29(t)
-    earlier = table.select(F.col("phase").alias("_p"), F.col("items").alias("_i"))
-    return table.join(earlier, F.col("_p") <= F.col("phase")).groupBy("phase", "name").agg(F.sum("_i").alias("items_so_far"))
+    so_far = F.sum("items").over(Window.orderBy("phase"))
+    return qr_29(t).select("phase", "name", so_far.alias("items_so_far"))
 
 
 @query("agg_19", f"SELECT count(*) AS phases, sum(items)::BIGINT AS items, round(sum(hours), 4)::DOUBLE AS total_hours FROM {PHASES}")
