@@ -87,3 +87,27 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     payload = F.struct(*rest) if rest else F.lit(1)
     best = df.groupBy(*keys).agg(F.min_by(payload, rank).alias("_best"))
     return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in rest]).select(*df.columns)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """1-based position of each row inside its key, in the ascending order of ``order``.
+
+    The rows are dealt out by ranges of (keys, order) and stored, then numbered inside each
+    range, and the row counts of the key's earlier ranges are added. So one key that owns most
+    of the table is spread over many tasks, whatever its values are. Nulls come first.
+    """
+    cols = df.columns
+    ranged = df.repartitionByRange(*keys, *order).withColumn("_num_range", F.spark_partition_id())
+    stored = checkpointed(ranged)
+    sizes = stored.groupBy(*keys, "_num_range").agg(F.count(F.lit(1)).alias("_num_rows"))
+    before = Window.partitionBy(*keys, F.lit(0)).orderBy("_num_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *[F.col(k).alias(f"_num_key_{k}") for k in keys], F.col("_num_range").alias("_num_range_k"),
+        F.coalesce(F.sum("_num_rows").over(before), F.lit(0)).alias("_num_offset"),
+    )
+    inside = Window.partitionBy(*keys, "_num_range").orderBy(*order)
+    local = stored.withColumn("_num_pos", F.row_number().over(inside))
+    same = F.col("_num_range") == F.col("_num_range_k")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_num_key_{k}"))
+    return local.join(offsets, same).select(*cols, (F.col("_num_pos") + F.col("_num_offset")).cast("bigint").alias(out))
