@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgaudit.llm import archive, exact_dedup
+from kgaudit.llm import archive, exact_dedup, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,30 @@ FROM p JOIN g USING (body)
 """)
 def op4(spark, sf_dir):
     return archive.archive_digest(table(spark, sf_dir, "pages"))
+
+
+@query("op6_source_mixing", r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM d GROUP BY source),
+w AS (SELECT source, source_size, (no - 1) % 3 + 1 AS weight, 3 * source_size AS most, no FROM s),
+r AS (
+  SELECT source_size, weight, most, no, most / weight AS ratio,
+    sum(source_size) OVER () AS words, sum(weight) OVER () AS weights,
+    coalesce(sum(most) OVER (ORDER BY most / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_words,
+    coalesce(sum(weight) OVER (ORDER BY most / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_weight
+  FROM w),
+l AS (SELECT min_by((words - full_words)::DOUBLE / (weights - full_weight)::DOUBLE, ratio) AS share FROM r WHERE weight * ((words - full_words) / (weights - full_weight)) <= most),
+t AS (SELECT source, source_size, least(weight * coalesce(share, 0), most::DOUBLE) AS target FROM w LEFT JOIN l ON true),
+p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS need,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CASE WHEN size = 0 THEN 0 ELSE (need // source_size) * size + greatest(least(need % source_size - start, size), 0) END::BIGINT AS taken
+FROM p
+""")
+def op6(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
