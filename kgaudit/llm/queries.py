@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgaudit.llm import archive, exact_dedup, mixing
+from kgaudit.llm import archive, exact_dedup, fingerprints, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,8 @@ FROM p
 """)
 def op6(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op7_fingerprints")
+def op7(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
