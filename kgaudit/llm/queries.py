@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kgaudit.llm import archive, exact_dedup, fingerprints, mixing
+from kgaudit.llm import archive, exact_dedup, fingerprints, mixing, packing, tokenizing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +83,13 @@ def op6(spark, sf_dir):
 @query("op7_fingerprints")
 def op7(spark, sf_dir):
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op1_token_counts")
+def op1(spark, sf_dir):
+    return tokenizing.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op10_packing")
+def op10(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
