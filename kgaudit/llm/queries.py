@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kgaudit.llm import archive, exact_dedup, fingerprints, mixing, packing, tokenizing
+from kgaudit.llm import archive, exact_dedup, fingerprints, mixing, near_dedup, packing, tokenizing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,8 @@ def op1(spark, sf_dir):
 @query("op10_packing")
 def op10(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op5_near_dedup")
+def op5(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
