@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kgaudit.llm import archive, exact_dedup, fingerprints, mixing, near_dedup, packing, tokenizing
+from kgaudit.llm import archive, exact_dedup, fingerprints, mixing, near_dedup, packing, quality, tokenizing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,9 @@ def op10(spark, sf_dir):
 @query("op5_near_dedup")
 def op5(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_classifier")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality_scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
