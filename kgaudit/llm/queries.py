@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kgaudit.llm import archive, exact_dedup, fingerprints, mixing, near_dedup, packing, quality, tokenizing
+from kgaudit.llm import archive, exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, quality, tokenizing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,9 @@ def op5(spark, sf_dir):
 def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.quality_scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op8_language_id")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_id.languages(docs, language_id.profiles(docs))
