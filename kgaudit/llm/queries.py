@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kgaudit.llm import archive, exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, quality, tokenizing
+from kgaudit.llm import archive, exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, quality, tokenizing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,9 @@ def op9(spark, sf_dir):
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return language_id.languages(docs, language_id.profiles(docs))
+
+
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
