@@ -22,6 +22,7 @@ MEMO_ENTRIES = 400_000
 
 # White space other than blank, tab and line feed; texts that hold some are not cut into pieces.
 _ODD_SPACE = re.compile("[\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+_RUN = re.compile("[ \n][ \n]|\t|[ \n]$")
 _PIECE = re.compile("[ \t\n]*[^ \t\n]+|[ \t\n]+")
 _LOADED: dict[str, object] = {}
 
@@ -105,28 +106,52 @@ def pieces(text: str) -> list[str] | None:
     The tokenizers' rules never join the end of a word with the white space behind it, so
     the ids of the pieces, one after the other, are the ids of the text.
     """
-    return None if _ODD_SPACE.search(text) else _PIECE.findall(text)
+    if _ODD_SPACE.search(text):
+        return None
+    if "\x00" in text or _RUN.search(text):
+        return _PIECE.findall(text)
+    # Single blanks and line feeds only: each starts a piece.
+    return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
 
 
 class PieceMemo:
-    """Results for pieces of text that come again and again, in a table of bounded size."""
+    """Results for pieces of text that come again and again, in two tables of bounded size.
+
+    Pieces of the newer table stay known for another generation when it is full.
+    """
 
     def __init__(self, tokenizer, result, entries: int = MEMO_ENTRIES):
-        self.tokenizer, self.result, self.entries, self.known = tokenizer, result, entries, {}
+        self.tokenizer, self.result, self.entries, self.known, self.older = tokenizer, result, entries, {}, {}
 
     def of(self, texts: list[list[str]]) -> list[list]:
         """The results of each text's pieces."""
         if len(self.known) > self.entries:
-            self.known = {}
-        new = list({p for t in texts for p in t if p not in self.known})
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for piece in {p for t in texts for p in t}.difference(known):
+            if piece in older:
+                known[piece] = older[piece]
+            else:
+                new.append(piece)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = self.result(e.ids)
-        known = self.known
+                known[piece] = self.result(e.ids)
         return [[known[p] for p in t] for t in texts]
 
 
+_MEMOS: dict[tuple, PieceMemo] = {}
+
+
+def piece_memo(path: str, result) -> PieceMemo:
+    """The memo of a file and a result function, kept by the worker from task to task."""
+    key = (path, result.__name__)
+    if key not in _MEMOS:
+        _MEMOS[key] = PieceMemo(load_tokenizer(path), result)
+    return _MEMOS[key]
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK_CHARS) -> DataFrame:
     """Tokens of every whole text: doc_id, n_bytes, n_tokens, over_limit.
 
@@ -142,7 +167,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
         tokenizer = load_tokenizer(path)
         if path.endswith(".model"):
             return lambda texts: [[len(tokenizer.encode(t, num_threads=1)) for t in texts]]
-        memo = PieceMemo(tokenizer, len)
+        memo = piece_memo(path, len)
 
         def count(texts: list[str]) -> list[list[int]]:
             cut = [pieces(t) if len(t) <= chunk else None for t in texts]
