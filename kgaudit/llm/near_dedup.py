@@ -20,10 +20,13 @@ WIDTH = 5
 # A pair of similarity 0.75 shares none of the bands with a probability of
 # (1 - 0.75^4)^48, about 1e-8.
 BANDS, ROWS = 48, 4
-# Buckets up to this size are compared fully; larger ones are split by further bands.
-SMALL = 32
-# Bands by which a large bucket is split again.
-SPLITS = 8
+# A bucket with up to this many members outside its largest component is compared fully, each
+# of them with all members; the others are split by further bands.
+SMALL = 64
+# Bands by which a large bucket is split again. Rows that are not linked share a band with a
+# probability under 0.75^4 = 0.316, so three of them shrink a bucket's rows at every level. A
+# linked pair shares about 15 first buckets, and all of them fail it with 1e-7 to 1e-5.
+SPLITS = 3
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 48) - 1)
@@ -123,10 +126,16 @@ def _bucketed(rows: DataFrame, level: int) -> DataFrame:
 
 
 def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Stored members, with their component, of buckets that hold several components and pairs not yet compared."""
+    """Stored members of buckets that hold several components and pairs not yet compared.
+
+    With each member's component, the bucket's largest one (``main``), and how many members
+    the bucket has outside it (``minor``).
+    """
     marked = members.filter("n > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    marked = checkpointed(marked)
-    mixed = checkpointed(marked.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket"))
+    marked = checkpointed(marked.select("bucket", "id", "component"))
+    parts = marked.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    whole = parts.groupBy("bucket").agg(F.sum("size").alias("n"), F.max("size").alias("most"), F.max_by("component", "size").alias("main"))
+    mixed = checkpointed(whole.filter("n > most").select("bucket", "main", (F.col("n") - F.col("most")).alias("minor")))
     return checkpointed(marked.join(mixed, "bucket"))
 
 
@@ -139,9 +148,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     of fewer words is one shingle, and a text without words has none and stands alone.
 
     Documents with equal sets are merged first. A band's bucket is compared with one of its
-    members only; where that leaves several components, a small bucket is compared fully and
-    a large one is split by further bands and treated in the same way. So no bucket's pairs
-    are ever listed, and none is cut off. Every link is confirmed on the full sets.
+    members only; where that leaves several components, members outside the largest one are
+    compared with all others if they are few, and else the bucket is split by further bands
+    and treated in the same way. So the pairs stay in proportion to a bucket's members, and
+    no bucket is cut off. Every link is confirmed on the full sets.
 
     Rows with a null id are linked with nothing and kept. Rows that repeat an id are one
     document with several texts. An empty table gives an empty result.
@@ -161,19 +171,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         waiting = _open_buckets(members, labels)
         if waiting.isEmpty():
             break
-        small = waiting.filter(F.col("n") <= SMALL)
-        one, other = small.select("bucket", "id", "component"), small.select("bucket", F.col("id").alias("other"), F.col("component").alias("other_component"))
-        inside = one.join(other, "bucket").filter("id < other AND component <> other_component").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+        small = waiting.filter(F.col("minor") <= SMALL)
+        one = small.filter("component <> main").select("bucket", "id", "component")
+        other = small.select("bucket", F.col("id").alias("other"), F.col("component").alias("other_component"))
+        inside = one.join(other, "bucket").filter("component <> other_component").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         found = verified(checkpointed(inside), sets, percent)
-        level += 1
         # Large buckets: a row for each of some further bands of the member, in a bucket of both.
-        large = waiting.filter(F.col("n") > SMALL).select("id", "bucket").join(classes.select("id", "bands"), "id")
-        turn = lambda i: F.pmod(F.xxhash64("bucket", F.lit(level)) + F.lit(i), F.lit(BANDS)).cast("int")
-        deeper = large.select("id", F.explode(F.array(*[F.xxhash64("bucket", F.col("bands")[turn(i)]) for i in range(SPLITS)])).alias("bucket")).distinct()
-        members = _bucketed(deeper, level)
-        found = found.union(verified(_stars(members), sets, percent))
-        links = checkpointed(links.union(found).distinct())
-        labels = components(links)
+        large, level = waiting.filter(F.col("minor") > SMALL).select("id", "bucket"), level + 1
+        more = not large.isEmpty()
+        if more:
+            turn = lambda i: F.pmod(F.xxhash64("bucket", F.lit(level)) + F.lit(i), F.lit(BANDS)).cast("int")
+            deeper = large.join(classes.select("id", "bands"), "id").select("id", F.explode(F.array(*[F.xxhash64("bucket", F.col("bands")[turn(i)]) for i in range(SPLITS)])).alias("bucket"))
+            members = _bucketed(deeper.distinct(), level)
+            found = checkpointed(found.union(verified(_stars(members), sets, percent)))
+        if not found.isEmpty():
+            links = checkpointed(links.union(found).distinct())
+            labels = components(links)
+        if not more:
+            break
     named = classes.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     # An id with several texts links the groups of all of them.
     if not classes.groupBy("id").count().filter("count > 1").isEmpty():
