@@ -13,7 +13,7 @@ from kgaudit.session import checkpointed, numbered
 # whole period are all different.
 GOLDEN, PERIOD = 1327217885, 1 << 31
 # Slots of one numbering task; rows of one source that one placing task takes.
-SLOT_CHUNK, PLACE_ROWS = 1 << 16, 20_000
+SLOT_CHUNK, PLACE_ROWS = 1 << 16, 1_000
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
