@@ -153,7 +153,7 @@ def fingerprint(digests: Column, cells: Column) -> Column:
     return F.concat(F.size(digests).cast("string"), F.lit(":"), F.array_join(F.transform(cells, part), ""))
 
 
-def with_next(docs: DataFrame, per_bucket: int = 8192, segments: int = 64) -> DataFrame:
+def with_next(docs: DataFrame, per_bucket: int = 2048, segments: int = 64) -> DataFrame:
     """doc_id, text, next_text: each document and the next one in descending order of ids.
 
     After the last document comes the first. A null id counts as the smallest; equal ids
@@ -168,7 +168,7 @@ def with_next(docs: DataFrame, per_bucket: int = 8192, segments: int = 64) -> Da
     bounds = sorted({*(cuts[0] or []), low} - {None}) if cuts else []
     if len(bounds) < 2:
         bounds = [bounds[0] if bounds else 0, (bounds[0] if bounds else 0) + 1]
-    runs = max(1, n // per_bucket // segments)
+    runs = n // (per_bucket * segments) + 1
     edges = F.array(*[F.lit(int(b)).cast("bigint") for b in bounds[:-1]], F.lit(int(bounds[-1])).cast("bigint") + 1)
     seg = F.greatest(F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))), F.lit(1))
     seg = F.least(seg, F.lit(len(bounds) - 1))
