@@ -66,10 +66,10 @@ def usable(patterns: tuple[str, ...], group: str = "name") -> list[str]:
 
 
 def from_table(table: DataFrame) -> dict[str, Profile]:
-    """Profiles from a table whose columns are the fields of ``Profile``."""
+    """Profiles from a table, one row per language, whose columns are the fields of ``Profile``."""
     names = [f for f in Profile.__dataclass_fields__ if f in table.columns]
     out = {}
-    for row in table.select(*names).limit(1000).collect():
+    for row in table.select(*names).collect():
         values = {n: tuple(row[n]) if isinstance(row[n], list) else row[n] for n in names if row[n] is not None}
         out[row["language"]] = Profile(**values)
     return out

@@ -234,11 +234,13 @@ def find_function(files: DataFrame, function_name: str) -> DataFrame:
     return named.where(F.col("name") == function_name).select("path", "line_number", fx.strip("line").alias("match"))
 
 
-def function_bodies(files: DataFrame, wanted: DataFrame, max_lines: int = 500) -> DataFrame:
+def function_bodies(files: DataFrame, wanted: DataFrame, max_lines: int | None = None, unbalanced: int | None = None) -> DataFrame:
     """TXT-12: body of each wanted (path, function_name), found inside the file's row.
 
     Python files end a body at the first line indented no deeper than its ``def``; all
-    others where the braces balance. A longer body keeps its first and last lines.
+    others where the braces balance, and else at the end of the file. For display only,
+    a body of more than ``max_lines`` lines can be reduced to its first and last ones, and one
+    whose braces never balance to ``unbalanced`` lines after the first.
     """
     named = wanted.where(fx.text("function_name") != "")
     rows = named.join(files.select("path", F.split("content", r"\r?\n").alias("lines")), "path")
@@ -267,12 +269,15 @@ def function_bodies(files: DataFrame, wanted: DataFrame, max_lines: int = 500) -
         return F.struct(depth.alias("depth"), (s["line"] + F.when(c == "\n", 1).otherwise(0)).alias("line"), opened.alias("open"), F.when(closed, s["line"]).otherwise(s["end"]).alias("end"))
 
     closing = F.aggregate(marks, state, step)["end"]
-    by_brace = F.when(closing >= 0, F.col("start") + closing).otherwise(F.least(F.col("start") + 100, F.col("total") - 1))
+    by_brace = F.when(closing >= 0, F.col("start") + closing).otherwise(F.col("total") - 1 if unbalanced is None else F.least(F.col("start") + unbalanced, F.col("total") - 1))
     rows = rows.withColumn("stop", F.when(ext == ".py", by_indent).otherwise(by_brace))
     body = F.slice("lines", F.col("start") + 1, F.col("stop") - F.col("start") + 1)
-    half = max_lines // 2
-    short = F.concat(F.slice(body, 1, half), F.array(F.concat(F.lit("// ... ("), (F.size(body) - max_lines).cast("string"), F.lit(" lines truncated) ..."))), F.slice(body, F.size(body) - half + 1, half))
-    return rows.select("path", "function_name", (F.col("start") + 1).alias("line_start"), (F.col("stop") + 1).alias("line_end"), F.array_join(F.when(F.size(body) > max_lines, short).otherwise(body), "\n").alias("body"))
+    shown = body
+    if max_lines is not None:
+        half = max_lines // 2
+        short = F.concat(F.slice(body, 1, half), F.array(F.concat(F.lit("// ... ("), (F.size(body) - max_lines).cast("string"), F.lit(" lines truncated) ..."))), F.slice(body, F.size(body) - half + 1, half))
+        shown = F.when(F.size(body) > max_lines, short).otherwise(body)
+    return rows.select("path", "function_name", (F.col("start") + 1).alias("line_start"), (F.col("stop") + 1).alias("line_end"), F.array_join(shown, "\n").alias("body"))
 
 
 def fresh_sites(chunks: DataFrame) -> DataFrame:

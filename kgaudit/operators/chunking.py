@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,22 +124,26 @@ _FORM = re.compile(r"object\s+(\w+)\s*:\s*(\w+)", re.IGNORECASE)
 _EVENT = re.compile(r"On\w+\s*=\s*(\w+)", re.IGNORECASE)
 
 
-def _forms(text: str) -> Iterator[tuple]:
-    """Top-level objects of a form file: (name, class, first line, last line, handlers)."""
-    depth, top, handlers = 0, None, {}
-    for number, raw in enumerate(text.splitlines(), 1):
-        line = raw.strip()
-        opened = _FORM.match(line) if depth == 0 else None
-        if opened:
-            depth, top, handlers = 1, (opened[1], opened[2], number), {}
-        elif depth and line.lower().startswith("object "):
-            depth += 1
-        elif depth and line.lower() == "end":
-            depth -= 1
-            if depth == 0:
-                yield (*top, number, list(handlers))
-        elif depth and (event := _EVENT.match(line)):
-            handlers[event[1]] = None
+def _forms(lines: list[str]) -> list[tuple]:
+    """Top-level objects of a form file: (name, class, first line, last line, handlers).
+
+    Nesting is a running sum of +1 for an object and -1 for an end, lifted by its lowest value
+    so far, so that surplus ends count for nothing. A top-level object runs from where the
+    sum leaves zero to where it is back; one that never ends, or has no name, is none.
+    """
+    bare = [line.strip() for line in lines]
+    words = [line.lower().split(None, 1) or [""] for line in bare]
+    change = np.array([(w[0] == "object" and len(w) > 1) - (w == ["end"]) for w in words], np.int64)
+    total = np.cumsum(change)
+    depth = total - np.minimum(np.minimum.accumulate(total), 0) if len(total) else total
+    before = np.concatenate(([0], depth[:-1])) if len(depth) else depth
+    first, last = np.flatnonzero((before == 0) & (depth == 1)), np.flatnonzero((before == 1) & (depth == 0))
+    found = []
+    for a, b in zip(first.tolist(), last.tolist()):
+        if named := _FORM.match(bare[a]):
+            events = [_EVENT.match(line) for line in bare[a + 1 : b]]
+            found.append((named[1], named[2], a + 1, b + 1, list(dict.fromkeys(e[1] for e in events if e))))
+    return found
 
 
 def chunk_forms(files: DataFrame) -> DataFrame:
@@ -148,7 +153,7 @@ def chunk_forms(files: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(batch["path"], batch["content"]):
                 lines = (content or "").splitlines()
-                rows += [(path, n, c, a, b, "\n".join(lines[a - 1:b]), h) for n, c, a, b, h in _forms(content or "")]
+                rows += [(path, n, c, a, b, "\n".join(lines[a - 1:b]), h) for n, c, a, b, h in _forms(lines)]
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in FORM_SCHEMA.split(", ")])
 
     forms = files.select("path", "content").mapInPandas(run, FORM_SCHEMA)
@@ -164,21 +169,28 @@ BLOCK = ArrayType(StructType([
 
 def match_blocks(text: str, rules: list[tuple]) -> list[tuple]:
     """Blocks of a text: each opener with the next unused closer of its rule, else the
-    end; WIN-14: a block that starts inside the last kept one is dropped."""
-    found = []
+    end; WIN-14: a block that starts inside the last kept one is dropped.
+
+    The k-th opener's closer is the k-th one at the earliest, plus as many as any opener so
+    far had to skip because they stand before it: a running maximum.
+    """
+    starts, stops, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     for kind, opener, closer in rules:
-        ends = [(m.start(), m.end()) for m in closer.finditer(text)]
-        at = 0
-        for m in opener.finditer(text):
-            while at < len(ends) and ends[at][0] <= m.start():
-                at += 1
-            found.append((m.start(), ends[at][1] if at < len(ends) else len(text), kind, m["name"]))
-            at += 1
-    kept, edge = [], 0
-    for block in sorted(found, key=lambda b: b[0]):
-        if block[0] >= edge:
-            kept.append(block)
-            edge = block[1]
+        opened = list(opener.finditer(text))
+        spans = np.array([m.span() for m in closer.finditer(text)], np.int64).reshape(-1, 2)
+        at, turn = np.array([m.start() for m in opened], np.int64), np.arange(len(opened))
+        skipped = np.searchsorted(spans[:, 0], at, "right") - turn
+        use = turn + np.maximum.accumulate(np.maximum(skipped, 0)) if len(turn) else turn
+        ends = np.append(spans[:, 1], len(text))
+        starts.append(at)
+        stops.append(ends[np.minimum(use, len(spans))])
+        names += [(kind, m["name"]) for m in opened]
+    start, stop = np.concatenate(starts), np.concatenate(stops)
+    order = np.argsort(start, kind="stable")
+    start, stop, kept, i = start[order], stop[order], [], 0
+    while i < len(start):
+        kept.append((int(start[i]), int(stop[i]), *names[order[i]]))
+        i = max(i + 1, int(np.searchsorted(start, stop[i], "left")))
     return kept
 
 
@@ -253,17 +265,18 @@ def register_udtf(spark, profiles: dict[str, Profile] = DEFAULT_PROFILES) -> Non
 # ------------------------------------------------------------------ reports
 
 
-def function_chunks(code_index: DataFrame, chunks: DataFrame, function_name: str, class_name: str | None = None, matches: int = 3, size: int = 3000) -> DataFrame:
-    """FIL-15: text of a function in at most ``matches`` indexed files, cut at ``size``
-    characters; a file without the chunk and an unknown function give an error row."""
+def function_chunks(code_index: DataFrame, chunks: DataFrame, function_name: str, class_name: str | None = None, matches: int | None = None, size: int | None = None) -> DataFrame:
+    """FIL-15: text of a function in its indexed files, whole unless ``matches`` limits the files
+    and ``size`` the characters; a file without the chunk and an unknown function give an error row."""
     from kgaudit.operators.lookup import search_index
 
-    hits = search_index(code_index, function_name, class_name).orderBy("file_path", "class_name").limit(matches)
+    hits = search_index(code_index, function_name, class_name).orderBy("file_path", "class_name")
+    hits = hits if matches is None else hits.limit(matches)
     own = chunks.where(F.upper("function_name") == function_name.upper().strip())
     if class_name:
         own = own.where(F.upper("class_name") == class_name.upper().strip())
     firsts = first_per(own.select(F.col("path").alias("file_path"), "line_start", "line_end", "content"), ["file_path"], [F.col("line_start")])
-    cut = F.when(F.length("content") > size, F.concat(F.substring("content", 1, size), F.lit("\n... (truncated, function too long)"))).otherwise(F.col("content"))
+    cut = F.col("content") if size is None else F.when(F.length("content") > size, F.concat(F.substring("content", 1, size), F.lit("\n... (truncated, function too long)"))).otherwise(F.col("content"))
     found = hits.join(firsts, "file_path", "left").select(
         "function_name", "file_path", "class_name", "line_start", "line_end", cut.alias("content"), F.when(F.col("content").isNull(), "no chunk").alias("error"))
     missing = hits.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(

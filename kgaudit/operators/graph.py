@@ -9,6 +9,7 @@ length, because one node may have a third of all edges.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 from kgaudit.functions import scalars as fx
 from kgaudit.session import checkpointed, first_per, ordinal
 
-MAX_TRAVERSAL_DEPTH = 50  # fixed value
-MAX_LISTING_DEPTH = 15  # fixed value
 LIST_PART = 1000
 LEVELS_PER_TABLE = 8
 
@@ -164,13 +163,14 @@ def _in_scope() -> Column:
     return (F.col("callee_file") != "") & ((F.col("prefix") == "") | inside)
 
 
-def traverse(starts: DataFrame, sites: DataFrame, max_depth: int = MAX_TRAVERSAL_DEPTH) -> DataFrame:
+def traverse(starts: DataFrame, sites: DataFrame, max_depth: int | None = None) -> DataFrame:
     """GRA-1: edges reached from the start functions of every flow.
 
     ``starts`` has (flow_key, start, start_file, prefix), ``sites`` comes from
     ``located_sites``. A function is visited once per (flow, name, file). Rows with
     ``resolved`` false are callees outside the scope or without a file. Depth starts at
-    1; ``seq`` orders the sites of a caller.
+    1; ``seq`` orders the sites of a caller. All depths are followed
+    unless ``max_depth`` is given.
     """
     keys = ["flow_key", "prefix", "node", "node_file"]
     slim = sites.where("callee_key <> caller_key").select("caller_key", "caller_path", "callee_key", "callee_file").distinct()
@@ -181,7 +181,7 @@ def traverse(starts: DataFrame, sites: DataFrame, max_depth: int = MAX_TRAVERSAL
         found = _outgoing(level.select(*keys), slim).where(_in_scope())
         return found.select("flow_key", "prefix", F.col("callee_key").alias("node"), F.col("callee_file").alias("node_file"))
 
-    visited = reach(seeds, advance, keys, max_depth - 1)
+    visited = reach(seeds, advance, keys, None if max_depth is None else max_depth - 1)
     edges = _outgoing(visited, _slotted(sites))
     return edges.select(
         "flow_key", F.col("caller_key").alias("caller"), F.coalesce(F.nullif("node_file", F.lit("")), F.col("caller_file")).alias("caller_file"), "caller_class",
@@ -278,16 +278,17 @@ def level_sizes(levels: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ trees
 
 
-def call_paths(edges: DataFrame, starts: DataFrame, max_depth: int = MAX_TRAVERSAL_DEPTH) -> DataFrame:
+def call_paths(edges: DataFrame, starts: DataFrame, max_depth: int | None) -> DataFrame:
     """GRA-6: rows of the call tree of every start, one per path.
 
     A callee already on its path is listed and not opened again. The number of paths
-    can grow exponentially with depth; pass distinct edges and a depth that fits.
+    can grow exponentially with depth, so the caller has to choose ``max_depth``; None
+    follows every path to its end.
     """
     adj = checkpointed(edges.select("flow_key", "caller", "callee", "exec_order"))
     level = starts.select("flow_key", F.col("node").alias("root"), F.col("node").alias("caller"), F.array("node").alias("path"))
     levels = []
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = level.join(adj, ["flow_key", "caller"]).select(
             "flow_key", "root", "caller", "callee", F.lit(depth).alias("depth"), "exec_order",
             F.array_contains("path", F.col("callee")).alias("cut"), F.concat("path", F.array("callee")).alias("path"))
@@ -299,28 +300,30 @@ def call_paths(edges: DataFrame, starts: DataFrame, max_depth: int = MAX_TRAVERS
     return _union(levels) if levels else step
 
 
-def tree_listing(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_LISTING_DEPTH) -> DataFrame:
+def tree_listing(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """GRA-7: lines of each flow's call listing with a sort key of sibling positions.
 
     A node is opened at its first place in listing order and marked ``recursive``
     wherever else it occurs. First places are found by passing the smallest sort key
     along the edges until nothing improves, so the table has one row per edge however
-    many paths there are. Exact on acyclic flows.
+    many paths there are. Exact on acyclic flows. Lines below ``max_depth`` are left out
+    if it is given.
     """
     adj = checkpointed(adjacency(edges).select("flow_key", "caller", "callee", F.col("rank").cast("int").alias("rank")))
     best = checkpointed(roots.select("flow_key", "node", F.array().cast("array<int>").alias("place"), F.array("node").alias("path")))
     changed = best
-    for _ in range(max_depth):
+    for _ in count() if max_depth is None else range(max_depth):
         offers = changed.withColumnRenamed("node", "caller").join(adj, ["flow_key", "caller"]).where(~F.array_contains("path", F.col("callee"))).select(
             "flow_key", F.col("callee").alias("node"), F.concat("place", F.array("rank")).alias("place"), F.concat("path", F.array("callee")).alias("path"))
-        offers = offers.where(F.size("place") <= max_depth).groupBy("flow_key", "node").agg(F.min_by(F.struct("place", "path"), "place").alias("o")).select("flow_key", "node", "o.*")
+        offers = offers.groupBy("flow_key", "node").agg(F.min_by(F.struct("place", "path"), "place").alias("o")).select("flow_key", "node", "o.*")
         known = best.select("flow_key", "node", F.col("place").alias("_known"))
         changed = checkpointed(offers.join(known, ["flow_key", "node"], "left").where("_known IS NULL OR place < _known").drop("_known"))
         if changed.isEmpty():
             break
         best = checkpointed(best.join(changed.select("flow_key", "node"), ["flow_key", "node"], "left_anti").unionByName(changed))
     own = best.select("flow_key", F.col("node").alias("callee"), F.col("place").alias("_own"))
-    lines = best.where(F.size("place") < max_depth).withColumnRenamed("node", "caller").join(adj, ["flow_key", "caller"]).select(
+    opened = best if max_depth is None else best.where(F.size("place") < max_depth)
+    lines = opened.withColumnRenamed("node", "caller").join(adj, ["flow_key", "caller"]).select(
         "flow_key", "caller", "callee", F.concat("place", F.array("rank")).alias("place"))
     listed = lines.join(own, ["flow_key", "callee"], "left").select(
         "flow_key", F.col("callee").alias("node"), "place", F.size("place").alias("depth"), (~F.col("place").eqNullSafe(F.col("_own"))).alias("recursive"))

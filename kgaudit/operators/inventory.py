@@ -115,10 +115,11 @@ def edge_layers(call_edges: DataFrame, layers: DataFrame) -> DataFrame:
     return out
 
 
-def layer_coupling(edges: DataFrame, n: int = 10) -> DataFrame:
-    """AGG-15: most frequent calls between different known layers."""
+def layer_coupling(edges: DataFrame, n: int | None = None) -> DataFrame:
+    """AGG-15: calls between different known layers, the ``n`` most frequent pairs if ``n`` is given."""
     crossing = edges.where("caller_layer <> callee_layer AND caller_layer <> 'unknown' AND callee_layer <> 'unknown'")
-    return crossing.groupBy("caller_layer", "callee_layer").agg(F.count(F.lit(1)).alias("edges")).orderBy(F.desc("edges"), "caller_layer", "callee_layer").limit(n)
+    pairs = crossing.groupBy("caller_layer", "callee_layer").agg(F.count(F.lit(1)).alias("edges")).orderBy(F.desc("edges"), "caller_layer", "callee_layer")
+    return pairs if n is None else pairs.limit(n)
 
 
 def file_inventory(code_index: DataFrame, sizes: DataFrame, layers: DataFrame) -> DataFrame:
@@ -224,12 +225,14 @@ def code_blocks(text: Column | str) -> Column:
     return F.when(F.size(bodies) == 0, F.array(fx.strip(fx.text(text)))).otherwise(bodies)
 
 
-def source_bundle(wanted: DataFrame, files: DataFrame, most: int = 5, size: int = 8000) -> DataFrame:
-    """TXT-27: one text per component of at most ``most`` files cut at ``size``
-    characters; ``wanted`` has (component, position, path)."""
+def source_bundle(wanted: DataFrame, files: DataFrame, most: int | None = None, size: int | None = None) -> DataFrame:
+    """TXT-27: one text per component of its files, whole unless ``most`` limits the files and
+    ``size`` the characters; ``wanted`` has (component, position, path)."""
     head = head_with_more(wanted, ["component"], ["position", "path"], most).select("component", "path", "position")
     joined = head.join(files.select("path", F.col("content").alias("_text")), "path", "left")
-    cut = F.when(F.length("_text") > size, F.concat(F.substring("_text", 1, size), F.lit("\n// ... truncated ..."))).otherwise(F.coalesce("_text", F.lit("(file not readable)")))
+    cut = F.coalesce("_text", F.lit("(file not readable)"))
+    if size is not None:
+        cut = F.when(F.length("_text") > size, F.concat(F.substring("_text", 1, size), F.lit("\n// ... truncated ..."))).otherwise(cut)
     section = F.concat(F.lit("=== "), F.col("path"), F.lit(" ===\n"), cut)
     lists = joined.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("position", section.alias("s")))).alias("_l"))
     return lists.select("component", F.array_join(F.transform("_l", lambda x: x["s"]), "\n\n").alias("bundle"))
@@ -264,8 +267,8 @@ def spec_counts(specs: DataFrame) -> DataFrame:
     return specs.groupBy("category").agg(F.count(F.lit(1)).alias("tests"))
 
 
-def functions_per_file(code_index: DataFrame, names: int = 10, files: int | None = None) -> DataFrame:
-    """AGG-26: first names of each file as text."""
+def functions_per_file(code_index: DataFrame, names: int | None = None, files: int | None = None) -> DataFrame:
+    """AGG-26: names of each file as text, the first ``names`` if given."""
     chosen = code_index
     if files:
         first = code_index.groupBy("file_path").agg(F.min("seq").alias("_s")).orderBy("_s", "file_path").limit(files)
@@ -275,10 +278,11 @@ def functions_per_file(code_index: DataFrame, names: int = 10, files: int | None
     return lists.select("file_path", F.array_join(F.transform("_l", lambda x: x["function_name"]), ", ").alias("functions"), "more")
 
 
-def fallback_specs(inventory: DataFrame, components: DataFrame, most: int = 20) -> DataFrame:
-    """QR-30: sanity tests of the first backend files and the first components."""
-    files = inventory.where("side = 'backend'").orderBy("path").limit(most).select(
+def fallback_specs(inventory: DataFrame, components: DataFrame, most: int | None = None) -> DataFrame:
+    """QR-30: sanity tests of the backend files and the components, the first ``most`` of each if given."""
+    head = lambda rows: rows if most is None else rows.limit(most)
+    files = head(inventory.where("side = 'backend'").orderBy("path")).select(
         F.concat(F.lit("test_"), fx.path_stem("path"), F.lit("_sanity")).alias("test_name"), F.lit("").alias("source_function"), F.col("path").alias("source_file"))
-    parts = components.orderBy("component_name").limit(most).select(
+    parts = head(components.orderBy("component_name")).select(
         F.concat(F.lit("test_"), "component_name", F.lit("_renders")).alias("test_name"), F.col("component_name").alias("source_function"), F.lit("").alias("source_file"))
     return files.unionByName(parts).withColumn("category", F.lit("sanity"))

@@ -22,14 +22,15 @@ def lookup_files(names: DataFrame, code_index: DataFrame) -> DataFrame:
     )
 
 
-def search_functions(chunks: DataFrame, function_name: str, class_name: str | None = None, file_path: str | None = None, limit: int = 10) -> DataFrame:
-    """FIL-3: exact metadata filter; absent predicates are not applied."""
+def search_functions(chunks: DataFrame, function_name: str, class_name: str | None = None, file_path: str | None = None, limit: int | None = None) -> DataFrame:
+    """FIL-3: exact metadata filter; absent predicates are not applied. ``limit`` keeps the first rows."""
     hits = chunks.where(F.col("function_name") == function_name)
     if class_name:
         hits = hits.where(F.col("class_name") == class_name)
     if file_path:
         hits = hits.where(F.col("file_path") == file_path)
-    return hits.orderBy("file_path", "class_name", "seq").limit(limit)
+    ordered = hits.orderBy("file_path", "class_name", "seq")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def search_index(code_index: DataFrame, function_name: str, class_name: str | None = None) -> DataFrame:
@@ -47,12 +48,13 @@ def outgoing_edges(call_edges: DataFrame, caller_name: str) -> DataFrame:
     )
 
 
-def list_functions(code_index: DataFrame, prefix: str | None = None, limit: int = 50) -> DataFrame:
-    """FIL-6: functions below a path prefix, in index order."""
+def list_functions(code_index: DataFrame, prefix: str | None = None, limit: int | None = None) -> DataFrame:
+    """FIL-6: functions below a path prefix, in index order. ``limit`` keeps the first rows."""
     found = code_index
     if prefix:
         found = found.where(F.startswith(F.upper(fx.slashes("file_path")), F.lit(prefix.upper())))
-    return found.orderBy("seq", "function_name", "file_path").limit(limit).select("function_name", "file_path", "class_name")
+    ordered = found.orderBy("seq", "function_name", "file_path").select("function_name", "file_path", "class_name")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def edges_like(call_edges: DataFrame, pattern: str) -> DataFrame:

@@ -15,9 +15,6 @@ from kgaudit.functions import fixed
 from kgaudit.functions import scalars as fx
 from kgaudit.session import ordinal
 
-SAMPLE_FILES = 8  # fixed value
-SAMPLE_LINES = 500  # fixed value
-
 
 def lines_of(content: Column | str) -> Column:
     """Lines of a text; a line ends at \\n or \\r\\n."""
@@ -144,34 +141,39 @@ def language_counts(code_index: DataFrame) -> DataFrame:
     return code_index.groupBy("language").agg(F.count(F.lit(1)).alias("functions"))
 
 
-def top_values(df: DataFrame, column: str, n: int = 5) -> DataFrame:
+def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
     """TOP-1: most frequent values; ties by value."""
     return df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(n)
 
 
-def duplicate_names(df: DataFrame, column: str, n: int = 10) -> DataFrame:
+def duplicate_names(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
     """AGG-13."""
-    return df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "value").limit(n)
+    found = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "value")
+    return found if n is None else found.limit(n)
 
 
-def largest_files(files: DataFrame, n: int = 15) -> DataFrame:
+def largest_files(files: DataFrame, n: int | None = None) -> DataFrame:
     """TOP-6."""
-    return files.select("path", "loc").orderBy(F.desc("loc"), "path").limit(n)
+    ordered = files.select("path", "loc").orderBy(F.desc("loc"), "path")
+    return ordered if n is None else ordered.limit(n)
 
 
-def head_with_more(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """TOP-4: first ``n`` rows per key and how many more the key has.
+def head_with_more(df: DataFrame, keys: list[str], order: list[str], n: int | None) -> DataFrame:
+    """TOP-4: first ``n`` rows per key (None: all) and how many more the key has.
 
     ``row_number <= n`` lets every task drop rows beyond ``n`` before the shuffle; the
     counts come from a separate partial aggregate.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    head = df.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
+    head = df.withColumn("position", F.row_number().over(w))
+    if n is None:
+        return head.withColumn("more", F.lit(0).cast("bigint"))
+    head = head.where(F.col("position") <= n)
     totals = df.groupBy(*keys).agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("more"))
     return head.join(totals, keys)
 
 
-def sample_files(files: DataFrame, by: str, n: int = SAMPLE_FILES) -> DataFrame:
+def sample_files(files: DataFrame, by: str, n: int | None = None) -> DataFrame:
     """TOP-5: smallest, largest and middle file of each group, then others by hash."""
     sized = files.select(by, "path", F.col("size").cast("bigint").alias("size"))
     placed = ordinal(sized, [by], "size", ["path"], "_pos")

@@ -9,7 +9,7 @@ from kgaudit.session import ordinal
 
 # Hours per complexity, caps and shares.
 HOURS = {"low": 2.0, "medium": 6.0, "high": 16.0, "very_high": 40.0}
-OTHER_HOURS, EMPTY_HOURS, MOST_HOURS, MOST_DEPENDENCIES = 6.0, 4.0, 80.0, 10
+OTHER_HOURS, EMPTY_HOURS, MOST_HOURS = 6.0, 4.0, 80.0
 INTEGRATION_SHARE, INTEGRATION_LEAST = 0.15, 8.0
 NAME_SUFFIXES = ["CONTROLLER", "SERVICE", "HANDLER", "PROVIDER", "REPOSITORY", "MANAGER"]
 
@@ -40,8 +40,8 @@ def backend_items(inventory: DataFrame) -> DataFrame:
         F.when(shared, "foundation").otherwise("backend").alias("kind"), "complexity")
 
 
-def item_dependencies(sources: DataFrame, related: DataFrame, most: int = MOST_DEPENDENCIES) -> DataFrame:
-    """QR-28: at most ``most`` related files per item (name, path) outside its sources."""
+def item_dependencies(sources: DataFrame, related: DataFrame, most: int | None = None) -> DataFrame:
+    """QR-28: related files per item (name, path) outside its sources, the first ``most`` if given."""
     from kgaudit.operators.profile import head_with_more
 
     found = sources.join(related, "path").select("name", F.col("related").alias("path")).distinct()

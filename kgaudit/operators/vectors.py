@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from kgaudit.functions import scalars as fx
 
-MAX_TOP_K = 20
 
 
 def chunk_key(path, cls, fn, line) -> Column:
@@ -71,10 +70,10 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, query: Column, k: int) -> DataFrame:
-    """TOP-2: the ``k`` nearest vectors by cosine distance, at most 20.
+    """TOP-2: the ``k`` nearest vectors by cosine distance.
 
     ``query`` is a literal array. Exact: one scan in which every task keeps its best
     ``k`` rows.
     """
     scored = vectors.withColumn("distance", cosine_distance(F.col("embedding"), query))
-    return scored.orderBy("distance", "vec_id").limit(min(k, MAX_TOP_K))
+    return scored.orderBy("distance", "vec_id").limit(k)

@@ -83,15 +83,15 @@ def verdict_summary(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
         *[F.count_if(F.col("v") == k).alias(k) for k in kinds])
 
 
-# Rows shown per section of a flow report.
-SECTION_ROWS = {"confirmed": 30, "phantom": 20, "missing": 20, "gap": 30}
+SECTIONS = ["confirmed", "phantom", "missing", "gap"]
 
 
-def flow_report(verified: DataFrame, gaps: DataFrame) -> DataFrame:
-    """QR-31: the listed rows of every section of each flow and how many more there are."""
+def flow_report(verified: DataFrame, gaps: DataFrame, shown: dict[str, int] | None = None) -> DataFrame:
+    """QR-31: the rows of every section of each flow; with ``shown``, so many of a section
+    and how many more there are."""
     rows = verified.select("flow_key", F.col("classification").alias("section"), "caller", "callee", "tier", "trust_score").unionByName(
         gaps.select("flow_key", F.lit("gap").alias("section"), "caller", "callee", F.lit("gap").alias("tier"), "trust_score"))
-    parts = [head_with_more(rows.where(F.col("section") == s), ["flow_key", "section"], ["caller", "callee", "tier", F.desc("trust_score")], n) for s, n in SECTION_ROWS.items()]
+    parts = [head_with_more(rows.where(F.col("section") == s), ["flow_key", "section"], ["caller", "callee", "tier", F.desc("trust_score")], (shown or {}).get(s)) for s in SECTIONS]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

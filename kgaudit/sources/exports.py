@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgaudit.functions import scalars as fx
-from kgaudit.session import ordinal
+from kgaudit.session import checkpointed, ordinal
 
 
 def without_nulls(props: Column | str) -> Column:
@@ -65,12 +67,13 @@ def flow_result_records(scores: DataFrame, verified: DataFrame, edges: DataFrame
     return header.unionByName(records(graph_rows)).unionByName(records(verdict_rows))
 
 
-def flatten_call_trees(documents: DataFrame, column: str, max_depth: int = 50) -> DataFrame:
+def flatten_call_trees(documents: DataFrame, column: str, max_depth: int | None = None) -> DataFrame:
     """SRC-29: nested ground truth to edges with depth.
 
     Each document is ``{"key", "function_name", "class_name", "file_name", "call_tree"}``
     with children under ``callees``. Trees are opened one level per step on the
-    executors; the driver only asks whether a level is empty.
+    executors and each level is stored, so a document is parsed once; the driver only asks
+    whether a level is empty. All levels are read unless ``max_depth`` is given.
     """
     def attr(v: str, path: str) -> Column:
         return F.expr(f"coalesce(try_variant_get({v}, '$.{path}', 'string'), '')")
@@ -80,11 +83,12 @@ def flatten_call_trees(documents: DataFrame, column: str, max_depth: int = 50) -
         attr("v", "key").alias("snippet_key"), attr("v", "function_name").alias("caller_func"), attr("v", "class_name").alias("caller_class"),
         attr("v", "file_name").alias("caller_file"), F.expr("try_variant_get(v, '$.call_tree', 'array<variant>')").alias("kids"))
     out = None
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = level.select("snippet_key", "caller_func", "caller_class", "caller_file", F.posexplode("kids").alias("position", "kid")).select(
             "snippet_key", "caller_func", "caller_class", "caller_file", attr("kid", "callee_function").alias("callee_func"),
             attr("kid", "callee_class").alias("callee_class"), attr("kid", "callee_file").alias("callee_file"),
             F.lit(depth).alias("depth"), "position", F.expr("try_variant_get(kid, '$.callees', 'array<variant>')").alias("kids"))
+        step = checkpointed(step)
         if step.isEmpty():
             break
         flat = step.drop("kids")

@@ -311,7 +311,7 @@ def src_20(t):
 @query("fil_15", """SELECT 'Red_bolt' AS function_name, file_path, class_name, 1 AS line_start, 2 AS line_end, concat('procedure ', function_name) AS content, CAST(NULL AS VARCHAR) AS error FROM code_index WHERE upper(function_name) = 'RED_BOLT' ORDER BY file_path, class_name LIMIT 3""")
 def fil_15(t):
     texts = t.code_index.selectExpr("file_path AS path", "function_name", "class_name", "1 AS line_start", "2 AS line_end", "concat('procedure ', function_name) AS content")
-    return ch.function_chunks(t.code_index, texts, "Red_bolt")
+    return ch.function_chunks(t.code_index, texts, "Red_bolt", matches=3, size=3000)
 
 
 @query("agg_22", "SELECT count(DISTINCT path) AS files, count(*) AS chunks, count(*) AS functions, (SELECT count(*) FROM ck_extracted) AS edges FROM ck_chunks")

@@ -213,7 +213,7 @@ def gra_5(t):
 def gra_6(t):
     edges = gr.adjacency(t.flow_calls).select("flow_key", "caller", "callee", "exec_order")
     starts = edges.select("flow_key", F.col("caller").alias("node")).distinct()
-    return gr.call_paths(edges, starts).withColumn("path", F.array_join("path", ">"))
+    return gr.call_paths(edges, starts, None).withColumn("path", F.array_join("path", ">"))
 
 
 @query("src_28", """WITH RECURSIVE adj AS (SELECT flow_key, caller, callee, min(exec_order) AS o FROM flow_calls GROUP BY ALL),

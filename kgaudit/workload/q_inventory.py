@@ -156,7 +156,7 @@ def join_17(t):
 @query("agg_15", """SELECT a.layer AS caller_layer, b.layer AS callee_layer, count(*) AS edges FROM app_edges e JOIN ck_layers a ON contains(e.caller,'::') AND a.path = string_split(e.caller,'::')[1] JOIN ck_layers b ON b.path = string_split(e.callee,'::')[1]
    WHERE a.layer <> b.layer AND a.layer <> 'unknown' AND b.layer <> 'unknown' GROUP BY ALL ORDER BY edges DESC, 1, 2 LIMIT 10""")
 def agg_15(t):
-    return inv.layer_coupling(inv.edge_layers(t.app_edges, layers(t)))
+    return inv.layer_coupling(inv.edge_layers(t.app_edges, layers(t)), 10)
 
 
 # ------------------------------------------------------------------ parsing
@@ -217,7 +217,7 @@ def txt_26(t):
    SELECT component, string_agg(concat('=== ', h.path, ' ===', chr(10), coalesce(s.content, '(file not readable)')), chr(10) || chr(10) ORDER BY rn) AS bundle FROM h LEFT JOIN new_sources s ON s.path = h.path GROUP BY component""")
 def txt_27(t):
     wanted = t.part.selectExpr("concat('C', p_partkey % 300) AS component", "p_partkey AS position", "concat('web/n', p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '.md' WHEN p_partkey % 7 = 0 THEN '.gone' ELSE '.ts' END) AS path")
-    return inv.source_bundle(wanted, t.new_sources)
+    return inv.source_bundle(wanted, t.new_sources, 5, 8000)
 
 
 @fixture
@@ -232,7 +232,7 @@ def agg_24(t):
 
 @query("agg_26", """SELECT file_path, string_agg(function_name, ', ' ORDER BY rn) AS functions, any_value(greatest(n - 10, 0)) AS more FROM (SELECT file_path, function_name, row_number() OVER (PARTITION BY file_path ORDER BY seq, function_name) AS rn, count(*) OVER (PARTITION BY file_path) AS n FROM app_index) WHERE rn <= 10 GROUP BY file_path""")
 def agg_26(t):
-    return inv.functions_per_file(t.app_index)
+    return inv.functions_per_file(t.app_index, 10)
 
 
 # ------------------------------------------------------------------ roadmap and parity
@@ -267,7 +267,7 @@ def qr_28(t):
    SELECT name, path AS dependency FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path) AS rn FROM d) WHERE rn <= 10""")
 def qr_28_dependencies(t):
     sources = t.components.where("path IS NOT NULL").select(F.col("component_name").alias("name"), "path").distinct()
-    return rm.item_dependencies(sources, inv.related_files(t.app_files))
+    return rm.item_dependencies(sources, inv.related_files(t.app_files), 10)
 
 
 BATCHED = """(SELECT *, floor((row_number() OVER (ORDER BY substr(name, 5)::BIGINT, name) - 1) / greatest(floor(count(*) OVER () / 3), 1))::BIGINT + 1 AS batch FROM ck_items WHERE kind = 'frontend')"""
@@ -350,7 +350,7 @@ def agg_18(t):
 @query("qr_30", f"""SELECT concat('test_', regexp_replace(regexp_replace(path, '^.*/', ''), '(.)[.][^.]*$', '\\1'), '_sanity') AS test_name, '' AS source_function, path AS source_file, 'sanity' AS category FROM (SELECT path FROM ck_inventory WHERE side='backend' ORDER BY path LIMIT 20)
    UNION ALL SELECT concat('test_', component_name, '_renders'), component_name, '', 'sanity' FROM (SELECT DISTINCT component_name FROM components ORDER BY 1 LIMIT 20)""")
 def qr_30(t):
-    return inv.fallback_specs(inventory(t), t.components.select("component_name").distinct())
+    return inv.fallback_specs(inventory(t), t.components.select("component_name").distinct(), 20)
 
 
 # ------------------------------------------------------------------ verdicts and reports
@@ -440,5 +440,5 @@ def agg_5(t):
    SELECT flow_key, section, caller, callee, tier, position, greatest(n - CASE section WHEN 'confirmed' THEN 30 ELSE 20 END, 0) AS more FROM k WHERE position <= CASE section WHEN 'confirmed' THEN 30 ELSE 20 END""")
 def qr_31(t):
     a, b = sides(t)
-    report = vd.flow_report(diff.diff_edges(a, b), diff.coverage_gaps(a, b, t.call_edges))
+    report = vd.flow_report(diff.diff_edges(a, b), diff.coverage_gaps(a, b, t.call_edges), {"confirmed": 30, "phantom": 20, "missing": 20, "gap": 30})
     return report.where("section <> 'gap'").select("flow_key", "section", "caller", "callee", "tier", "position", "more")

@@ -125,7 +125,7 @@ def txt_23(t):
 
 @query("agg_13", "SELECT function_name AS value, count(*) AS n FROM code_index GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, value LIMIT 10")
 def agg_13(t):
-    return profile.duplicate_names(t.code_index, "function_name")
+    return profile.duplicate_names(t.code_index, "function_name", 10)
 
 
 @query("agg_14", "SELECT count(DISTINCT CASE WHEN rel_type='PARTICIPATES_IN_FLOW' THEN src_key END) AS snippets, count(DISTINCT CASE WHEN rel_type='PARTICIPATES_IN_FLOW' THEN dst_key END) AS flows, count_if(rel_type='CALLS') AS calls FROM kg_rels")
@@ -136,7 +136,7 @@ def agg_14(t):
 
 @query("top_1", "SELECT 'callee' AS side, * FROM (SELECT callee AS value, count(*) AS n FROM call_edges GROUP BY 1 ORDER BY n DESC, value LIMIT 5) UNION ALL SELECT 'caller', * FROM (SELECT caller AS value, count(*) AS n FROM call_edges GROUP BY 1 ORDER BY n DESC, value LIMIT 5)")
 def top_1(t):
-    out = [profile.top_values(t.call_edges, c).select(F.lit(c).alias("side"), "value", "n") for c in ("callee", "caller")]
+    out = [profile.top_values(t.call_edges, c, 5).select(F.lit(c).alias("side"), "value", "n") for c in ("callee", "caller")]
     return out[0].unionByName(out[1])
 
 
@@ -160,12 +160,12 @@ def top_4(t):
    SELECT lang, path, role FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY role, md5(path)) AS rn FROM r) WHERE rn <= 8""")
 def top_5(t):
     files = t.doc_files.groupBy("lang", "path").agg(F.max("size").alias("size"))
-    return profile.sample_files(files, "lang")
+    return profile.sample_files(files, "lang", 8)
 
 
 @query("top_6", "SELECT path, loc FROM ck_loc ORDER BY loc DESC, path LIMIT 15")
 def top_6(t):
-    return profile.largest_files(with_loc(t))
+    return profile.largest_files(with_loc(t), 15)
 
 
 @query("top_7", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS rn FROM (SELECT DISTINCT n_regionkey, n_name FROM nation)) WHERE rn <= 10 GROUP BY n_regionkey")

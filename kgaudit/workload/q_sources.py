@@ -279,7 +279,7 @@ def fil_2(t):
 
 @query("fil_3", "SELECT function_name, file_path, class_name, seq FROM code_index WHERE function_name = 'Red_bolt' AND class_name = 'TSMALL' ORDER BY file_path, class_name, seq LIMIT 10")
 def fil_3(t):
-    return lookup.search_functions(t.code_index, "Red_bolt", class_name="TSMALL").select("function_name", "file_path", "class_name", "seq")
+    return lookup.search_functions(t.code_index, "Red_bolt", class_name="TSMALL", limit=10).select("function_name", "file_path", "class_name", "seq")
 
 
 @query("fil_4", "SELECT function_name, file_path, class_name FROM code_index WHERE upper(function_name) = 'RED_BOLT' AND upper(class_name) = 'TSMALL'")
@@ -294,7 +294,7 @@ def fil_5(t):
 
 @query("fil_6", "SELECT function_name, file_path, class_name FROM code_index WHERE starts_with(upper(file_path), 'SRC/BRAND_1') ORDER BY seq LIMIT 50")
 def fil_6(t):
-    return lookup.list_functions(t.code_index, "src/brand_1")
+    return lookup.list_functions(t.code_index, "src/brand_1", limit=50)
 
 
 @query("fil_8", "SELECT caller, callee, confidence FROM call_edges WHERE caller LIKE '%Small_gear%' OR callee LIKE '%Small_gear%'")
