@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import sys
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +12,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from kgaudit.llm.arrow import map_texts
 from kgaudit.llm.exprs import narrow
-from kgaudit.llm.tokenizing import load_tokenizer, piece_memo, pieces
+from kgaudit.llm.tokenizing import load_tokenizer, piece_ids, piece_memo, pieces
 from kgaudit.session import checkpointed
 
 WINDOW = 1024
@@ -78,11 +76,6 @@ def best_fit(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.
     return number, offset
 
 
-def id_bytes(ids: list[int]) -> bytes:
-    """Token ids as little-endian 32-bit numbers."""
-    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
-
-
 def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ids of each document and ``end_id``, cut into full windows and a rest.
 
@@ -92,7 +85,7 @@ def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int =
 
     def begin():
         tokenizer = load_tokenizer(path)
-        memo = piece_memo(path, id_bytes)
+        memo = piece_memo(path, piece_ids)
         end, step = np.array([end_id], "<u4").tobytes(), 4 * window
 
         def cut(texts: list[str]) -> list[list]:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
+from tokenizers import pre_tokenizers
 
 from kgaudit.llm.arrow import map_texts
 from kgaudit.llm.exprs import narrow
@@ -22,7 +24,8 @@ MEMO_ENTRIES = 400_000
 
 # White space other than blank, tab and line feed; texts that hold some are not cut into pieces.
 _ODD_SPACE = re.compile("[\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
-_RUN = re.compile("[ \n][ \n]|\t|[ \n]$")
+_ODD_ASCII = "\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_RUNS = ["\x00", "\t", "  ", "\n\n", " \n", "\n "]
 _PIECE = re.compile("[ \t\n]*[^ \t\n]+|[ \t\n]+")
 _LOADED: dict[str, object] = {}
 
@@ -106,9 +109,9 @@ def pieces(text: str) -> list[str] | None:
     The tokenizers' rules never join the end of a word with the white space behind it, so
     the ids of the pieces, one after the other, are the ids of the text.
     """
-    if _ODD_SPACE.search(text):
+    if any(c in text for c in _ODD_ASCII) if text.isascii() else _ODD_SPACE.search(text):
         return None
-    if "\x00" in text or _RUN.search(text):
+    if any(r in text for r in _RUNS) or text.endswith((" ", "\n")):
         return _PIECE.findall(text)
     # Single blanks and line feeds only: each starts a piece.
     return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
@@ -117,11 +120,12 @@ def pieces(text: str) -> list[str] | None:
 class PieceMemo:
     """Results for pieces of text that come again and again, in two tables of bounded size.
 
-    Pieces of the newer table stay known for another generation when it is full.
+    Pieces of the newer table stay known for another generation when it is full. ``encode``
+    turns a list of pieces into their results.
     """
 
-    def __init__(self, tokenizer, result, entries: int = MEMO_ENTRIES):
-        self.tokenizer, self.result, self.entries, self.known, self.older = tokenizer, result, entries, {}, {}
+    def __init__(self, encode, entries: int = MEMO_ENTRIES):
+        self.encode, self.entries, self.known, self.older = encode, entries, {}, {}
 
     def of(self, texts: list[list[str]]) -> list[list]:
         """The results of each text's pieces."""
@@ -129,26 +133,63 @@ class PieceMemo:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         new = []
-        for piece in {p for t in texts for p in t}.difference(known):
+        for piece in set().union(*texts).difference(known):
             if piece in older:
                 known[piece] = older[piece]
             else:
                 new.append(piece)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[piece] = self.result(e.ids)
-        return [[known[p] for p in t] for t in texts]
+            known.update(zip(part, self.encode(part), strict=True))
+        return [list(map(known.__getitem__, t)) for t in texts]
+
+
+def piece_lengths(path: str):
+    """A function from pieces to their numbers of tokens."""
+    tokenizer = load_tokenizer(path)
+    return lambda part: [len(e.ids) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+
+
+def piece_ids(path: str):
+    """A function from pieces to their ids as little-endian 32-bit numbers.
+
+    A byte-level vocabulary loses no byte, so words that start with white space and end without
+    can be encoded as one text; the bytes of its tokens tell where each word's ids end.
+    """
+    tokenizer = load_tokenizer(path)
+    lossless = tokenizer.normalizer is None and isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
+    special = set(tokenizer.get_added_tokens_decoder())
+    size = np.zeros(tokenizer.get_vocab_size(), np.int64)
+    for token, i in tokenizer.get_vocab().items():
+        size[i] = len(token.encode()) if i in special else len(token)  # one symbol stands for a byte
+
+    def encode(part: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = {}
+        words = [p for p in part if p[:1] in (" ", "\n") and not p[-1:].isspace()] if lossless else []
+        ids = np.array(tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4") if words else np.zeros(0, "<u4")
+        ends = np.cumsum(np.array([len(w.encode()) for w in words], np.int64))
+        reached = np.cumsum(size[ids])
+        stop = np.searchsorted(reached, ends) + 1
+        raw, start = ids.tobytes(), 0
+        for w, at in zip(words, (4 * stop).tolist(), strict=True):
+            out[w] = raw[start:at]
+            start = at
+        rest = [p for p in part if p not in out]
+        for p, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            out[p] = np.array(e.ids, "<u4").tobytes()
+        return [out[p] for p in part]
+
+    return encode
 
 
 _MEMOS: dict[tuple, PieceMemo] = {}
 
 
-def piece_memo(path: str, result) -> PieceMemo:
-    """The memo of a file and a result function, kept by the worker from task to task."""
-    key = (path, result.__name__)
+def piece_memo(path: str, kind) -> PieceMemo:
+    """The memo of a file and a kind of result (``piece_lengths``, ``piece_ids``), kept by the worker from task to task."""
+    key = (path, kind.__name__)
     if key not in _MEMOS:
-        _MEMOS[key] = PieceMemo(load_tokenizer(path), result)
+        _MEMOS[key] = PieceMemo(kind(path))
     return _MEMOS[key]
 
 
@@ -167,7 +208,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
         tokenizer = load_tokenizer(path)
         if path.endswith(".model"):
             return lambda texts: [[len(tokenizer.encode(t, num_threads=1)) for t in texts]]
-        memo = piece_memo(path, len)
+        memo = piece_memo(path, piece_lengths)
 
         def count(texts: list[str]) -> list[list[int]]:
             cut = [pieces(t) if len(t) <= chunk else None for t in texts]
