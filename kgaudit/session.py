@@ -8,10 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Rows of one key that a single window task may hold in ``ordinal``.
-ORDINAL_CHUNK = 1 << 20
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder on the storage all executors share.
 
@@ -39,41 +35,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ordinal(
-    df: DataFrame,
-    keys: list[str],
-    seq: str,
-    ties: list[str],
-    out: str,
-    chunk: int = ORDINAL_CHUNK,
-) -> DataFrame:
+def ordinal(df: DataFrame, keys: list[str], seq: str, ties: list[str], out: str) -> DataFrame:
     """1-based position of each row inside its key, ordered by ``seq`` then ``ties``.
 
-    Numbers rows per (key, range of ``seq``) and adds the row count of the earlier
-    ranges, so a key that owns most of the table is spread over many tasks. ``seq``
-    is an integer column; a null counts as zero.
+    ``seq`` is an integer column; a null counts as zero. A hot key is spread over many tasks,
+    also where ``seq`` is the same or small everywhere (see ``numbered``).
     """
     cols = df.columns
-    ranged = df.withColumn("_ord_range", F.floor(F.coalesce(F.col(seq), F.lit(0)) / F.lit(chunk)))
-    sizes = ranged.groupBy(*keys, "_ord_range").agg(F.count(F.lit(1)).alias("_ord_rows"))
-    before = (
-        Window.partitionBy(*keys).orderBy("_ord_range").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = sizes.select(
-        *[F.col(k).alias(f"_ord_key_{k}") for k in keys],
-        F.col("_ord_range").alias("_ord_range_k"),
-        F.coalesce(F.sum("_ord_rows").over(before), F.lit(0)).alias("_ord_offset"),
-    )
-    inside = Window.partitionBy(*keys, "_ord_range").orderBy(
-        F.coalesce(F.col(seq), F.lit(0)), *[F.col(t) for t in ties]
-    )
-    local = ranged.withColumn("_ord_pos", F.row_number().over(inside))
-    cond = F.col("_ord_range") == F.col("_ord_range_k")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_ord_key_{k}"))
-    return local.join(offsets, cond).select(
-        *cols, (F.col("_ord_pos") + F.col("_ord_offset")).cast("bigint").alias(out)
-    )
+    return numbered(df.withColumn("_ord_seq", F.coalesce(F.col(seq), F.lit(0))), keys, ["_ord_seq", *ties], out).select(*cols, out)
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

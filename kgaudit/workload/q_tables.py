@@ -447,17 +447,19 @@ def chg_4(t):
 # ------------------------------------------------------------------ streams
 
 
-@query("str_1", "SELECT chunk_key, content_hash, doc_id % 1 AS extra FROM edited_chunks")
+@query("str_1", "SELECT chunk_key, content_hash, CASE WHEN content_hash = md5(content) THEN 1 ELSE 0 END AS whole, 3 AS seq FROM edited_chunks")
 def str_1(t):
+    """Two versions of each chunk in one batch, and an old one that comes late."""
     spark, base = t.spark, shared_folder(t.spark, "reindex")
-    t.doc_chunks.drop("doc_id").write.parquet(f"{base}/in/v1")
-    schema = "chunk_key STRING, content_hash STRING, content STRING"
-    for version, source in ((1, None), (2, t.edited_chunks)):
-        if source is not None:
-            source.drop("doc_id").write.parquet(f"{base}/in/v{version}")
+    at = lambda df, seq: df.drop("doc_id").withColumn("seq", F.lit(seq).cast("bigint"))
+    stale = t.edited_chunks.withColumn("content", F.concat("content", F.lit(" stale"))).withColumn("content_hash", F.md5("content"))
+    schema = "chunk_key STRING, content_hash STRING, content STRING, seq BIGINT"
+    for version, rows in enumerate([at(t.doc_chunks, 1), at(t.edited_chunks, 3).unionByName(at(stale, 2)), at(stale, 0)], 1):
+        rows.write.parquet(f"{base}/in/v{version}")
         feed = spark.readStream.schema(schema).parquet(f"{base}/in/*")
         reindex.start_reindex(feed, f"{base}/table", f"{base}/offsets").awaitTermination()
-    return reindex.current_index(spark, f"{base}/table").select("chunk_key", "content_hash", F.lit(0).cast("bigint").alias("extra"))
+    whole = F.when(F.md5("content") == F.col("content_hash"), 1).otherwise(0).alias("whole")
+    return reindex.current_index(spark, f"{base}/table").select("chunk_key", "content_hash", whole, F.col("seq").cast("int").alias("seq"))
 
 
 @query("str_2", LATEST)

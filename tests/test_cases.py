@@ -108,7 +108,7 @@ def test_every_catalog_pair_is_confirmed_or_phantom(spark):
 def test_ordinal_equals_row_number_on_a_hot_key(spark):
     rows = [("hot" if i % 3 else "cold", (i * 7919) % 500, i) for i in range(900)]
     df = spark.createDataFrame(rows, "k STRING, s BIGINT, t INT")
-    got = {(r.t, r.n) for r in ordinal(df, ["k"], "s", ["t"], "n", chunk=16).collect()}
+    got = {(r.t, r.n) for r in ordinal(df, ["k"], "s", ["t"], "n").collect()}
     want = set()
     for key in ("hot", "cold"):
         ordered = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]))
@@ -116,6 +116,19 @@ def test_ordinal_equals_row_number_on_a_hot_key(spark):
     assert got == want
 
 
+def test_ordinal_splits_a_key_with_one_sequence_value(spark):
+    """One key owns all rows and ``seq`` is constant; the ties alone spread the rows."""
+    df = spark.range(4000).selectExpr("'k' AS k", "CAST(0 AS BIGINT) AS s", "(id * 7919) % 4000 AS t")
+    placed = ordinal(df, ["k"], "s", ["t"], "n")
+    assert placed.where("n <> t + 1").isEmpty() and placed.count() == 4000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranges = df.repartitionByRange("k", "s", "t").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(ranges) > 1
+
+
 def test_first_per(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, None)], "k STRING, o INT, v STRING")
     assert {tuple(r) for r in first_per(df, ["k"], [F.col("o")]).collect()} == {("a", 1, "y"), ("b", 5, None)}
