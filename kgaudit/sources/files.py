@@ -19,10 +19,12 @@ def is_source(path: Column | str, extensions: list[str]) -> Column:
 def scan_sources(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
     """SRC-20: (path, content, size, language) of every source file below ``root``.
 
-    Paths are filtered before a file's bytes are decoded; bad UTF-8 is replaced.
+    Files with other extensions are left out when the folders are listed. Those of ignored
+    folders are left out after reading, before their bytes are decoded; bad UTF-8 is replaced.
     """
     wanted = extensions or list(fixed.EXTENSION_LANGUAGES)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    ends = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e.lstrip(".")) for e in wanted]
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(ends) + "}").load(root)
     base = root.rstrip("/").removeprefix("file:")
     relative = F.regexp_replace("path", "^[a-z0-9]*:?/*" + "".join(c if c.isalnum() or c in "/_-" else "\\" + c for c in base.lstrip("/")) + "/", "")
     sources = found.withColumn("path", relative).where(is_source("path", wanted))

@@ -295,17 +295,17 @@ def gra_14(t):
 # ------------------------------------------------------------------ scan and reports
 
 
-@query("src_20", "SELECT 'python' AS language, count(*) AS files, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents")
+@query("src_20", "SELECT 'folder' AS top, sum(strlen(text) + 1)::BIGINT AS bytes, sum(strlen(text) + 1)::BIGINT AS decoded, count(*) AS lines FROM documents")
 def src_20(t):
-    """Documents written as source files, one folder of which a scan leaves out."""
+    """Documents written as source files; a scan leaves out one folder and other extensions."""
     root = shared_folder(t.spark, "tree")
     docs = t.documents.select(F.regexp_replace("text", "\r|\n", " ").alias("text"))
-    docs.write.format("text").save(f"{root}/src/plain")
+    docs.write.format("text").save(f"{root}/folder/plain")
+    docs.write.json(f"{root}/folder/other")
     docs.write.format("text").save(f"{root}/node_modules/skipped")
     found = sf.scan_sources(t.spark, root, [".txt"])
-    return found.agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("bytes"), F.sum(F.octet_length("content")).cast("bigint").alias("decoded")).select(
-        F.lit("python").alias("language"), F.lit(None).cast("bigint").alias("files"), "bytes").select(
-        "language", F.lit(t.documents.count()).alias("files"), "bytes")
+    lines = F.sum(F.size(F.split("content", "\n")) - 1).cast("bigint").alias("lines")
+    return found.groupBy(F.substring_index("path", "/", 1).alias("top")).agg(F.sum("size").alias("bytes"), F.sum(F.octet_length("content")).cast("bigint").alias("decoded"), lines)
 
 
 @query("fil_15", """SELECT 'Red_bolt' AS function_name, file_path, class_name, 1 AS line_start, 2 AS line_end, concat('procedure ', function_name) AS content, CAST(NULL AS VARCHAR) AS error FROM code_index WHERE upper(function_name) = 'RED_BOLT' ORDER BY file_path, class_name LIMIT 3""")

@@ -195,9 +195,11 @@ def txt_24_matches(t):
     return inv.parse_matches(t.replies)
 
 
-@query("agg_25", "SELECT CASE WHEN event_type IN ('unit') THEN 'unit' ELSE 'functional' END AS category, count(*) AS tests FROM events GROUP BY 1")
+@query("agg_25", "SELECT CASE event_id % 4 WHEN 0 THEN 'unit' WHEN 1 THEN 'sanity' WHEN 2 THEN 'functional' ELSE 'integration' END AS category, count(*) AS tests FROM events GROUP BY 1")
 def agg_25(t):
-    return inv.spec_counts(inv.parse_test_specs(t.replies, ["functional", "sanity", "integration", "unit"]))
+    kind = F.element_at(F.array(*map(F.lit, ["Unit", "sanity", "odd", "Integration"])), (F.col("key") % 4 + 1).cast("int"))
+    own = t.replies.withColumn("text", F.regexp_replace("text", r"category: \w+", F.concat(F.lit("category: "), kind)))
+    return inv.spec_counts(inv.parse_test_specs(own, ["functional", "sanity", "integration", "unit"]))
 
 
 @query("txt_25", """SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL ELSE props END AS json FROM events""")
@@ -342,9 +344,16 @@ def join_18(t):
     return parity(t)
 
 
-@query("agg_18", "SELECT count(*) AS total, count_if(status='migrated') AS migrated, 0 AS partial, count_if(status='missing') AS missing, round(count_if(status='migrated') / count(*) * 100, 6) AS coverage_pct FROM ck_parity")
+@fixture
+def parity_verdicts(d):
+    return """SELECT function_name AS legacy, CASE pk % 3 WHEN 0 THEN 'partial' WHEN 1 THEN 'unclear' ELSE 'missing' END AS status, '' AS new_file FROM legacy_items WHERE pk % 5 = 0"""
+
+
+@query("agg_18", """WITH v AS (SELECT legacy, max(status) AS s FROM parity_verdicts WHERE status IN ('migrated', 'partial', 'missing', 'not_applicable') GROUP BY legacy),
+   p AS (SELECT coalesce(v.s, k.status) AS status FROM ck_parity k LEFT JOIN v ON v.legacy = k.function_name)
+   SELECT count(*) AS total, count_if(status='migrated') AS migrated, count_if(status='partial') AS partial, count_if(status='missing') AS missing, round(count_if(status='migrated') / count(*) * 100, 6) AS coverage_pct FROM p""")
 def agg_18(t):
-    return rm.parity_summary(parity(t)).withColumn("coverage_pct", F.round("coverage_pct", 6))
+    return rm.parity_summary(rm.apply_verdicts(parity(t), t.parity_verdicts)).withColumn("coverage_pct", F.round("coverage_pct", 6))
 
 
 @query("qr_30", f"""SELECT concat('test_', regexp_replace(regexp_replace(path, '^.*/', ''), '(.)[.][^.]*$', '\\1'), '_sanity') AS test_name, '' AS source_function, path AS source_file, 'sanity' AS category FROM (SELECT path FROM ck_inventory WHERE side='backend' ORDER BY path LIMIT 20)
