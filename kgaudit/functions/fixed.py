@@ -11,14 +11,15 @@ EXTENSION_LANGUAGES = {
 # Folders that a source scan leaves out.
 IGNORED_FOLDERS = [".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".idea", ".vs", "bin", "obj", "target"]
 # File names and extensions that are not source code.
-SKIPPED_NAMES = (
-    "readme license licence makefile dockerfile changelog contributing authors .gitignore .gitattributes .editorconfig "
-    ".env .env.example repo-metadata.txt"
-).split()
-SKIPPED_EXTENSIONS = (
-    ".md .txt .json .xml .yaml .yml .toml .cfg .ini .csv .log .lock .svg .png .jpg .gif .ico .pdf .zip .tar .gz .exe .dll "
-    ".so .dylib .o .a .class .jar .war .pyc .pyo .whl .egg"
-).split()
+SKIPPED_NAMES = [
+    "readme", "license", "licence", "makefile", "dockerfile", "changelog", "contributing", "authors",
+    ".gitignore", ".gitattributes", ".editorconfig", ".env", ".env.example", "repo-metadata.txt",
+]
+SKIPPED_EXTENSIONS = [
+    ".md", ".txt", ".json", ".xml", ".yaml", ".yml", ".toml", ".cfg", ".ini", ".csv", ".log", ".lock", ".svg",
+    ".png", ".jpg", ".gif", ".ico", ".pdf", ".zip", ".tar", ".gz", ".exe", ".dll", ".so", ".dylib", ".o", ".a",
+    ".class", ".jar", ".war", ".pyc", ".pyo", ".whl", ".egg",
+]
 # Words that show the language of a file without a known extension.
 LANGUAGE_SIGNATURES = {
     "natural": ["DEFINE DATA", "END-DEFINE", "DEFINE SUBROUTINE", "END-SUBROUTINE", "DEFINE FUNCTION", "CALLNAT", "PERFORM ", "RESET ", "FETCH ", "INPUT USING MAP"],

@@ -26,10 +26,10 @@ SIMPLE_CALLS = {
     "java": [PAREN, r"new\s+([A-Za-z_]\w*)\s*\("],
     "javascript": [PAREN, r"require\s*\(\s*['\"]([A-Za-z_]\w*)['\"]"],
 }
-SKIP_NAMES = (
-    "def class if for while return print len str int float list dict set range open type isinstance super self "
-    "True False None Exception raise"
-).split()
+SKIP_NAMES = [
+    "def", "class", "if", "for", "while", "return", "print", "len", "str", "int", "float", "list", "dict", "set",
+    "range", "open", "type", "isinstance", "super", "self", "True", "False", "None", "Exception", "raise",
+]
 
 
 def clean_code(profiles: dict[str, Profile] = DEFAULT_PROFILES, content: str = "content") -> Column:

@@ -9,31 +9,46 @@ from kgaudit.functions import scalars as fx
 from kgaudit.operators.profile import head_with_more
 
 # What shows the layer of a file.
-PRESENTATION_EXTENSIONS = ".cshtml .aspx .ascx .razor .master .html .htm .jsx .tsx .vue .svelte .css .scss .less .sass .xaml .resx".split()
-DATA_NAMES = "repository repo dal dataaccess dbcontext migration entityframework dapper ado sqlhelper storage database dbwriter sqlite dbfactory".split()
-BUSINESS_NAMES = (
-    "service manager handler processor engine validator workflow rule policy usecase archiver communication runtime "
-    "server client plug timer channel converter condition"
-).split()
-CONFIG_NAMES = "startup program appsettings web.config global.asax bundleconfig webpack package.json tsconfig assemblyinfo app.config".split()
-PRESENTATION_FOLDERS = "views pages components ui frontend wwwroot designer visualcontrols controls design images".split()
-BUSINESS_FOLDERS = "controllers api endpoints communication runtime samples".split()
-DATA_FOLDERS = "data models entities dal repositories".split()
-SHARED_FOLDERS = "shared common utils helpers lib".split()
-VIEW_SUFFIXES = ".designer.cs form.cs control.cs usercontrol.cs dialog.cs window.cs view.cs panel.cs".split()
-MARKUP_EXTENSIONS = ".cshtml .aspx .ascx .razor .master .html .htm .jsx .tsx .vue .svelte .css .scss .less .sass .js .ts".split()
-ENDPOINT_WORDS = "get post put delete patch create update list fetch".split()
+PRESENTATION_EXTENSIONS = [
+    ".cshtml", ".aspx", ".ascx", ".razor", ".master", ".html", ".htm", ".jsx", ".tsx", ".vue", ".svelte", ".css",
+    ".scss", ".less", ".sass", ".xaml", ".resx",
+]
+DATA_NAMES = [
+    "repository", "repo", "dal", "dataaccess", "dbcontext", "migration", "entityframework", "dapper", "ado",
+    "sqlhelper", "storage", "database", "dbwriter", "sqlite", "dbfactory",
+]
+BUSINESS_NAMES = [
+    "service", "manager", "handler", "processor", "engine", "validator", "workflow", "rule", "policy", "usecase",
+    "archiver", "communication", "runtime", "server", "client", "plug", "timer", "channel", "converter",
+    "condition",
+]
+CONFIG_NAMES = [
+    "startup", "program", "appsettings", "web.config", "global.asax", "bundleconfig", "webpack", "package.json",
+    "tsconfig", "assemblyinfo", "app.config",
+]
+PRESENTATION_FOLDERS = ["views", "pages", "components", "ui", "frontend", "wwwroot", "designer", "visualcontrols", "controls", "design", "images"]
+BUSINESS_FOLDERS = ["controllers", "api", "endpoints", "communication", "runtime", "samples"]
+DATA_FOLDERS = ["data", "models", "entities", "dal", "repositories"]
+SHARED_FOLDERS = ["shared", "common", "utils", "helpers", "lib"]
+VIEW_SUFFIXES = [".designer.cs", "form.cs", "control.cs", "usercontrol.cs", "dialog.cs", "window.cs", "view.cs", "panel.cs"]
+MARKUP_EXTENSIONS = [
+    ".cshtml", ".aspx", ".ascx", ".razor", ".master", ".html", ".htm", ".jsx", ".tsx", ".vue", ".svelte", ".css",
+    ".scss", ".less", ".sass", ".js", ".ts",
+]
+ENDPOINT_WORDS = ["get", "post", "put", "delete", "patch", "create", "update", "list", "fetch"]
 # Declaration starts and words that are no names.
 DECLARATIONS = [
     "export function ", "export const ", "export async function ", "export default function ", "export class ", "export interface ",
     "function ", "async function ", "def ", "async def ", "class ", "public ", "private ", "protected ", "internal ", "interface ",
 ]
-KEYWORDS = (
-    "EXPORT FUNCTION ASYNC CONST LET VAR CLASS INTERFACE ENUM TYPE ABSTRACT STATIC READONLY OVERRIDE VIRTUAL SEALED PARTIAL "
-    "VOID BOOL INT STRING FLOAT DOUBLE LONG BYTE CHAR OBJECT DYNAMIC DECIMAL TASK DEF SELF RETURN PUBLIC PRIVATE PROTECTED "
-    "INTERNAL NEW STRUCT NAMESPACE USING IMPORT FROM EXTENDS IMPLEMENTS"
-).split()
-DECLARED_EXTENSIONS = ".ts .tsx .cs .py .js .jsx".split()
+KEYWORDS = [
+    "EXPORT", "FUNCTION", "ASYNC", "CONST", "LET", "VAR", "CLASS", "INTERFACE", "ENUM", "TYPE", "ABSTRACT",
+    "STATIC", "READONLY", "OVERRIDE", "VIRTUAL", "SEALED", "PARTIAL", "VOID", "BOOL", "INT", "STRING", "FLOAT",
+    "DOUBLE", "LONG", "BYTE", "CHAR", "OBJECT", "DYNAMIC", "DECIMAL", "TASK", "DEF", "SELF", "RETURN", "PUBLIC",
+    "PRIVATE", "PROTECTED", "INTERNAL", "NEW", "STRUCT", "NAMESPACE", "USING", "IMPORT", "FROM", "EXTENDS",
+    "IMPLEMENTS",
+]
+DECLARED_EXTENSIONS = [".ts", ".tsx", ".cs", ".py", ".js", ".jsx"]
 
 
 def words(items: list[str]) -> Column:

@@ -15,17 +15,19 @@ from kgaudit.functions import scalars as fx
 SIMILARITY_THRESHOLD = 0.85
 ALIGNMENT_THRESHOLD = 0.7
 JOURNEY_CONFIDENCE = 0.6
-GLUE_WORDS = (
-    "submit data record update process handle execute run call invoke fetch load save store get set "
-    "push pull send receive trigger"
-).split()
-APPROVED_VERBS = (
-    "validate verify calculate authorize check adjust notify generate approve reject route classify determine "
-    "evaluate assess retrieve identify confirm allocate assign resolve initiate complete cancel suspend transfer "
-    "reconcile aggregate transform enrich publish archive audit monitor schedule dispatch escalate review certify "
-    "register deactivate activate merge split encode decode authenticate renew close open create delete apply "
-    "compute derive map filter sort format parse convert extract inspect detect flag"
-).split()
+GLUE_WORDS = [
+    "submit", "data", "record", "update", "process", "handle", "execute", "run", "call", "invoke", "fetch",
+    "load", "save", "store", "get", "set", "push", "pull", "send", "receive", "trigger",
+]
+APPROVED_VERBS = [
+    "validate", "verify", "calculate", "authorize", "check", "adjust", "notify", "generate", "approve", "reject",
+    "route", "classify", "determine", "evaluate", "assess", "retrieve", "identify", "confirm", "allocate",
+    "assign", "resolve", "initiate", "complete", "cancel", "suspend", "transfer", "reconcile", "aggregate",
+    "transform", "enrich", "publish", "archive", "audit", "monitor", "schedule", "dispatch", "escalate", "review",
+    "certify", "register", "deactivate", "activate", "merge", "split", "encode", "decode", "authenticate",
+    "renew", "close", "open", "create", "delete", "apply", "compute", "derive", "map", "filter", "sort", "format",
+    "parse", "convert", "extract", "inspect", "detect", "flag",
+]
 
 
 def with_topic_key(nodes: DataFrame) -> DataFrame:
