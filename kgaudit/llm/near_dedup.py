@@ -6,6 +6,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
@@ -20,13 +21,13 @@ WIDTH = 5
 # A pair of similarity 0.75 shares none of the bands with a probability of
 # (1 - 0.75^4)^48, about 1e-8.
 BANDS, ROWS = 48, 4
-# A bucket with up to this many members outside its largest component is compared fully, each
-# of them with all members; the others are split by further bands.
+# In a bucket of up to this many members, each one outside its largest component is paired with
+# all others; larger buckets are compared block by block.
 SMALL = 64
-# Bands by which a large bucket is split again. Rows that are not linked share a band with a
-# probability under 0.75^4 = 0.316, so three of them shrink a bucket's rows at every level. A
-# linked pair shares about 15 first buckets, and all of them fail it with 1e-7 to 1e-5.
-SPLITS = 3
+# Members of a block in large buckets; blocks are compared with one another on full sets.
+BLOCK = 512
+# Shingles that a comparison of two blocks looks at together.
+_SLICE = 8192
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 48) - 1)
@@ -110,35 +111,98 @@ def _stars(members: DataFrame) -> DataFrame:
     return checkpointed(members.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
 
 
-def _bucketed(rows: DataFrame, level: int) -> DataFrame:
-    """Stored members (bucket, id, bands, pivot, n) of buckets with two rows or more.
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """Stored members (bucket, id, pivot, n) of buckets with two rows or more.
 
-    The pivot is the smallest id at first, so that a group of near copies costs one pair per
-    copy; in later levels it is any member, drawn by a hash, so that no document stands
-    between two others in all their buckets.
+    The pivot is the smallest id, so that a group of near copies costs one pair per copy.
     """
-    if level == 1:
-        pivot = F.min("id")
-    else:  # the smallest hash, with the id as its payload
-        pivot = F.min_by("id", F.xxhash64("id", "bucket"))
-    stats = checkpointed(rows.groupBy("bucket").agg(pivot.alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    stats = checkpointed(rows.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     return checkpointed(rows.join(stats, "bucket"))
 
 
 def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Stored members of buckets that hold several components and pairs not yet compared.
 
-    With each member's component, the bucket's largest one (``main``), and how many members
-    the bucket has outside it (``minor``).
+    With each member's component, the bucket's largest one (``main``), how many members
+    the bucket has (``members``), and its smallest id (``least``).
     """
     marked = members.filter("n > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     marked = checkpointed(marked.select("bucket", "id", "component"))
-    parts = marked.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-    whole = parts.groupBy("bucket").agg(F.sum("size").alias("n"), F.max("size").alias("most"), F.max_by("component", "size").alias("main"))
-    mixed = checkpointed(whole.filter("n > most").select("bucket", "main", (F.col("n") - F.col("most")).alias("minor")))
+    parts = marked.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"))
+    whole = parts.groupBy("bucket").agg(F.sum("size").alias("n"), F.max("size").alias("most"), F.max_by("component", "size").alias("main"), F.min("least").alias("least"))
+    mixed = checkpointed(whole.filter("n > most").select("bucket", "main", "least", F.col("n").alias("members")))
     return checkpointed(marked.join(mixed, "bucket"))
 
 
+def _block_links(percent: int):
+    """Function of one pair of blocks (first, second, block, id, component, items): links between components.
+
+    All rows of the first block are compared with all of the second by their full sets. Of the
+    links found, those that connect what the blocks' other links already connect are left out.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        items = table.column("items")
+        sizes = np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in items.chunks]).astype(np.int64)
+        values = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in items.chunks])
+        ids, component, block = (table.column(c).to_numpy() for c in ("id", "component", "block"))
+        left, right = np.flatnonzero(block == table.column("first")[0].as_py()), np.flatnonzero(block == table.column("second")[0].as_py())
+        _, number, held = np.unique(values, return_inverse=True, return_counts=True)
+        # Shingles of one row only are common to no pair.
+        place = np.cumsum(held > 1) - 1
+        owner = np.repeat(np.arange(len(ids)), sizes)[held[number] > 1]
+        number = place[number[held[number] > 1]]
+        order = np.argsort(number, kind="stable")
+        number, owner = number[order], owner[order]
+        common = np.zeros((len(left), len(right)), np.int64)
+        for start in range(0, int(number[-1]) + 1 if len(number) else 0, _SLICE):
+            lo, hi = np.searchsorted(number, [start, start + _SLICE])
+            has = np.zeros((len(ids), _SLICE), np.float32)
+            has[owner[lo:hi], number[lo:hi] - start] = 1
+            common += (has[left] @ has[right].T).astype(np.int64)
+        n, m = sizes[left][:, None], sizes[right][None, :]
+        close = (common * 100 >= (n + m - common) * percent) & (component[left][:, None] != component[right][None, :])
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        found = []
+        for i, j in np.argwhere(close).tolist():
+            x, y = top(int(component[left[i]])), top(int(component[right[j]]))
+            if x != y:
+                root[x] = y
+                found.append(sorted((int(ids[left[i]]), int(ids[right[j]]))))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return compare
+
+
+def _large_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Stored links between components of large buckets (id, component, least): all that are needed.
+
+    Buckets that share members make a family, so that each member's set moves with its family
+    and not with each of its buckets. A family's members outside its largest component
+    are cut into blocks of about ``BLOCK`` by a hash, and so are the others; each block of the
+    former meets every block. Rows grow with the blocks, not with the pairs.
+    """
+    families = components(large.select(F.col("id").alias("a"), F.col("least").alias("b"))).withColumnRenamed("component", "family")
+    rows = checkpointed(large.select("id", "component").distinct().join(families, "id"))
+    parts = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("size"))
+    stats = parts.groupBy("family").agg(F.sum("size").alias("n"), F.max("size").alias("most"), F.max_by("component", "size").alias("main"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    stats = checkpointed(stats.select("family", "main", blocks(F.col("n") - F.col("most")).alias("minors"), blocks(F.col("most")).alias("mains")))
+    at = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), n).cast("int")
+    outside = F.col("component") != F.col("main")
+    dealt = rows.join(stats, "family").withColumn("block", F.when(outside, at(F.col("minors"))).otherwise(F.col("minors") + at(F.col("mains"))))
+    others = F.sequence(F.lit(0), F.when(outside, F.col("minors") + F.col("mains")).otherwise(F.col("minors")) - 1)
+    dealt = dealt.withColumn("with", F.explode(others)).select("family", F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second"), "block", "id", "component")
+    met = checkpointed(dealt).join(sets.withColumnRenamed("doc_id", "id"), "id")
+    return checkpointed(met.groupBy("family", "first", "second").applyInArrow(_block_links(percent), "a bigint, b bigint"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of near duplicates: doc_id, n_shingles, component_id, kept.
 
@@ -149,9 +213,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     Documents with equal sets are merged first. A band's bucket is compared with one of its
     members only; where that leaves several components, members outside the largest one are
-    compared with all others if they are few, and else the bucket is split by further bands
-    and treated in the same way. So the pairs stay in proportion to a bucket's members, and
-    no bucket is cut off. Every link is confirmed on the full sets.
+    compared with all others: as pairs in a small bucket, and else block by block. No bucket is
+    cut off or sampled. Every link is confirmed on the full sets.
 
     Rows with a null id are linked with nothing and kept. Rows that repeat an id are one
     document with several texts. An empty table gives an empty result.
@@ -161,34 +224,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     classes = checkpointed(
         signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     )
-    level = 1
-    members = _bucketed(classes.select("id", F.explode("bands").alias("bucket")), level)
+    members = _bucketed(classes.select("id", F.explode("bands").alias("bucket")))
     near = checkpointed(members.select(F.col("id").alias("doc_id")).distinct())
     sets = shingle_sets(rows.join(near, "doc_id", "left_semi"))
     links = verified(_stars(members), sets, percent)
     labels = components(links)
-    while True:
-        waiting = _open_buckets(members, labels)
-        if waiting.isEmpty():
-            break
-        small = waiting.filter(F.col("minor") <= SMALL)
-        one = small.filter("component <> main").select("bucket", "id", "component")
-        other = small.select("bucket", F.col("id").alias("other"), F.col("component").alias("other_component"))
-        inside = one.join(other, "bucket").filter("component <> other_component").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        found = verified(checkpointed(inside), sets, percent)
-        # Large buckets: a row for each of some further bands of the member, in a bucket of both.
-        large, level = waiting.filter(F.col("minor") > SMALL).select("id", "bucket"), level + 1
-        more = not large.isEmpty()
-        if more:
-            turn = lambda i: F.pmod(F.xxhash64("bucket", F.lit(level)) + F.lit(i), F.lit(BANDS)).cast("int")
-            deeper = large.join(classes.select("id", "bands"), "id").select("id", F.explode(F.array(*[F.xxhash64("bucket", F.col("bands")[turn(i)]) for i in range(SPLITS)])).alias("bucket"))
-            members = _bucketed(deeper.distinct(), level)
-            found = checkpointed(found.union(verified(_stars(members), sets, percent)))
-        if not found.isEmpty():
-            links = checkpointed(links.union(found).distinct())
-            labels = components(links)
-        if not more:
-            break
+    waiting = _open_buckets(members, labels)
+    small = waiting.filter(F.col("members") <= SMALL)
+    one = small.filter("component <> main").select("bucket", "id", "component")
+    other = small.select("bucket", F.col("id").alias("other"), F.col("component").alias("other_component"))
+    inside = one.join(other, "bucket").filter("component <> other_component").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    found = verified(checkpointed(inside), sets, percent)
+    large = waiting.filter(F.col("members") > SMALL)
+    if not large.isEmpty():
+        found = found.union(_large_links(large, sets, percent))
+    if not found.isEmpty():
+        links = checkpointed(links.union(found).distinct())
+        labels = components(links)
     named = classes.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     # An id with several texts links the groups of all of them.
     if not classes.groupBy("id").count().filter("count > 1").isEmpty():

@@ -161,6 +161,18 @@ def test_near_duplicates(corpus, monkeypatch):
     assert sorted(map(tuple, got)) == brute_groups(rows)
 
 
+def test_near_duplicates_in_large_mixed_buckets(corpus, monkeypatch):
+    """Couples just above the limit, all in large buckets of one family just under it."""
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    core = [f"c{k}" for k in range(400)]
+    rows = []
+    for i in range(300):
+        shared, own = [f"p{i // 2}_{k}" for k in range(39)], [f"o{i}_{k}" for k in range(67)]
+        rows.append((i, " ".join(core + shared + own)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(corpus(rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(300)}
+
+
 def test_near_duplicates_odd_ids(corpus):
     text = "one two three four five six seven"
     got = near_dedup.near_duplicates(corpus([(None, text), (4, text), (4, text), (4, "other words here"), (9, "other words here")])).collect()
