@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 from kgaudit.llm.arrow import map_texts
-from kgaudit.llm.exprs import narrow
+from kgaudit.llm.exprs import fold, narrow
 from kgaudit.llm.hashing import mix, run_hashes
 from kgaudit.llm.learning import labelled_sample, sigmoid, with_fold
 
@@ -25,6 +25,7 @@ HIDDEN = 32
 SLICES = 64
 _VOCAB = WORDS + SHAPES
 _STEP = 1 << 22
+_TOGETHER = 1 << 16
 
 
 def _byte_classes() -> np.ndarray:
@@ -81,14 +82,16 @@ def add_contexts(table: np.ndarray, text: str, place: np.ndarray, sign: np.ndarr
     for o in range(1, REACH + 1):
         pairs += [(words[:-o], words[o:]), (words[o:], words[:-o]), (words[:-o], shapes[o:]), (words[o:], shapes[:-o])]
     for to, of in pairs:
-        np.add.at(flat, (to[:, None] * DIM + place[of]).ravel(), sign[of].ravel())
+        for at in range(0, len(to), _TOGETHER):  # bounds the memory of a long text
+            some, by = to[at : at + _TOGETHER], of[at : at + _TOGETHER]
+            np.add.at(flat, (some[:, None] * DIM + place[by]).ravel(), sign[by].ravel())
 
 
-def word_vectors(sample: DataFrame) -> np.ndarray:
-    """Vectors of all words: their normalised context in ``sample`` and their own index vector.
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """Vectors of all words: their normalised context in the texts of ``docs`` and their own index vector.
 
     Each task adds up a table of its own; the tables are summed slice by slice. A table has
-    ``WORDS`` rows, whatever the sample holds.
+    ``WORDS`` rows, whatever the texts hold.
     """
     place, sign = index_vectors()
 
@@ -107,7 +110,7 @@ def word_vectors(sample: DataFrame) -> np.ndarray:
         return pa.table({"slice": table.column("slice")[:1], "part": pa.array([part.tobytes()], pa.binary())})
 
     kind = "slice int, part binary"
-    rows = sample.select("text").mapInArrow(contexts, kind).groupBy("slice").applyInArrow(total, kind).collect()  # SLICES rows
+    rows = docs.select("text").mapInArrow(contexts, kind).groupBy("slice").applyInArrow(total, kind).collect()  # SLICES rows
     table = np.zeros((_VOCAB, DIM), np.float32)
     for r, part in zip(sorted(rows, key=lambda r: r["slice"]), np.array_split(np.arange(_VOCAB), SLICES), strict=False):
         table[part] = np.frombuffer(r["part"], np.float32).reshape(-1, DIM)
@@ -155,7 +158,7 @@ class Network:
 def fit_network(x: np.ndarray, y: np.ndarray, prior: float, seed: int = 7, epochs: int = 40, batch: int = 128, rate: float = 3e-3, decay: float = 1e-4) -> Network:
     """Fit by Adam on a part of the rows, then calibrate the temperature on the others.
 
-    ``prior`` is the share of label 1 among all labelled rows; rows are weighted so that the
+    ``prior`` is the share of label 1 among the labelled rows outside the held-out fold; rows are weighted so that the
     sample's own balance doesn't matter. With one label only, or no row, the network is constant.
     """
     n = x.shape[1]
@@ -208,17 +211,19 @@ class QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE, label: str = "quality", folds: int = FOLDS, held: int = HELD, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """A model of ``label``, from at most ``each`` labelled documents of either label outside the held-out fold.
 
-    Word vectors and pooled features are made by Spark's tasks; the driver gets the table of
-    word vectors and a row of features per sampled document.
+    Word vectors come from the texts of all documents, without labels. They and the pooled
+    features are made by Spark's tasks; the driver gets the table of word vectors and a row of
+    features per sampled document.
     """
     sample = labelled_sample(docs, labels, label, folds, held, each, id_col, text_col)
-    vectors = word_vectors(sample)
+    vectors = word_vectors(narrow(docs, id_col, text_col))
 
     def start():
         return lambda texts: [[pooled(t, vectors).tolist() for t in texts]]
 
     made = map_texts(sample, start, StructType([StructField("features", ArrayType(FloatType()))])).orderBy("doc_id").toArrow()
-    counted = {r["v"]: r["count"] for r in labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int").alias("v")).count().collect()}
+    learnt = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & (fold(F.col(id_col), folds) != held))
+    counted = {r["v"]: r["count"] for r in learnt.groupBy(F.col(label).cast("int").alias("v")).count().collect()}
     prior = counted.get(1, 0) / max(1, sum(counted.values())) if counted else 0.5
     y = np.array(made.column("label").to_pylist(), np.float64)
     x = np.array(made.column("features").to_pylist(), np.float64).reshape(len(y), -1) if len(y) else np.zeros((0, DIM + SHAPES + 5))

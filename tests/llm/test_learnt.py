@@ -229,6 +229,27 @@ def test_quality(spark, corpus, tiny):
     assert len({r.score for r in quality.quality_scores(odd, constant).collect()}) == 1
 
 
+def test_quality_uses_all_texts_and_no_held_out_label(spark, corpus, monkeypatch):
+    """Words of unlabelled documents have contexts; the prior leaves out the held-out fold."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    ids = [i for i in range(200) if fold(i)][:40] + [i for i in range(200) if not fold(i)][:20]
+    docs = corpus([(i, f"plain words number {i % 7} here") for i in ids] + [(1000, "zebra quagga zebra quagga okapi")])
+    labels = spark.createDataFrame([(i, int(not fold(i) or k % 4 == 0)) for k, i in enumerate(ids)], "doc_id bigint, quality int")
+    seen, fit_network = [], quality.fit_network
+    monkeypatch.setattr(quality, "fit_network", lambda x, y, prior: seen.append(prior) or fit_network(x, y, prior))
+    vectors = quality.fit(docs, labels).vectors
+    assert seen == [0.25]
+    zebra, quagga = (quality.word_ids(w)[0][0] for w in ("zebra", "quagga"))
+    unused = quality.word_ids("nowhere")[0][0]
+    place, sign = quality.index_vectors()
+    own = np.zeros(quality.DIM)
+    np.add.at(own, place[zebra], sign[zebra])
+    context = vectors[zebra] - own / np.linalg.norm(own)
+    near = np.zeros(quality.DIM)
+    np.add.at(near, place[quagga], sign[quagga])
+    assert np.dot(context, near) / np.linalg.norm(near) > 0.3 and len({zebra, quagga, unused}) == 3
+
+
 def test_toxicity(spark, corpus):
     """Insults that the labels show are found, also with a character put in; clean texts are left alone."""
     rnd = random.Random(6)
