@@ -1,7 +1,7 @@
 """Invertible Bloom lookup fingerprints of documents, compared by subtraction and peeling.
 
-A paragraph of a document is a line; its digest covers its text and how often the document
-holds it. A fingerprint spreads each digest over three of its cells; a cell holds the count,
+A paragraph of a document is a line, or a piece of a long line that ends where the text itself
+says so; its digest covers its text and how often the document holds it. A fingerprint spreads each digest over three of its cells; a cell holds the count,
 the exclusive or of the digests and the exclusive or of check values. Subtracting the cells of
 two fingerprints leaves the paragraphs that differ, and peeling cells with a single digest
 recovers them.
@@ -19,6 +19,9 @@ from kgaudit.llm.exprs import narrow
 from kgaudit.session import checkpointed
 
 CELLS = 36
+# Lines of more characters are cut after words whose hash is 0 modulo WORDS, and pieces that are
+# still RUNS times as long after characters that end a run of three with a hash of 0 modulo CHARS.
+LONG, WORDS, RUNS, CHARS = 64, 8, 8, 64
 # Sizes that a failed peeling is retried with are CELLS times powers of this.
 GROWTH, RETRIES = 4, 12
 CELL = "array<struct<cell:int,n:int,key:bigint,chk:bigint>>"
@@ -40,9 +43,35 @@ def _run_length(rows: Column, starts: Column, j: Column) -> Column:
     return F.coalesce(F.get(starts, j + 1), F.size(rows)) - starts[j]
 
 
+def _cut(parts: Column, ends, glue: str) -> Column:
+    """Pieces of an array of strings, which end at the places where ``ends`` holds and at the end."""
+
+    def pieces(parts: Column) -> Column:
+        last = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: ends(parts, i) | (i == F.size(parts) - 1))
+        start = lambda at, j: F.coalesce(F.get(at, j - 1), F.lit(-1)) + 1
+        return _let(last, lambda at: F.transform(at, lambda e, j: F.array_join(F.slice(parts, start(at, j) + 1, e - start(at, j) + 1), glue)))
+
+    return _let(parts, pieces)
+
+
+def paragraphs(text: Column) -> Column:
+    """The lines of a text; long ones in pieces whose ends depend on nearby characters only.
+
+    So an edit changes the pieces that it touches, and the rest of a long line stays as it was.
+    Text that repeats one word or a short run of characters is cut everywhere or nowhere.
+    """
+    one = lambda x: F.array(x)
+    by_word = lambda x: _cut(F.split(x, " "), lambda w, i: F.pmod(F.xxhash64(w[i]), F.lit(WORDS)) == 0, " ")
+    run = lambda c, i: F.xxhash64(F.get(c, i - 2), F.get(c, i - 1), c[i])
+    by_char = lambda x: _cut(F.split(x, ""), lambda c, i: F.pmod(run(c, i), F.lit(CHARS)) == 0, "")
+    finer = lambda x: F.when(F.char_length(x) > LONG * RUNS, by_char(x)).otherwise(one(x))
+    pieces = lambda x: F.when(F.char_length(x) > LONG, F.flatten(F.transform(by_word(x), finer))).otherwise(one(x))
+    return F.flatten(F.transform(F.split(text, "\n"), pieces))
+
+
 def paragraph_digests(text: Column) -> Column:
     """Sorted 64-bit digests of the distinct paragraphs of a text, each with its number of repeats."""
-    lines = F.array_sort(F.transform(F.split(text, "\n"), lambda x: F.xxhash64(x)))
+    lines = F.array_sort(F.transform(paragraphs(text), lambda x: F.xxhash64(x)))
     fold = lambda rows, starts: F.transform(starts, lambda p, j: F.xxhash64(rows[p], _run_length(rows, starts, j)))
     counted = _let(lines, lambda rows: _let(_run_starts(rows, lambda x: x), lambda starts: fold(rows, starts)))
     return F.array_sort(counted)

@@ -129,6 +129,16 @@ def test_fingerprints(corpus, n):
     assert fingerprints.fingerprints(corpus([])).count() == 0
 
 
+def test_long_lines_keep_what_an_edit_leaves(spark, corpus):
+    """Documents of one line, with and without blanks, stay alike after an edit of their end."""
+    rows = [(i, " ".join(f"w{(i * 7919 + k * k * 31) % 5003}" for k in range(400))) for i in range(4)]
+    rows += [(9, "".join(f"{k * k * 37 % 10007:x}" for k in range(2000)))]
+    got = fingerprints.fingerprints(corpus(rows)).collect()
+    assert all(r.near_edited > 0.2 and r.near_next < r.near_edited for r in got)
+    texts = spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", fingerprints.paragraphs(F.col("t")).alias("p")).collect()
+    assert all((" " if " " in r.t else "").join(r.p) == r.t and len(r.p) > 8 for r in texts)
+
+
 def test_peeling_recovers_digests(spark):
     """Few differences peel from the fingerprints; many need larger sketches."""
     pairs = [([*range(50)], [*range(4, 50), 99]), ([*range(400)], [*range(200, 900)]), ([], [1]), ([3], [3])]
