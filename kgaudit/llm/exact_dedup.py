@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgaudit.llm.exprs import ascii_lower, narrow
+from kgaudit.llm.exprs import ascii_lower, narrow, unused
 from kgaudit.session import checkpointed
 
 
@@ -56,8 +56,9 @@ def exact_duplicates(
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of repeated rows one stays."""
-    kept = exact_duplicates(docs, id_col, text_col, keep).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_sha")).distinct()
+    keep_id, keep_sha, row_sha = (unused(docs, n) for n in ("keep_id", "keep_sha", "row_sha"))
+    kept = exact_duplicates(docs, id_col, text_col, keep).filter("kept").select(F.col("doc_id").alias(keep_id), F.unhex("text_sha256").alias(keep_sha)).distinct()
     sha = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
-    marked = docs.withColumn("_row_sha", sha)
-    same = F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_row_sha") == F.col("_keep_sha"))
-    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, "_row_sha"]).select(*docs.columns)
+    marked = docs.withColumn(row_sha, sha)
+    same = F.col(id_col).eqNullSafe(F.col(keep_id)) & (F.col(row_sha) == F.col(keep_sha))
+    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, row_sha]).select(*docs.columns)

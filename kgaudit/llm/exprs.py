@@ -32,3 +32,11 @@ def narrow(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fold(doc_id: Column, folds: int) -> Column:
     """Fold of a document: crc32 of its id as text, modulo ``folds``; a null id is in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
+
+
+def unused(table: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``table`` has it."""
+    taken = {c.lower() for c in table.columns}
+    while name in taken:
+        name += "_"
+    return name

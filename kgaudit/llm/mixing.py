@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from kgaudit.llm.exprs import word_count
+from kgaudit.llm.exprs import unused, word_count
 from kgaudit.session import checkpointed, numbered
 
 # The golden ratio's fractional part in units of 2^-31, made odd, so that the points of a
@@ -161,10 +161,13 @@ def draw(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The documents of the mix as rows of ``docs``, each as often as the mix takes it.
 
     Whole texts are repeated: taken / size times, where a fraction counts as one with its own
-    probability by a hash of the id. A document of which nothing is taken goes.
+    probability by a hash of the id. A document of which nothing is taken goes. Rows that share
+    an id are repeated alike, as often as they are taken on average.
     """
-    taken = mix(docs, id_col=id_col, **how).filter("taken > 0").groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size")).withColumnRenamed("doc_id", "_mix_id")
-    unit = F.conv(F.substring(F.md5(F.concat(F.lit("draw"), F.coalesce(F.col("_mix_id").cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
-    copies = F.floor(F.col("_taken") / F.col("_size") + unit).cast("int")
-    counted = taken.withColumn("_copies", copies).filter("_copies > 0")
-    return docs.join(counted, F.col(id_col).eqNullSafe(F.col("_mix_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    mix_id, n_copies, copy = (unused(docs, n) for n in ("mix_id", "n_copies", "copy"))
+    taken = mix(docs, id_col=id_col, **how).filter("taken > 0").groupBy("doc_id").agg(F.sum("taken").alias("words"), F.sum("size").alias("own")).withColumnRenamed("doc_id", mix_id)
+    unit = F.conv(F.substring(F.md5(F.concat(F.lit("draw"), F.coalesce(F.col(mix_id).cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
+    copies = F.floor(F.col("words") / F.col("own") + unit).cast("int")
+    counted = taken.select(mix_id, copies.alias(n_copies)).filter(F.col(n_copies) > 0)
+    met = docs.join(counted, F.col(id_col).eqNullSafe(F.col(mix_id)))
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n_copies)))).select(*docs.columns)

@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from kgaudit.llm.arrow import map_texts
 from kgaudit.llm.components import components
-from kgaudit.llm.exprs import narrow
+from kgaudit.llm.exprs import narrow, unused
 from kgaudit.llm.hashing import mix, shingle_set
 from kgaudit.session import checkpointed
 
@@ -255,5 +255,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
 def drop_near_copies(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document stays: one of each group of near duplicates; of repeated rows one stays."""
-    kept = near_duplicates(docs, percent, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi").select(*docs.columns)
+    keep_id = unused(docs, "keep_id")
+    kept = near_duplicates(docs, percent, id_col, text_col).filter("kept").select(F.col("doc_id").alias(keep_id)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(keep_id)), "left_semi").select(*docs.columns)
