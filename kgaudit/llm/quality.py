@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
-from kgaudit.llm.arrow import map_texts
+from kgaudit.llm.arrow import map_texts, text_ranges
 from kgaudit.llm.exprs import fold, narrow
 from kgaudit.llm.hashing import mix, run_hashes
 from kgaudit.llm.learning import labelled_sample, sigmoid, with_fold
@@ -74,35 +74,79 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(DIM)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
 
 
-def add_contexts(table: np.ndarray, text: str, place: np.ndarray, sign: np.ndarray) -> None:
-    """Add the index vectors of each word's neighbours, and of its own and their shapes, to its context vector."""
-    words, shapes = word_ids(text)
-    flat = table.reshape(-1)
-    pairs = [(words, shapes), (shapes, words)]
+def dense_vectors() -> np.ndarray:
+    """The index vectors as rows, and a last row of zeros for the places between two texts.
+
+    Small integers: a word's context in one place adds up ten vectors of eight signs at most.
+    """
+    place, sign = index_vectors()
+    out = np.zeros((_VOCAB + 1, DIM), np.int8)
+    np.add.at(out, (np.arange(_VOCAB)[:, None], place), sign.astype(np.int8))
+    return out
+
+
+def _add_by(table: np.ndarray, to: np.ndarray, rows: np.ndarray) -> None:
+    """Add ``rows`` to the rows ``to`` of ``table``: sorted first, so that each row of the table is touched once."""
+    order = np.argsort(to, kind="stable")
+    to = to[order]
+    start = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+    table[to[start]] += np.add.reduceat(rows[order], start, axis=0, dtype=np.int64)
+
+
+def add_contexts(table: np.ndarray, words: np.ndarray, shapes: np.ndarray, vectors: np.ndarray, own: slice = slice(None)) -> None:
+    """Add the index vectors of each word's neighbours, and of its own and their shapes, to its context vector; to its shape's the word's own.
+
+    Texts that follow one another are kept apart by ``REACH`` words of the number ``_VOCAB``.
+    Only the words in ``own`` are added to; the others are there as neighbours.
+    """
+    of_word, near = vectors[words], vectors[shapes]
+    both = of_word + near
     for o in range(1, REACH + 1):
-        pairs += [(words[:-o], words[o:]), (words[o:], words[:-o]), (words[:-o], shapes[o:]), (words[o:], shapes[:-o])]
-    for to, of in pairs:
-        for at in range(0, len(to), _TOGETHER):  # bounds the memory of a long text
-            some, by = to[at : at + _TOGETHER], of[at : at + _TOGETHER]
-            np.add.at(flat, (some[:, None] * DIM + place[by]).ravel(), sign[by].ravel())
+        near[:-o] += both[o:]
+        near[o:] += both[:-o]
+    _add_by(table, words[own], near[own])
+    _add_by(table, shapes[own], of_word[own])
+
+
+def _together(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
+    """Words and shapes of about ``_TOGETHER`` words of whole texts, kept apart by gaps, and which of them are meant.
+
+    A longer text comes in several parts, each with the ``REACH`` words on either side of it.
+    """
+    gap, words, shapes, size = np.full(REACH, _VOCAB), [], [], 0
+    for text in texts:
+        w, s = word_ids(text)
+        if len(w) > _TOGETHER:
+            for at in range(0, len(w), _TOGETHER):
+                first, end = max(0, at - REACH), at + _TOGETHER
+                yield w[first : end + REACH], s[first : end + REACH], slice(at - first, end - first)
+            continue
+        words += [w, gap]
+        shapes += [s, gap]
+        size += len(w) + REACH
+        if size >= _TOGETHER:
+            yield np.concatenate(words), np.concatenate(shapes), slice(None)
+            words, shapes, size = [], [], 0
+    if words:
+        yield np.concatenate(words), np.concatenate(shapes), slice(None)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Vectors of all words: their normalised context in the texts of ``docs`` and their own index vector.
 
-    Each task adds up a table of its own; the tables are summed slice by slice. A table has
-    ``WORDS`` rows, whatever the texts hold.
+    Each task adds up a table of its own; the tables are summed slice by slice, first those of
+    about ``SLICES`` tasks and then their sums. A table has ``WORDS`` rows, whatever the texts hold.
     """
-    place, sign = index_vectors()
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, any_row = np.zeros((_VOCAB, DIM), np.float32), False
+        table, vectors, any_row = np.zeros((_VOCAB + 1, DIM), np.int64), dense_vectors(), False
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                any_row = True
-                add_contexts(table, text, place, sign)
+            any_row = any_row or batch.num_rows > 0
+            for part in text_ranges(texts := batch.column("text").to_pylist()):
+                for words, shapes, own in _together(texts[part.start : part.stop]):
+                    add_contexts(table, words, shapes, vectors, own)
         if any_row:
-            parts = np.array_split(table, SLICES)
+            parts = np.array_split(table[:_VOCAB].astype(np.float32), SLICES)
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "part"])
 
     def total(table: pa.Table) -> pa.Table:
@@ -110,13 +154,14 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         return pa.table({"slice": table.column("slice")[:1], "part": pa.array([part.tobytes()], pa.binary())})
 
     kind = "slice int, part binary"
-    rows = docs.select("text").mapInArrow(contexts, kind).groupBy("slice").applyInArrow(total, kind).collect()  # SLICES rows
+    parts = docs.select("text").mapInArrow(contexts, kind)
+    some = parts.withColumn("bucket", F.floor(F.spark_partition_id() / SLICES)).groupBy("slice", "bucket").applyInArrow(total, kind)
+    rows = some.groupBy("slice").applyInArrow(total, kind).collect()  # SLICES rows
     table = np.zeros((_VOCAB, DIM), np.float32)
     for r, part in zip(sorted(rows, key=lambda r: r["slice"]), np.array_split(np.arange(_VOCAB), SLICES), strict=False):
         table[part] = np.frombuffer(r["part"], np.float32).reshape(-1, DIM)
     table -= table.mean(0)
-    own = np.zeros_like(table)
-    np.add.at(own.reshape(-1), (np.arange(_VOCAB)[:, None] * DIM + place).ravel(), sign.ravel())
+    own = dense_vectors()[:_VOCAB].astype(np.float32)
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
     return (unit(table) + unit(own)).astype(np.float32)
 
@@ -155,6 +200,16 @@ class Network:
         return sigmoid(self.logits(x) / self.temperature)
 
 
+def gradients(params: list[np.ndarray], z: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float) -> list[np.ndarray]:
+    """Of the weighted mean log loss plus half the squared weights times ``decay``, by (w1, b1, w2, b2)."""
+    w1, b1, w2, b2 = params
+    pre = z @ w1 + b1
+    hidden = np.maximum(pre, 0)
+    error = (sigmoid(hidden @ w2 + b2) - y) * weight / len(y)
+    back = np.outer(error, w2) * (pre > 0)
+    return [z.T @ back + decay * w1, back.sum(0), hidden.T @ error + decay * w2, np.array([error.sum()])]
+
+
 def fit_network(x: np.ndarray, y: np.ndarray, prior: float, seed: int = 7, epochs: int = 40, batch: int = 128, rate: float = 3e-3, decay: float = 1e-4) -> Network:
     """Fit by Adam on a part of the rows, then calibrate the temperature on the others.
 
@@ -178,13 +233,8 @@ def fit_network(x: np.ndarray, y: np.ndarray, prior: float, seed: int = 7, epoch
     for epoch in range(epochs):
         step_size = rate * (0.5 + 0.5 * np.cos(np.pi * epoch / epochs))
         for rows in np.array_split(rng.permutation(used), max(1, len(used) // batch)):
-            pre = z[rows] @ params[0] + params[1]
-            hidden = np.maximum(pre, 0)
-            error = (sigmoid(hidden @ params[2] + params[3]) - y[rows]) * weight[rows] / len(rows)
-            back = np.outer(error, params[2]) * (pre > 0)
-            grads = [z[rows].T @ back + decay * params[0], back.sum(0), hidden.T @ error + decay * params[2], np.array([error.sum()])]
             t += 1
-            for i, g in enumerate(grads):
+            for i, g in enumerate(gradients(params, z[rows], y[rows], weight[rows], decay)):
                 first[i] = 0.9 * first[i] + 0.1 * g
                 second[i] = 0.999 * second[i] + 0.001 * g * g
                 params[i] -= step_size * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
@@ -221,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE, label: str = "qu
     def start():
         return lambda texts: [[pooled(t, vectors).tolist() for t in texts]]
 
-    made = map_texts(sample, start, StructType([StructField("features", ArrayType(FloatType()))])).orderBy("doc_id").toArrow()
+    made = map_texts(sample, start, StructType([StructField("features", ArrayType(FloatType()))])).toArrow().sort_by("doc_id")
     learnt = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & (fold(F.col(id_col), folds) != held))
     counted = {r["v"]: r["count"] for r in learnt.groupBy(F.col(label).cast("int").alias("v")).count().collect()}
     prior = counted.get(1, 0) / max(1, sum(counted.values())) if counted else 0.5
@@ -247,7 +297,7 @@ def quality_scores(docs: DataFrame, model: QualityModel, cut: float = 0.3, folds
 
 def drop_poor(docs: DataFrame, model: QualityModel, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model doesn't reject, with all their columns."""
-    # The text goes along, and comes back under its own name and place.
-    rows = docs.withColumns({"_own_text": F.col(text_col), "text": F.coalesce(F.col(text_col), F.lit(""))}).drop(*([text_col] if text_col != "text" else []))
-    scored = map_texts(rows, lambda: (lambda texts: [model.scores(texts)]), StructType([StructField("_score", DoubleType())]))
-    return scored.filter(F.col("_score") >= cut).select(*[F.col("_own_text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    # The row travels as one column, so that no name of its columns can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    scored = map_texts(rows, lambda: (lambda texts: [model.scores(texts)]), StructType([StructField("score", DoubleType())]))
+    return scored.filter(F.col("score") >= cut).select("row.*")

@@ -229,6 +229,76 @@ def test_quality(spark, corpus, tiny):
     assert len({r.score for r in quality.quality_scores(odd, constant).collect()}) == 1
 
 
+def test_contexts_equal_plain_sums(spark, corpus, monkeypatch):
+    """Rolling sums over many texts together, and over parts of long ones, against neighbour by neighbour."""
+    monkeypatch.setattr(quality, "_TOGETHER", 37)
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choice(["One", "two", "THREE", "4", "five!", "é"]) for _ in range(n)) for n in (0, 1, 2, 3, 30, 36, 37, 38, 200)]
+    want = np.zeros((quality._VOCAB, quality.DIM))
+    vectors = quality.dense_vectors()
+    for text in texts:
+        words, shapes = quality.word_ids(text)
+        for i, w in enumerate(words):
+            want[w] += vectors[shapes[i]]
+            want[shapes[i]] += vectors[w]
+            for j in range(max(0, i - 2), min(len(words), i + 3)):
+                if j != i:
+                    want[w] += vectors[words[j]].astype(int) + vectors[shapes[j]]
+    got = np.zeros((quality._VOCAB + 1, quality.DIM), np.int64)
+    for words, shapes, own in quality._together(texts):
+        quality.add_contexts(got, words, shapes, vectors, own)
+    assert (got[:-1] == want).all()
+    want -= want.mean(0)
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    whole = quality.word_vectors(corpus(list(enumerate(texts))))
+    assert np.allclose(whole, unit(want) + unit(vectors[:-1].astype(float)), atol=1e-3)
+
+
+def test_pooled_features():
+    vectors = np.random.default_rng(3).normal(size=(quality._VOCAB, quality.DIM)).astype(np.float32)
+    text = "the cat The cat sat SAT 12 ! cat cat"
+    words, shapes = quality.word_ids(text)
+    n, counts = len(words), collections.Counter(words.tolist())
+    kinds = [np.mean(shapes == quality.WORDS + k) for k in range(4)]
+    again = sum(a == b for a, b in zip(words, words[1:])) / (n - 1)
+    apart = sum(a == b for a, b in zip(words, words[2:])) / (n - 2)
+    want = [*np.mean([vectors[w] for w in words], 0), *kinds, len(counts) / n**0.5, max(counts.values()) / n, again, apart, np.log1p(n)]
+    assert kinds == [0.6, 0.1, 0.1, 0.2] and np.allclose(quality.pooled(text, vectors), want, atol=1e-5)
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(5)
+    z, y, weight = rng.normal(size=(20, 6)), rng.integers(0, 2, 20).astype(float), rng.random(20) + 0.5
+    params = [rng.normal(size=(6, 4)), rng.normal(size=4), rng.normal(size=4), rng.normal(size=1)]
+
+    def loss():
+        p = 1 / (1 + np.exp(-(np.maximum(z @ params[0] + params[1], 0) @ params[2] + params[3])))
+        return -(weight * np.where(y == 1, np.log(p), np.log(1 - p))).mean() + 0.05 * ((params[0] ** 2).sum() + (params[2] ** 2).sum())
+
+    for p, g in zip(params, quality.gradients(params, z, y, weight, 0.1)):
+        for at in np.ndindex(p.shape):
+            p[at] += 1e-6
+            up = loss()
+            p[at] -= 2e-6
+            assert (up - loss()) / 2e-6 == pytest.approx(g[at], abs=1e-4)
+            p[at] += 1e-6
+
+
+def test_quality_odd_rows(spark, corpus):
+    """Null ids, repeated rows, clashing names, empty tables, a text column of another name."""
+    rows = [(None, "lone words"), (3, "same"), (3, "same"), (1 << 60, "long " * 60_000), (4, None)]
+    df = corpus(rows)
+    model = quality.QualityModel(np.zeros((quality._VOCAB, quality.DIM), np.float32), quality.fit_network(np.zeros((0, quality.DIM + 9)), np.zeros(0), 0.9))
+    got = quality.quality_scores(df, model).collect()
+    assert sorted((str(r.doc_id) for r in got)) == sorted(str(i) for i, _ in rows) and {r.predicted for r in got} == {1}
+    other = df.withColumnRenamed("text", "body").withColumn("text", F.lit("x")).withColumn("row", F.lit("y"))
+    kept = quality.drop_poor(other, model, text_col="body")
+    assert kept.columns == other.columns and kept.count() == len(rows) and {r.text for r in kept.collect()} == {"x"}
+    empty = corpus([])
+    labels = spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")
+    assert quality.quality_scores(empty, quality.fit(empty, labels)).count() == 0 and quality.drop_poor(empty, model).count() == 0
+
+
 def test_quality_uses_all_texts_and_no_held_out_label(spark, corpus, monkeypatch):
     """Words of unlabelled documents have contexts; the prior leaves out the held-out fold."""
     fold = lambda i: zlib.crc32(str(i).encode()) % 5
@@ -241,12 +311,9 @@ def test_quality_uses_all_texts_and_no_held_out_label(spark, corpus, monkeypatch
     assert seen == [0.25]
     zebra, quagga = (quality.word_ids(w)[0][0] for w in ("zebra", "quagga"))
     unused = quality.word_ids("nowhere")[0][0]
-    place, sign = quality.index_vectors()
-    own = np.zeros(quality.DIM)
-    np.add.at(own, place[zebra], sign[zebra])
+    index = quality.dense_vectors().astype(float)
+    own, near = index[zebra], index[quagga]
     context = vectors[zebra] - own / np.linalg.norm(own)
-    near = np.zeros(quality.DIM)
-    np.add.at(near, place[quagga], sign[quagga])
     assert np.dot(context, near) / np.linalg.norm(near) > 0.3 and len({zebra, quagga, unused}) == 3
 
 
