@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgaudit.session import ordinal
+from kgaudit.operators.text_joins import contained_keys, smallest_holder
+from kgaudit.session import checkpointed, ordinal
 
 # Hours per complexity, caps and shares.
 HOURS = {"low": 2.0, "medium": 6.0, "high": 16.0, "very_high": 40.0}
@@ -97,20 +98,12 @@ def risks(inventory: DataFrame, endpoints: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ parity
 
 
-def _substrings(c: str) -> Column:
-    """Distinct substrings of a name; a name of n characters has at most n(n+1)/2."""
-    n = F.length(c)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    spans = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col(c), i, k)))
-    return F.array_distinct(F.flatten(spans))
-
-
 def match_names(names: DataFrame, declared: DataFrame) -> DataFrame:
     """JOIN-18: the declared name each distinct ``name`` maps to.
 
     Equal, else with a usual suffix in list order, else the smallest name that contains
-    it, else the longest name it contains. Containment is an equality on substrings, so
-    no two names are compared unless one contains the other.
+    it, else the longest name it contains. Only names that share the rarest piece of the
+    contained one are compared.
     """
     keys = declared.select(F.col("name").alias("key")).distinct()
     n = names.select("name").where("name <> ''").distinct()
@@ -118,9 +111,9 @@ def match_names(names: DataFrame, declared: DataFrame) -> DataFrame:
     tails = F.array(*[F.struct(F.lit(i + 1).alias("rank"), F.concat("name", F.lit(s)).alias("key")) for i, s in enumerate(NAME_SUFFIXES)])
     suffixed = n.select("name", F.inline(tails)).join(keys, "key").select("name", "key", "rank")
     rest = n.join(exact.select("name").unionByName(suffixed.select("name")).distinct(), "name", "left_anti")
-    holders = keys.select("key", F.explode(_substrings("key")).alias("name")).groupBy("name").agg(F.min("key").alias("key"))
-    held = rest.join(holders, "name").select("name", "key", F.lit(100).alias("rank"))
-    inner = rest.select("name", F.explode(_substrings("name")).alias("key")).join(keys, "key").select("name", "key", (F.lit(100_000) - F.length("key")).alias("rank"))
+    rest = checkpointed(rest)
+    held = smallest_holder(rest, keys).select("name", "key", F.lit(100).alias("rank"))
+    inner = contained_keys(rest, keys).select("name", "key", (F.lit(100_000) - F.length("key")).alias("rank"))
     found = exact.unionByName(suffixed).unionByName(held).unionByName(inner)
     return found.groupBy("name").agg(F.min_by("key", F.struct("rank", "key")).alias("match"))
 

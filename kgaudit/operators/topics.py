@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from kgaudit.functions import scalars as fx
+from kgaudit.operators.text_joins import edit_pairs
 
 # Thresholds and word lists.
 SIMILARITY_THRESHOLD = 0.85
@@ -45,58 +42,15 @@ def duplicate_members(nodes: DataFrame) -> DataFrame:
     return with_topic_key(nodes).select("topic_key", "node_key").join(groups, "topic_key")
 
 
-@F.pandas_udf(DoubleType())
-def difflib_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """UDF-3: matching-block ratio of two texts, which has no built-in expression."""
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
 def edit_ratio(a: Column, b: Column) -> Column:
-    """1 - Levenshtein distance / longer length."""
+    """UDF-3: 1 - Levenshtein distance / longer length."""
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def candidate_pairs(topics: DataFrame, threshold: float) -> DataFrame:
-    """Distinct topic pairs that can reach ``threshold`` by either ratio.
-
-    A pair of lengths (s, l) that reaches it differs by at most
-    ``(1 - threshold) * (s + l)`` single-character edits. Cutting the shorter topic into
-    one more segment than that leaves a segment that the longer one contains unchanged,
-    close to its old place. So segments of one side and substrings of the other meet in
-    an equi join, and no pair of topics is lost or formed without a shared segment.
-    """
-    r = threshold
-    slack, reach = 1 - r, (2 - r) / r
-    eps = 1e-9
-    t = topics.select(F.col("topic_key").alias("t"), F.length("topic_key").alias("n")).where("n > 0")
-
-    def edits(short: str) -> str:
-        return f"cast(floor({slack} * ({short} + floor({short} * {reach} + {eps})) + {eps}) as int)"
-
-    def cut(i: str, short: str) -> str:
-        return f"cast(floor({i} * {short} / ({edits(short)} + 1)) as int)"
-
-    segments = t.selectExpr("t AS short_t", "n AS short_n", f"explode(sequence(0, {edits('n')})) AS i").selectExpr(
-        "short_t", "short_n", "i", f"substring(short_t, {cut('i', 'short_n')} + 1, {cut('(i + 1)', 'short_n')} - {cut('i', 'short_n')}) AS seg")
-    lengths = t.selectExpr("t AS long_t", "n AS long_n", f"explode(sequence(cast(ceil(n / {reach} - {eps}) as int), n)) AS short_n")
-    slots = lengths.selectExpr("*", f"explode(sequence(0, {edits('short_n')})) AS i").selectExpr(
-        "*", f"{cut('i', 'short_n')} AS at", f"{cut('(i + 1)', 'short_n')} - {cut('i', 'short_n')} AS width", f"cast(floor({slack} * (short_n + long_n) + {eps}) as int) AS k")
-    first = "greatest(0, at - cast(floor((k - (long_n - short_n)) / 2) as int))"
-    last = "least(long_n - width, at + cast(floor((k + long_n - short_n) / 2) as int))"
-    probes = slots.where(f"{first} <= {last}").selectExpr("long_t", "short_n", "i", "width", f"explode(sequence({first}, {last})) AS p").selectExpr(
-        "long_t", "short_n", "i", "substring(long_t, p + 1, width) AS seg").distinct()
-    met = segments.join(probes, ["short_n", "i", "seg"]).where("short_t <> long_t")
-    return met.select(F.least("short_t", "long_t").alias("topic_a"), F.greatest("short_t", "long_t").alias("topic_b")).distinct()
-
-
-def similar_topics(nodes: DataFrame, threshold: float = SIMILARITY_THRESHOLD, exact: bool = True) -> DataFrame:
-    """SIM-2, JOIN-14: pairs of different topics at or above ``threshold``.
-
-    ``exact`` uses the matching-block ratio, otherwise the edit-distance ratio.
-    """
-    pairs = candidate_pairs(topic_sizes(nodes), threshold)
-    ratio = difflib_ratio if exact else edit_ratio
-    return pairs.withColumn("ratio", ratio(F.col("topic_a"), F.col("topic_b"))).where(F.col("ratio") >= threshold)
+def similar_topics(nodes: DataFrame, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
+    """SIM-2, JOIN-14: pairs of different topics whose edit ratio is at least ``threshold``."""
+    pairs = edit_pairs(topic_sizes(nodes).select(F.col("topic_key").alias("t")), threshold)
+    return pairs.select(F.col("a").alias("topic_a"), F.col("b").alias("topic_b"), "ratio")
 
 
 def topic_groups(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -119,8 +73,11 @@ def node_groups(nodes: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def suggestion_similarity(current: Column, suggested: Column) -> Column:
-    """SIM-4: rounded ratio of current and suggested topic, null without a suggestion."""
-    return F.when(suggested != "", F.round(difflib_ratio(F.lower(current), F.lower(suggested)), 2))
+    """SIM-4: edit ratio of current and suggested topic in hundredths, halves up; null without a suggestion."""
+    a, b = F.lower(current), F.lower(suggested)
+    longer = F.greatest(F.length(a), F.length(b), F.lit(1))
+    hundredths = F.floor((200 * (longer - F.levenshtein(a, b)) + longer) / (2 * longer))
+    return F.when(suggested != "", hundredths / 100)
 
 
 def topic_words(topic: Column | str) -> Column:

@@ -35,6 +35,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """Like ``checkpointed``, but stored in buckets by a hash of ``keys``.
+
+    Joins with it and groups of it by these keys need no shuffle of its rows. There are as many
+    buckets as shuffle partitions, unless told otherwise, so that a shuffled side meets it as it is.
+    The name in the session's catalog is only a handle on the files.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"stored_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", shared_folder(spark, "buckets")).bucketBy(n, *keys).saveAsTable(name)
+    return spark.table(name)
+
+
 def ordinal(df: DataFrame, keys: list[str], seq: str, ties: list[str], out: str) -> DataFrame:
     """1-based position of each row inside its key, ordered by ``seq`` then ``ties``.
 

@@ -344,9 +344,9 @@ def udf_2(t):
     return blocks.groupBy("path").agg((F.count("start") >= 0).alias("scanned"))
 
 
-@query("udf_3")
+@query("udf_3", "SELECT p_partkey, round(1 - levenshtein(p_name, lower(p_type)) / greatest(len(p_name), len(p_type), 1), 6) AS ratio FROM part")
 def udf_3(t):
-    return t.part.select("p_partkey", F.round(tp.difflib_ratio(F.col("p_name"), F.lower("p_type")), 6).alias("ratio"))
+    return t.part.select("p_partkey", F.round(tp.edit_ratio(F.col("p_name"), F.lower("p_type")), 6).alias("ratio"))
 
 
 @query("udf_4", "SELECT p_partkey AS pk, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE upper(concat('q_', p_name)) END AS name FROM part")

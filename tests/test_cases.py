@@ -2,14 +2,13 @@
 
 import random
 from collections import deque
-from difflib import SequenceMatcher
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
 from kgaudit.functions import scalars as fx
-from kgaudit.operators import calls, changes, checklist, chunking, coverage, diff, graph, profile, roadmap, schema_diff, topics
+from kgaudit.operators import calls, changes, checklist, chunking, coverage, diff, graph, profile, roadmap, schema_diff, text_joins, topics
 from kgaudit.operators.normalize import normalize_edges
 from kgaudit.session import first_per, ordinal
 from kgaudit.sources import schema_files
@@ -247,33 +246,65 @@ def test_topic_rules(spark, topic, want):
     assert spark.createDataFrame([(topic,)], "topic STRING").select(topics.rule_issues("topic")).first()[0] == want
 
 
-@pytest.mark.parametrize("exact", [True, False])
-def test_similar_topics_equal_brute_force(spark, exact):
-    rng = random.Random(3)
-    base = ["validate customer account", "check order", "assign ticket owner", "abc", "route mail"]
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+    return row[-1]
+
+
+def varied(rng, base, count, chars, edits):
     names = set(base)
-    while len(names) < 120:
+    while len(names) < count:
         s = list(rng.choice(base))
-        for _ in range(rng.randrange(1, 5)):
+        for _ in range(rng.randrange(1, edits)):
             i = rng.randrange(len(s))
-            rng.choice([lambda: s.insert(i, rng.choice("abcxyz ")), lambda: s.pop(i) if len(s) > 2 else None, lambda: s.__setitem__(i, rng.choice("abc"))])()
+            rng.choice([lambda: s.insert(i, rng.choice(chars)), lambda: s.pop(i) if len(s) > 2 else None, lambda: s.__setitem__(i, rng.choice(chars))])()
         name = "".join(s).strip()
         if name:
             names.add(name)
+    return names
 
-    def edit(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            prev, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-        return 1 - row[-1] / max(len(a), len(b))
-
-    ratio = (lambda a, b: SequenceMatcher(None, a, b).ratio()) if exact else edit
-    want = {(a, b) for a, b in combinations(sorted(names), 2) if ratio(a, b) >= 0.85}
-    df = spark.createDataFrame([(str(i), n) for i, n in enumerate(sorted(names))], "node_key STRING, topic STRING")
-    assert {(r.topic_a, r.topic_b) for r in topics.similar_topics(df, 0.85, exact).collect()} == want
-    assert len(want) > 20
+
+@pytest.mark.parametrize("threshold", [0.55, 0.7, 0.8, 0.85, 0.95])
+def test_similar_topics_equal_brute_force(spark, threshold, monkeypatch):
+    monkeypatch.setattr(text_joins, "SALT_ROWS", 5)
+    rng = random.Random(3)
+    base = ["validate customer account", "check order", "assign ticket owner", "abc", "aaaa aaaa aaaa", "route mail", "prüfe Überweisung"]
+    names = varied(rng, base, 500 if threshold == 0.85 else 150, "abcxyz üA ", 5)
+    want = {(a, b) for a, b in combinations(sorted(names), 2) if 1 - edit_distance(a, b) / max(len(a), len(b)) >= threshold}
+    rows = [(n,) for n in names] + [("abc",), ("",), (None,)]
+    got = text_joins.edit_pairs(spark.createDataFrame(rows, "t STRING"), threshold).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 5
+    assert all(r.ratio == pytest.approx(1 - edit_distance(r.a, r.b) / max(len(r.a), len(r.b))) for r in got)
+
+
+def test_few_candidates_among_topics_that_share_words(spark):
+    """20,000 topics of a few common words and a number: under 1 % of all pairs are compared."""
+    rng = random.Random(4)
+    verbs, things = ["validate", "update", "process", "archive", "notify"], ["customer", "account", "order", "invoice", "shipment", "payment"]
+    names = {f"{rng.choice(verbs)} {rng.choice(things)} {rng.choice(things)} {rng.randrange(10**6):06d}" for _ in range(20_500)}
+    texts = spark.createDataFrame([(n,) for n in sorted(names)[:20_000]], "t STRING")
+    assert text_joins.edit_candidates(texts, 0.85).count() < 0.01 * 20_000 * 19_999 / 2
+
+
+def test_containment_compares_few_names(spark):
+    """Long names that share most of their text meet only where the rare part is the same."""
+    rng = random.Random(5)
+    stem = "".join(rng.choice("abcdefgh") for _ in range(150))
+    names = [stem + f"_{i:04d}_" + "".join(rng.choice("ijklmnop") for _ in range(44)) for i in range(400)]
+    parts = [n[rng.randrange(100, 140) : rng.randrange(165, 200)] for n in names[:200]] + ["zz_not_there_1", names[7], "ab", "q"]
+    keys = spark.createDataFrame([(n,) for n in names], "key STRING")
+    needles = spark.createDataFrame([(p,) for p in parts] + [("",)], "name STRING")
+    got = {r.name: r.key for r in text_joins.smallest_holder(needles, keys).collect()}
+    assert got == {p: min(n for n in names if p in n) for p in parts if any(p in n for n in names)}
+    index = text_joins._index(keys, "key", 3)
+    long = needles.selectExpr("name AS needle").where("length(needle) > 3")
+    assert text_joins.contained_candidates(long, index, "key", 3).count() < 0.05 * 400 * 202
+    back = {(r.name, r.key) for r in text_joins.contained_keys(keys.toDF("name"), needles.toDF("key")).collect()}
+    assert back == {(n, p) for n in names for p in parts if p in n}
 
 
 def test_undo_restores_the_oldest_topic(spark):
