@@ -12,40 +12,77 @@ from collections.abc import Callable
 from itertools import count
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from kgaudit.functions import scalars as fx
-from kgaudit.session import checkpointed, first_per, ordinal
+from kgaudit.session import bucketed, checkpointed, first_per, ordinal, stored_in_buckets
 
 LIST_PART = 1000
-LEVELS_PER_TABLE = 8
+LEVELS_PER_TABLE = 24
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+class Visited:
+    """The rows that a traversal has seen, stored in buckets of its keys and added to level by level.
+
+    A level is shuffled by the keys once and then meets the stored rows bucket by bucket, so what
+    a step shuffles is the step itself, however much has been seen. Every ``LEVELS_PER_TABLE``
+    levels the buckets' small files are written together.
+    """
+
+    def __init__(self, spark, keys: list[str]):
+        self.spark, self.keys, self.levels, self.table, self.path = spark, keys, 0, None, None
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def add(self, level: DataFrame) -> None:
+        self.levels += 1
+        if self.table is None or self.levels % LEVELS_PER_TABLE == 0:
+            old = self.table
+            whole = level if old is None else self.rows().unionByName(level)
+            self.table, self.path = stored_in_buckets(whole, self.keys, self.buckets)
+            if old:
+                self.spark.sql(f"DROP TABLE {old}")
+        else:
+            level.write.mode("append").format("parquet").bucketBy(self.buckets, *self.keys).saveAsTable(self.table)
+
+    def unseen(self, step: DataFrame) -> DataFrame:
+        """The distinct rows of ``step`` (keys) that are not stored yet."""
+        return step.select(*self.keys).distinct().join(self.rows().select(*self.keys), self.keys, "left_anti")
+
+    def close(self) -> DataFrame:
+        """All rows, read from their files; the name in the catalog goes."""
+        schema = self.rows().schema
+        self.spark.sql(f"DROP TABLE {self.table}")
+        return self.spark.read.schema(schema).parquet(self.path)
+
+
 def reach(seeds: DataFrame, advance: Callable[[DataFrame], DataFrame], keys: list[str], max_depth: int | None = None) -> DataFrame:
-    """Nodes reached from ``seeds`` with their smallest depth.
+    """Nodes reached from ``seeds`` with their smallest depth. Stored.
 
-    ``advance`` maps a level to its successors. Levels are disjoint, so the visited set
-    is their union; it is rewritten as one table only now and then, to keep deep
-    traversals from reading many small ones.
+    ``advance`` maps a level to its successors; a level holds only nodes not seen before. The
+    number of its rows is counted while it is written.
     """
-    level = checkpointed(seeds.select(*keys).distinct().withColumn("depth", F.lit(0)))
-    levels, depth = [level], 0
-    while max_depth is None or depth < max_depth:
+    def level_of(rows: DataFrame, depth: int) -> tuple[DataFrame, int]:
+        seen = Observation()
+        stored = checkpointed(rows.withColumn("depth", F.lit(depth)).observe(seen, F.count(F.lit(1)).alias("n")))
+        return stored, seen.get["n"]
+
+    visited, depth = Visited(seeds.sparkSession, keys), 0
+    level, n = level_of(seeds.select(*keys).distinct(), 0)
+    visited.add(level)
+    while n and (max_depth is None or depth < max_depth):
         depth += 1
-        step = advance(level).select(*keys).distinct()
-        fresh = step.join(_union(levels).select(*keys), keys, "left_anti")
-        level = checkpointed(fresh.withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
-            break
-        levels.append(level)
-        if len(levels) > LEVELS_PER_TABLE:
-            levels = [checkpointed(_union(levels))]
-    return _union(levels)
+        level, n = level_of(visited.unseen(advance(level)), depth)
+        if n:
+            visited.add(level)
+    return visited.close()
 
 
 def list_parts(df: DataFrame, keys: list[str], value: Column, seq: str, ties: list[str], size: int = LIST_PART) -> DataFrame:
@@ -174,7 +211,8 @@ def traverse(starts: DataFrame, sites: DataFrame, max_depth: int | None = None)
     """
     keys = ["flow_key", "prefix", "node", "node_file"]
     slim = sites.where("callee_key <> caller_key").select("caller_key", "caller_path", "callee_key", "callee_file").distinct()
-    slim = checkpointed(_slotted(slim).drop("caller_path"))
+    # Stored by the keys of the join, so that a level meets it where it lies.
+    slim = bucketed(_slotted(slim).drop("caller_path"), ["caller_key", "slot"])
     seeds = starts.select("flow_key", "prefix", fx.norm_name("start").alias("node"), fx.text("start_file").alias("node_file"))
 
     def advance(level: DataFrame) -> DataFrame:
@@ -253,13 +291,13 @@ def orphans(snippets: DataFrame, roots: DataFrame, calls: DataFrame) -> DataFram
 
 def closure(roots: DataFrame, calls: DataFrame) -> DataFrame:
     """GRA-5, QR-16: nodes that can reach a root backwards, found by one forward pass."""
-    steps = checkpointed(calls.select("caller", "callee").where("caller <> callee").distinct())
+    steps = bucketed(calls.select("caller", "callee").where("caller <> callee").distinct(), ["caller"])
     return reach(roots.select("key"), lambda level: level.select(F.col("key").alias("caller")).join(steps, "caller").select(F.col("callee").alias("key")), ["key"])
 
 
 def bfs_levels(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """GRA-8: level of every node of a flow; unreached nodes come one below the last."""
-    steps = checkpointed(edges.select("flow_key", "caller", "callee").where("caller <> callee").distinct())
+    steps = bucketed(edges.select("flow_key", "caller", "callee").where("caller <> callee").distinct(), ["flow_key", "caller"])
 
     def advance(level: DataFrame) -> DataFrame:
         return level.select("flow_key", F.col("node").alias("caller")).join(steps, ["flow_key", "caller"]).select("flow_key", F.col("callee").alias("node"))

@@ -35,18 +35,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
+def bucketed(df: DataFrame, keys: list[str], buckets: int | None = None, deal: bool = True) -> DataFrame:
     """Like ``checkpointed``, but stored in buckets by a hash of ``keys``.
 
     Joins with it and groups of it by these keys need no shuffle of its rows. There are as many
     buckets as shuffle partitions, unless told otherwise, so that a shuffled side meets it as it is.
-    The name in the session's catalog is only a handle on the files.
+    The rows are dealt out by the keys first; without ``deal`` each task writes to the buckets of
+    the rows that it has. The name in the session's catalog is only a handle on the files.
     """
-    spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"stored_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("path", shared_folder(spark, "buckets")).bucketBy(n, *keys).saveAsTable(name)
-    return spark.table(name)
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.sparkSession.table(stored_in_buckets(df, keys, n, deal)[0])
+
+
+def stored_in_buckets(df: DataFrame, keys: list[str], buckets: int, deal: bool = True) -> tuple[str, str]:
+    """Store ``df`` in so many buckets of ``keys``; the name of the table and the folder of its files."""
+    name, path = f"stored_{uuid.uuid4().hex}", shared_folder(df.sparkSession, "buckets")
+    dealt = df.repartition(buckets, *keys) if deal else df
+    dealt.write.format("parquet").option("path", path).bucketBy(buckets, *keys).saveAsTable(name)
+    return name, path
 
 
 def ordinal(df: DataFrame, keys: list[str], seq: str, ties: list[str], out: str) -> DataFrame:

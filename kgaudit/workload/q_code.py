@@ -278,9 +278,10 @@ def join_13(t):
 @query("gra_14", r"""WITH RECURSIVE c AS (SELECT path, function_name, upper(function_name) AS n, upper(path) AS up, content FROM ck_chunks),
    f AS (SELECT n, min(path) AS path FROM (SELECT upper(function_name) AS n, path FROM ck_chunks UNION ALL SELECT upper(concat(class_name,'.',function_name)), path FROM ck_chunks WHERE class_name <> '') GROUP BY n),
    s AS (SELECT DISTINCT c.n, c.up, x.callee, upper(x.callee) AS cn, f.path AS cpath FROM (SELECT n, up, unnest(regexp_extract_all(content, '\b([A-Za-z_]\w*)\s*\(', 1)) AS callee FROM c) x JOIN c ON c.n = x.n AND c.up = x.up LEFT JOIN f ON f.n = upper(x.callee)),
-   v AS (SELECT concat('F', r_regionkey) AS flow_key, concat('H', r_regionkey) AS n, cf.path AS path, 0 AS depth FROM region JOIN code_files cf ON cf.k = r_regionkey
-     UNION SELECT v.flow_key, s.cn, s.cpath, v.depth + 1 FROM v JOIN s ON s.n = v.n AND s.up = upper(v.path) WHERE s.cpath IS NOT NULL AND s.cn <> s.n AND v.depth < 50)
-   SELECT flow_key, n AS node, path, min(depth) AS depth FROM v GROUP BY ALL""")
+   v(flow_key, n, path, depth) USING KEY (flow_key, n, path) AS (SELECT concat('F', r_regionkey), concat('H', r_regionkey), cf.path, 0 FROM region JOIN code_files cf ON cf.k = r_regionkey
+     UNION SELECT DISTINCT v.flow_key, s.cn, s.cpath, v.depth + 1 FROM v JOIN s ON s.n = v.n AND s.up = upper(v.path) LEFT JOIN recurring.v r ON r.flow_key = v.flow_key AND r.n = s.cn AND r.path = s.cpath
+       WHERE s.cpath IS NOT NULL AND s.cn <> s.n AND r.n IS NULL)
+   SELECT flow_key, n AS node, path, depth FROM v""")
 def gra_14(t):
     parts = chunk_table(t)
     index = parts.select("function_name", F.col("path").alias("file_path"), "class_name", "line_start")

@@ -208,7 +208,7 @@ def gra_5(t):
 
 @query("gra_6", """WITH RECURSIVE adj AS (SELECT flow_key, caller, callee, min(exec_order) AS o FROM flow_calls GROUP BY ALL),
    p AS (SELECT flow_key, caller AS root, caller, callee, 1 AS depth, o AS exec_order, [caller] AS path, callee = caller AS cut FROM adj
-     UNION ALL SELECT p.flow_key, p.root, a.caller, a.callee, p.depth + 1, a.o, list_append(p.path, a.caller), list_contains(list_append(p.path, a.caller), a.callee) FROM p JOIN adj a ON a.flow_key = p.flow_key AND a.caller = p.callee WHERE NOT p.cut AND p.depth < 50)
+     UNION ALL SELECT p.flow_key, p.root, a.caller, a.callee, p.depth + 1, a.o, list_append(p.path, a.caller), list_contains(list_append(p.path, a.caller), a.callee) FROM p JOIN adj a ON a.flow_key = p.flow_key AND a.caller = p.callee WHERE NOT p.cut)
    SELECT flow_key, root, caller, callee, depth, exec_order, cut, array_to_string(list_append(path, callee), '>') AS path FROM p""")
 def gra_6(t):
     edges = gr.adjacency(t.flow_calls).select("flow_key", "caller", "callee", "exec_order")
@@ -218,7 +218,7 @@ def gra_6(t):
 
 @query("src_28", """WITH RECURSIVE adj AS (SELECT flow_key, caller, callee, min(exec_order) AS o FROM flow_calls GROUP BY ALL),
    p AS (SELECT flow_key, caller AS root, callee, 1 AS depth, [caller] AS path, callee = caller AS cut FROM adj
-     UNION ALL SELECT p.flow_key, p.root, a.callee, p.depth + 1, list_append(p.path, a.caller), list_contains(list_append(p.path, a.caller), a.callee) FROM p JOIN adj a ON a.flow_key = p.flow_key AND a.caller = p.callee WHERE NOT p.cut AND p.depth < 50)
+     UNION ALL SELECT p.flow_key, p.root, a.callee, p.depth + 1, list_append(p.path, a.caller), list_contains(list_append(p.path, a.caller), a.callee) FROM p JOIN adj a ON a.flow_key = p.flow_key AND a.caller = p.callee WHERE NOT p.cut)
    SELECT root AS snippet_key, depth, count(*) AS entries FROM p GROUP BY ALL""")
 def src_28(t):
     from kgaudit.session import shared_folder
