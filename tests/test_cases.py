@@ -416,3 +416,40 @@ def test_parity_prefers_equal_then_suffix_then_containment(spark):
     names = spark.createDataFrame([("PAY",), ("ORDER",), ("SHIP",), ("LONGNAMEX",), ("QQ",)], "name STRING")
     declared = spark.createDataFrame([("PAY", "a"), ("PAYLATER", "b"), ("ORDERSERVICE", "c"), ("ORDERBOOK", "d"), ("SHIPMENT", "e"), ("NAME", "f"), ("LONG", "g"), ("NAMEX", "h")], "name STRING, path STRING")
     assert {(r.name, r.match) for r in roadmap.match_names(names, declared).collect()} == {("PAY", "PAY"), ("ORDER", "ORDERSERVICE"), ("SHIP", "SHIPMENT"), ("LONGNAMEX", "NAMEX")}
+
+
+# ------------------------------------------------------------------ traversal state
+
+
+def test_reach_follows_deep_chains(spark, monkeypatch):
+    """A chain, a cycle and shared targets against a plain search; the buckets are rewritten on the way."""
+    monkeypatch.setattr(graph, "LEVELS_PER_TABLE", 4)
+    edges = [(i, i + 1) for i in range(22)] + [(22, 3), (5, 100), (9, 100), (100, 101), (200, 201), (7, 7)]
+    table = spark.createDataFrame(edges, "a INT, b INT")
+    seeds = spark.createDataFrame([(0,), (0,), (101,)], "key INT")
+    got = graph.reach(seeds, lambda level: level.join(table, F.col("key") == F.col("a")).select(F.col("b").alias("key")), ["key"])
+    depth, queue = {0: 0, 101: 0}, deque([0, 101])
+    while queue:
+        n = queue.popleft()
+        for a, b in edges:
+            if a == n and b not in depth:
+                depth[b] = depth[n] + 1
+                queue.append(b)
+    assert {r.key: r.depth for r in got.collect()} == depth and got.count() == len(depth)
+
+
+def test_seen_rows_are_not_shuffled_again(spark):
+    """A step meets the stored rows bucket by bucket: only the step's side has an exchange."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        visited = graph.Visited(spark, ["key"])
+        visited.add(spark.range(5000).select(F.col("id").alias("key")))
+        visited.add(spark.range(5000, 6000).select(F.col("id").alias("key")))
+        step = visited.unseen(spark.range(4000, 8000).select(F.col("id").alias("key")))
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+        assert step.count() == 2000
+        assert visited.close().count() == 6000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
