@@ -78,14 +78,19 @@ def join_3(t):
 LAST = "list_last(list_filter(list_transform(string_split({x}, '::'), lambda p: trim(p)), lambda p: p <> ''))"
 
 
-@query("join_4", f"""WITH sites AS (SELECT {LAST.format(x='caller')} AS caller, {LAST.format(x='callee')} AS callee,
+@fixture
+def ck_gaps(d):
+    return f"""WITH sites AS (SELECT {LAST.format(x='caller')} AS caller, {LAST.format(x='callee')} AS callee,
      trim(string_split(caller,'::')[1]) AS caller_file, trim(string_split(callee,'::')[1]) AS callee_file, confidence AS trust_score, seq FROM call_edges),
    firsts AS (SELECT * EXCLUDE (rn) FROM (SELECT *, {bare('upper(caller)')} AS bc, {bare('upper(callee)')} AS be,
        row_number() OVER (PARTITION BY {bare('upper(caller)')}, {bare('upper(callee)')} ORDER BY seq, caller, callee, caller_file, callee_file, trust_score) AS rn FROM sites) WHERE rn = 1),
    names AS (SELECT flow_key, {bare('c')} AS bc FROM norm_a UNION SELECT flow_key, {bare('e')} FROM norm_a),
    known AS (SELECT flow_key, {bare('c')} AS bc, {bare('e')} AS be FROM norm_a UNION SELECT flow_key, {bare('c')}, {bare('e')} FROM norm_b)
    SELECT n.flow_key, f.caller, f.callee, f.caller_file, f.callee_file, f.trust_score FROM firsts f JOIN names n ON n.bc = f.bc
-   WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.flow_key = n.flow_key AND k.bc = f.bc AND k.be = f.be)""")
+   WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.flow_key = n.flow_key AND k.bc = f.bc AND k.be = f.be)"""
+
+
+@query("join_4", "SELECT * FROM ck_gaps")
 def join_4(t):
     return diff.coverage_gaps(*sides(t), t.call_edges)
 

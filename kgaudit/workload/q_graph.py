@@ -206,28 +206,29 @@ def gra_5(t):
     return gr.closure(r.roots, r.calls).select("key")
 
 
-@query("gra_6", """WITH RECURSIVE adj AS (SELECT flow_key, caller, callee, min(exec_order) AS o FROM flow_calls GROUP BY ALL),
+PATHS = """WITH RECURSIVE adj AS (SELECT flow_key, caller, callee, min(exec_order) AS o FROM flow_calls GROUP BY ALL),
    p AS (SELECT flow_key, caller AS root, caller, callee, 1 AS depth, o AS exec_order, [caller] AS path, callee = caller AS cut FROM adj
      UNION ALL SELECT p.flow_key, p.root, a.caller, a.callee, p.depth + 1, a.o, list_append(p.path, a.caller), list_contains(list_append(p.path, a.caller), a.callee) FROM p JOIN adj a ON a.flow_key = p.flow_key AND a.caller = p.callee WHERE NOT p.cut)
-   SELECT flow_key, root, caller, callee, depth, exec_order, cut, array_to_string(list_append(path, callee), '>') AS path FROM p""")
+   SELECT flow_key, root, caller, callee, depth, exec_order, cut, array_to_string(list_append(path, callee), '>') AS path FROM p"""
+
+
+@query("gra_6", PATHS)
 def gra_6(t):
     edges = gr.adjacency(t.flow_calls).select("flow_key", "caller", "callee", "exec_order")
     starts = edges.select("flow_key", F.col("caller").alias("node")).distinct()
     return gr.call_paths(edges, starts, None).withColumn("path", F.array_join("path", ">"))
 
 
-@query("src_28", """WITH RECURSIVE adj AS (SELECT flow_key, caller, callee, min(exec_order) AS o FROM flow_calls GROUP BY ALL),
-   p AS (SELECT flow_key, caller AS root, callee, 1 AS depth, [caller] AS path, callee = caller AS cut FROM adj
-     UNION ALL SELECT p.flow_key, p.root, a.callee, p.depth + 1, list_append(p.path, a.caller), list_contains(list_append(p.path, a.caller), a.callee) FROM p JOIN adj a ON a.flow_key = p.flow_key AND a.caller = p.callee WHERE NOT p.cut)
-   SELECT root AS snippet_key, depth, count(*) AS entries FROM p GROUP BY ALL""")
+@query("src_28", PATHS)
 def src_28(t):
+    """Every entry of the written ground truth, read back."""
     from kgaudit.session import shared_folder
     from kgaudit.sources import exports
 
     path = shared_folder(t.spark, "ground-truth")
-    exports.write_json(gra_6(t), path)
-    back = t.spark.read.schema("root STRING, depth INT").json(path)
-    return back.groupBy(F.col("root").alias("snippet_key"), "depth").agg(F.count(F.lit(1)).alias("entries"))
+    entries = gra_6(t)
+    exports.write_json(entries, path)
+    return t.spark.read.schema(entries.schema).json(path)
 
 
 @query("gra_7", f"""WITH RECURSIVE {ROOTS.format(n='r', e='flow_calls')}, a0 AS (SELECT flow_key, caller, callee, min(exec_order) AS o FROM flow_calls GROUP BY ALL),

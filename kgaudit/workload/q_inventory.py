@@ -444,10 +444,11 @@ def agg_5(t):
     return vd.verdict_summary(nodes, edges)
 
 
-@query("qr_31", """WITH r AS (SELECT flow_key, CASE WHEN tier IN ('phantom','missing') THEN tier ELSE 'confirmed' END AS section, c AS caller, e AS callee, tier, trust_score, cf, ef FROM verified),
+@query("qr_31", """WITH r AS (SELECT flow_key, CASE WHEN tier IN ('phantom','missing') THEN tier ELSE 'confirmed' END AS section, c AS caller, e AS callee, tier, trust_score FROM verified
+     UNION ALL SELECT flow_key, 'gap', caller, callee, 'gap', trust_score FROM ck_gaps),
    k AS (SELECT *, row_number() OVER (PARTITION BY flow_key, section ORDER BY caller, callee, tier, trust_score DESC) AS position, count(*) OVER (PARTITION BY flow_key, section) AS n FROM r)
-   SELECT flow_key, section, caller, callee, tier, position, greatest(n - CASE section WHEN 'confirmed' THEN 30 ELSE 20 END, 0) AS more FROM k WHERE position <= CASE section WHEN 'confirmed' THEN 30 ELSE 20 END""")
+   SELECT flow_key, section, caller, callee, tier, position, greatest(n - CASE WHEN section IN ('confirmed','gap') THEN 30 ELSE 20 END, 0) AS more FROM k WHERE position <= CASE WHEN section IN ('confirmed','gap') THEN 30 ELSE 20 END""")
 def qr_31(t):
     a, b = sides(t)
     report = vd.flow_report(diff.diff_edges(a, b), diff.coverage_gaps(a, b, t.call_edges), {"confirmed": 30, "phantom": 20, "missing": 20, "gap": 30})
-    return report.where("section <> 'gap'").select("flow_key", "section", "caller", "callee", "tier", "position", "more")
+    return report.select("flow_key", "section", "caller", "callee", "tier", "position", "more")

@@ -381,17 +381,20 @@ def src_31_json(t):
     return back.select("node_key", "old_topic", "new_topic", "changed_by", "execution_flow_key", "is_undo", "seq")
 
 
-@query("src_32", """SELECT flow_key, part, count(*) AS entries FROM (SELECT flow_key, concat(CASE WHEN tier IN ('phantom','missing') THEN tier ELSE 'confirmed' END, '_edges') AS part FROM verified
-   UNION ALL SELECT flow_key, 'graph_a' FROM norm_a UNION ALL SELECT flow_key, 'graph_b' FROM norm_b) GROUP BY ALL UNION ALL SELECT DISTINCT flow_key, 'summary', 1 FROM verified""")
+@query("src_32", """SELECT flow_key, concat(CASE WHEN tier IN ('phantom','missing') THEN tier ELSE 'confirmed' END, '_edges') AS part, c AS caller, e AS callee, cf AS caller_file, ef AS callee_file, tier, round(trust_score, 6) AS score FROM verified
+   UNION ALL SELECT flow_key, 'graph_a', c, e, cf, ef, NULL, NULL FROM norm_a UNION ALL SELECT flow_key, 'graph_b', c, e, cf, ef, NULL, NULL FROM norm_b
+   UNION ALL SELECT DISTINCT flow_key, 'summary', NULL, NULL, NULL, NULL, NULL, NULL::DOUBLE FROM verified""")
 def src_32(t):
+    """Every entry of the nested records, taken out of their JSON again."""
     from kgaudit.operators import diff
 
     a, b = sides(t)
     verified = diff.diff_edges(a, b)
     edges = a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
     records = exports.flow_result_records(diff.flow_scores(verified, a, b), verified, edges)
-    size = F.when(F.col("part") == "summary", 1).otherwise(F.json_array_length("json"))
-    return records.groupBy("flow_key", "part").agg(F.sum(size).alias("entries"))
+    entry = "array<struct<caller:string,callee:string,caller_file:string,callee_file:string,tier:string,trust_score:double>>"
+    read = F.when(F.col("part") == "summary", F.from_json(F.lit("[{}]"), entry)).otherwise(F.from_json("json", entry))
+    return records.select("flow_key", "part", F.inline(read)).withColumn("score", F.round("trust_score", 6)).drop("trust_score")
 
 
 # ------------------------------------------------------------------ change log
