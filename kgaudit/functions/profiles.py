@@ -7,7 +7,7 @@ and becomes expressions, or travels with the small matching helper.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +50,72 @@ MARKUP = Profile(
     block_rules=(("article", r"<article\b[^>]*(?P<name>)>", r"</article>"), ("nav", r"<nav\b[^>]*(?P<name>)>", r"</nav>")),
     line_comment="", comment_open="<!--", comment_close="-->",
 )
-DEFAULT_PROFILES = {p.language: p for p in (PASCAL, MARKUP)}
+
+# Words that may stand before a declaration, and the start of a line with any of them.
+_JVM_WORDS = "public|protected|private|static|final|abstract|synchronized|default|native|sealed"
+_NET_WORDS = "public|protected|private|internal|static|virtual|override|abstract|sealed|async|partial|readonly|extern"
+_KT_WORDS = "public|protected|private|internal|open|abstract|override|suspend|inline|data|sealed|final|operator|companion"
+
+
+def _after(words: str, least: str = "*") -> str:
+    return rf"^[ \t]*(?:(?:{words})[ \t]+){least}"
+
+
+_TYPE = r"[\w.<>\[\],?]+(?:[ \t]*<[^>]*>)?"
+_C_SKIP = ("if", "for", "while", "switch", "return", "catch", "new", "throw", "else", "do")
+_SCRIPT_FUNCTIONS = (
+    r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?function[ \t*]+(?P<name>[\w$]+)",
+    r"^[ \t]*(?:export[ \t]+)?(?:const|let|var)[ \t]+(?P<name>[\w$]+)(?:[ \t]*:[^=]+)?[ \t]*=[ \t]*(?:async[ \t]*)?(?:function\b|\([^)]*\)[^=]*=>|[\w$]+[ \t]*=>)",
+)
+_SCRIPT_CLASSES = (r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:abstract[ \t]+)?class[ \t]+(?P<name>[\w$]+)",)
+
+DELPHI = replace(PASCAL, language="delphi", extensions=(".pas", ".dpr", ".inc"))
+PYTHON = Profile(
+    "python", (".py",), function_patterns=(r"^[ \t]*(?:async[ \t]+)?def[ \t]+(?P<name>\w+)",), class_patterns=(r"^[ \t]*class[ \t]+(?P<name>\w+)",),
+    line_comment="#", comment_open='"""', comment_close='"""', string_delimiters=('"', "'"),
+)
+JAVA = Profile(
+    "java", (".java",), function_patterns=(_after(_JVM_WORDS, "+") + rf"(?:<[^>]*>[ \t]*)?(?:{_TYPE}[ \t]+)?(?P<name>\w+)[ \t]*\(",),
+    class_patterns=(_after(_JVM_WORDS) + r"(?:class|interface|enum|record)[ \t]+(?P<name>\w+)",), skip_tokens=_C_SKIP,
+)
+JAVASCRIPT = Profile("javascript", (".js", ".jsx"), _SCRIPT_FUNCTIONS, _SCRIPT_CLASSES, skip_tokens=_C_SKIP, string_delimiters=('"', "'", "`"))
+TYPESCRIPT = replace(
+    JAVASCRIPT, language="typescript", extensions=(".ts", ".tsx"),
+    class_patterns=(*_SCRIPT_CLASSES, r"^[ \t]*(?:export[ \t]+)?(?:interface|enum)[ \t]+(?P<name>[\w$]+)"),
+)
+CSHARP = Profile(
+    "csharp", (".cs",), function_patterns=(_after(_NET_WORDS, "+") + rf"(?:{_TYPE}[ \t]+)?(?P<name>\w+)[ \t]*(?:<[^>]*>)?[ \t]*\(",),
+    class_patterns=(_after(_NET_WORDS) + r"(?:class|interface|struct|record|enum)[ \t]+(?P<name>\w+)",), skip_tokens=_C_SKIP,
+)
+GO = Profile(
+    "go", (".go",), function_patterns=(r"^func[ \t]+(?:\([ \t]*\w+[ \t]+\*?(?P<owner>\w+)[^)]*\)[ \t]*)?(?P<name>\w+)[ \t]*[\[(]",),
+    class_patterns=(r"^type[ \t]+(?P<name>\w+)[ \t]+(?:struct|interface)\b",), class_group="owner", skip_tokens=_C_SKIP, string_delimiters=('"', "`"),
+)
+KOTLIN = Profile(
+    "kotlin", (".kt",), function_patterns=(_after(_KT_WORDS) + r"fun[ \t]+(?:<[^>]*>[ \t]*)?(?:(?P<owner>\w+)\.)?(?P<name>\w+)[ \t]*\(",),
+    class_patterns=(_after(_KT_WORDS) + r"(?:class|interface|object)[ \t]+(?P<name>\w+)",), class_group="owner", skip_tokens=_C_SKIP,
+)
+COBOL = Profile(
+    "cobol", (".cbl", ".cob"), function_patterns=(r"^[ \t\d]{0,7}(?P<name>[a-z0-9][\w-]*)(?:[ \t]+section)?[ \t]*\.[ \t]*$",),
+    class_patterns=(r"^[ \t\d]{0,7}program-id[ \t]*\.[ \t]*(?P<name>[\w-]+)",), call_patterns=(r"\bperform\s+(?P<callee>[\w-]+)", r"\bcall\s+['\"](?P<callee>[\w-]+)"),
+    line_comment="*>", comment_open="", comment_close="", string_delimiters=("'", '"'),
+)
+RPG = Profile(
+    "rpg", (".rpg", ".rpgle"), function_patterns=(r"^[ \t]*dcl-proc[ \t]+(?P<name>[\w#$@]+)", r"^.{0,40}?\bbegsr[ \t]+(?P<name>[\w#$@]+)", r"^.{0,6}[ \t]+(?P<name>[\w#$@]+)[ \t]+begsr\b"),
+    call_patterns=(r"\bexsr\s+(?P<callee>[\w#$@]+)", r"\bcallp\s+(?P<callee>[\w#$@]+)"), comment_open="", comment_close="", string_delimiters=("'",),
+)
+NATURAL = Profile(
+    "natural", (".nat",), function_patterns=(r"^[ \t]*define[ \t]+(?:subroutine|function)[ \t]+(?P<name>[\w#-]+)",),
+    call_patterns=(r"\bperform\s+(?P<callee>[\w#-]+)", r"\bcallnat\s+['\"](?P<callee>[\w#-]+)"), line_comment="/*", comment_open="", comment_close="", string_delimiters=("'",),
+)
+FOCUS = Profile(
+    "focus", (".foc",), function_patterns=(r"^[ \t]*-?define[ \t]+function[ \t]+(?P<name>\w+)", r"^-(?P<name>[a-z]\w*)[ \t]*$"),
+    call_patterns=(r"-include\s+(?P<callee>\w+)", r"\bex\s+(?P<callee>\w+)", r"-goto\s+(?P<callee>\w+)"), line_comment="-*", comment_open="", comment_close="", string_delimiters=("'",),
+)
+DEFAULT_PROFILES = {
+    p.language: p
+    for p in (PASCAL, DELPHI, MARKUP, PYTHON, JAVA, JAVASCRIPT, TYPESCRIPT, CSHARP, GO, KOTLIN, COBOL, RPG, replace(RPG, language="rpgle", extensions=(".rpgle",)), NATURAL, FOCUS)
+}
 
 
 def usable(patterns: tuple[str, ...], group: str = "name") -> list[str]:

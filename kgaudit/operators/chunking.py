@@ -1,7 +1,7 @@
 """Source files to chunks (TXT-1..3, WIN-1, WIN-2, WIN-4, WIN-5, WIN-14, UDF-2, FIL-15, AGG-22, AGG-27).
 
-Python only finds pattern matches; boundaries, class context and chunk texts are array
-expressions inside the file's own row, so chunking never shuffles file contents.
+Definitions, boundaries, class context and chunk texts are array expressions inside the
+file's own row, so chunking never shuffles file contents. Python finds forms and blocks.
 """
 
 from __future__ import annotations
@@ -16,36 +16,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from kgaudit.functions import scalars as fx
-from kgaudit.functions.profiles import DEFAULT_PROFILES, Profile, usable
+from kgaudit.functions.profiles import DEFAULT_PROFILES, Profile, by_language, java_regex, usable
 from kgaudit.session import first_per
 
-DEFINITION = StructType([
-    StructField("line", IntegerType()), StructField("name", StringType()), StructField("kind", StringType()), StructField("owner", StringType()),
-])
+DEFINITION = "array<struct<line:int,name:string,kind:string,owner:string>>"
 FLAGS = re.MULTILINE | re.IGNORECASE
 BLOCK_SIZE = 2048  # fixed value
 
 
-def find_definitions(profiles: dict[str, Profile]):
-    """Definitions of a text as (line, name, kind, owner), ordered by line."""
-    table = {n: (p.class_group, usable(p.function_patterns) + usable(p.class_patterns)) for n, p in profiles.items()}
+def _line_definitions(profile: Profile, lines: Column) -> Column:
+    """Definitions that the patterns of one language find at the start of a line."""
+    kinds = [(p, "function") for p in usable(profile.function_patterns)] + [(p, "class") for p in usable(profile.class_patterns)]
 
-    @F.pandas_udf(ArrayType(DEFINITION))
-    def scan(content: pd.Series, language: pd.Series) -> pd.Series:
-        compiled = {n: (g, [re.compile(x, FLAGS) for x in pats]) for n, (g, pats) in table.items()}
+    def hit(line: Column, i: Column, pattern: str, kind: str) -> Column:
+        groups, java = re.compile(pattern).groupindex, "(?i)" + java_regex(pattern)
+        name = F.regexp_extract(line, java, groups["name"])
+        owner = F.regexp_extract(line, java, groups[profile.class_group]) if profile.class_group in groups else F.lit("")
+        found = F.struct((i + 1).cast("int").alias("line"), name.alias("name"), F.lit(kind).alias("kind"), owner.alias("owner"))
+        return F.when(F.regexp_like(line, F.lit(java)) & (name != ""), found)
+
+    each = lambda line, i: F.array_compact(F.array(*[hit(line, i, p, k) for p, k in kinds]))
+    return F.flatten(F.transform(lines, each)) if kinds else F.array().cast(DEFINITION)
 
-        def one(text, lang):
-            group, patterns = compiled.get(lang, ("", []))
-            hits = []
-            for rank, pattern in enumerate(patterns):
-                for m in pattern.finditer(text or ""):
-                    if m["name"]:
-                        kind = "class" if "class" in m[0].lower().split() else "function"
-                        owner = m[group] if group and group in pattern.groupindex else ""
-                        hits.append((text.count("\n", 0, m.start()) + 1, rank, m.start(), m["name"], kind, owner or ""))
-            return [{"line": h[0], "name": h[3], "kind": h[4], "owner": h[5]} for h in sorted(hits)]
 
-        return pd.Series([one(t, n) for t, n in zip(content, language)])
+def find_definitions(profiles: dict[str, Profile]):
+    """Function of (lines, language): definitions as (line, name, kind, owner), ordered by line.
+
+    Patterns are compiled into expressions over the lines, so no text leaves its row or the
+    engine, and the work grows with the text. Patterns are anchored at the start of a line;
+    of a line that fits several, each counts, functions first.
+    """
+    def scan(lines: Column, language: Column) -> Column:
+        return by_language(language, profiles, lambda p: _line_definitions(p, lines), F.array().cast(DEFINITION))
 
     return scan
 
@@ -74,7 +76,7 @@ def chunk_definitions(files: DataFrame, profiles: dict[str, Profile] = DEFAULT_P
     stem = F.coalesce(F.nullif(fx.path_stem("path"), F.lit("")), F.lit("<module>"))
     parsed = files.where(fx.text("content") != "").select(
         "path", "language", "content", _text_lines("content").alias("lines"), stem.alias("stem"), keyword.alias("keyword"),
-        find_definitions(profiles)("content", "language").alias("found"))
+        find_definitions(profiles)(_text_lines("content"), F.col("language")).alias("found"))
     impl = F.array_position(F.transform("lines", lambda x: F.lower(fx.strip(x))), F.col("keyword"))
     kept = F.when((F.col("keyword") == "") | (impl == 0), F.col("found")).otherwise(F.filter("found", lambda d: (d["line"] > impl) | (d["owner"] != "")))
     parsed = parsed.withColumn("defs", kept)

@@ -9,6 +9,7 @@ from kgaudit.operators import chunking as ch
 from kgaudit.operators import graph as gr
 from kgaudit.operators import topics as tp
 from kgaudit.operators.normalize import resolve_aliases
+from kgaudit.plans.index_code import index_code
 from kgaudit.session import checkpointed, shared_folder
 from kgaudit.sources import files as sf
 from kgaudit.workload.registry import fixture, query
@@ -309,6 +310,51 @@ def src_20(t):
     return found.groupBy(F.substring_index("path", "/", 1).alias("top")).agg(F.sum("size").alias("bytes"), F.sum(F.octet_length("content")).cast("bigint").alias("decoded"), lines)
 
 
+# Source text of one routine in each language: {f} calls {g} of its own file, which calls {h} of another row.
+ROUTINES = {
+    "py": "def {f}(x):\n    # not_called({h})\n    return {g}(x)\n\n\ndef {g}(x):\n    return {h}(x)",
+    "js": "function {f}(x) {{\n  return {g}(x); // {f}2(x)\n}}\nconst {g} = (x) => {{\n  return {h}(x);\n}};",
+    "go": "func {f}(x int) int {{\n\treturn {g}(x)\n}}\nfunc (t *Table) {g}(x int) int {{\n\treturn {h}(x)\n}}",
+    "cs": "  public static int {f}(int x)\n  {{\n    return {g}(x); /* {h}(x) */\n  }}\n  private int {g}(int x)\n  {{\n    return {h}(x);\n  }}",
+    "kt": "fun {f}(x: Int): Int {{\n  return {g}(x)\n}}\nprivate fun Table.{g}(x: Int): Int {{\n  return {h}(x)\n}}",
+    "pas": "function {f}(x: integer): integer;\nbegin\n  result := {g}(x); {{ {h}(x) }}\nend;\nfunction TTable.{g}(x: integer): integer;\nbegin\n  result := {h}(x);\nend;",
+    "cob": "       {f} SECTION.\n           PERFORM {g}\n           EXIT SECTION.\n       {g} SECTION.\n           PERFORM {h}\n           EXIT SECTION.",
+    "rpg": "dcl-proc {f};\n  exsr {g};\nend-proc;\nbegsr {g};\n  exsr {h};\nendsr;",
+}
+OWNED = "CASE WHEN k % 8 IN (2, 4, 5) AND part = 'g' THEN CASE WHEN k % 8 = 5 THEN 'TTable' ELSE 'Table' END ELSE '' END"
+
+
+def scanned_tree(t):
+    """A tree of source files of eight languages, written, scanned and indexed."""
+    root, rows = shared_folder(t.spark, "sources"), t.part.select(F.col("p_partkey").alias("k"))
+    for n, (extension, routine) in enumerate(ROUTINES.items()):
+        text = F.lit(routine.replace("{{", "\x01").replace("}}", "\x02"))
+        for name, value in (("f", F.concat(F.lit("fa"), F.col("k"))), ("g", F.concat(F.lit("ga"), F.col("k"))), ("h", F.concat(F.lit("fa"), F.col("k") + 1))):
+            text = F.replace(text, F.lit("{" + name + "}"), value)
+        text = F.translate(text, "\x01\x02", "{}")
+        lines = rows.where(F.col("k") % len(ROUTINES) == n).select("k", F.posexplode(F.split(text, "\n")).alias("at", "line")).repartition(4, "k").sortWithinPartitions("k", "at")
+        plain = {"extension": extension, "sep": "\x01", "quote": "", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        lines.select("line").write.options(**plain).csv(f"{root}/app/{extension}")
+    files = sf.scan_sources(t.spark, root)
+    return index_code(files, shared_folder(t.spark, "index"))
+
+
+@query("src_20_index", f"""SELECT concat(part, 'a', k) AS function_name, {OWNED} AS class_name, ['python', 'javascript', 'go', 'csharp', 'kotlin', 'delphi', 'cobol', 'rpg'][k % 8 + 1] AS language
+   FROM (SELECT p_partkey AS k, unnest(['f', 'g']) AS part FROM part)""")
+def src_20_index(t):
+    """UDF-1: functions of all eight languages, with the class that a receiver names."""
+    return scanned_tree(t)["chunks"].where("function_name RLIKE '^[fg]a[0-9]+$'").select("function_name", "class_name", "language")
+
+
+@query("src_20_calls", """SELECT upper(concat('fa', p_partkey)) AS caller, upper(concat('ga', p_partkey)) AS callee FROM part
+   UNION ALL SELECT upper(concat('ga', p_partkey)), upper(concat('fa', p_partkey + 1)) FROM part WHERE p_partkey + 1 IN (SELECT p_partkey FROM part)""")
+def src_20_calls(t):
+    """Calls found in the scanned tree, none of them from comments or strings."""
+    edges = scanned_tree(t)["call_edges"]
+    last = lambda c: F.upper(F.element_at(F.split(c, "::"), -1)).alias(c)
+    return edges.select(last("caller"), last("callee")).where("caller RLIKE '^[FG]A[0-9]+$'")
+
+
 @query("fil_15", """SELECT 'Red_bolt' AS function_name, file_path, class_name, 1 AS line_start, 2 AS line_end, concat('procedure ', function_name) AS content, CAST(NULL AS VARCHAR) AS error FROM code_index WHERE upper(function_name) = 'RED_BOLT' ORDER BY file_path, class_name LIMIT 3""")
 def fil_15(t):
     texts = t.code_index.selectExpr("file_path AS path", "function_name", "class_name", "1 AS line_start", "2 AS line_end", "concat('procedure ', function_name) AS content")

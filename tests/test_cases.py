@@ -453,3 +453,44 @@ def test_seen_rows_are_not_shuffled_again(spark):
         assert visited.close().count() == 6000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+# ------------------------------------------------------------------ language profiles
+
+SOURCES = {
+    "delphi": ("a.pas", "unit U;\nfunction TBox.Open(x: int): int;\nbegin\nend;\nprocedure Shut;", [("Open", "TBox"), ("Shut", "")]),
+    "python": ("a.py", "class Box:\n    async def open(self):\n        pass\n    def shut(self): pass", [("open", "Box"), ("shut", "Box")]),
+    "java": ("A.java", "public class Box {\n  public static <T> Map<String, T> open(int x) {\n    if (x > 1) return shut(x);\n  }\n  private int shut(int x) { }\n}", [("open", "Box"), ("shut", "Box")]),
+    "javascript": ("a.js", "export class Box {\n}\nexport async function open(x) {}\nconst shut = async (x) => x;\nlet n = open(1);", [("open", "Box"), ("shut", "Box")]),
+    "typescript": ("a.ts", "interface Box { }\nexport const open = (x: number): number => x;\nfunction shut() {}", [("open", "Box"), ("shut", "Box")]),
+    "csharp": ("a.cs", "internal sealed class Box {\n  public override async Task<int> Open(int x) {\n    while (x > 1) Shut(x);\n  }\n  static void Shut<T>(T x) { }", [("Open", "Box"), ("Shut", "Box")]),
+    "go": ("a.go", "type Box struct {\n}\nfunc (b *Box) Open(x int) int {\n}\nfunc Shut[T any](x T) {\n}", [("Open", "Box"), ("Shut", "Box")]),
+    "kotlin": ("a.kt", "data class Box(val n: Int)\noverride suspend fun <T> open(x: T) {}\nfun Lid.shut() = 1", [("open", "Box"), ("shut", "Lid")]),
+    "cobol": ("a.cbl", "       PROGRAM-ID. BOX.\n       OPEN-IT SECTION.\n           PERFORM SHUT-IT.\n       SHUT-IT.\n           STOP RUN.", [("OPEN-IT", "BOX"), ("SHUT-IT", "BOX")]),
+    "rpg": ("a.rpg", "dcl-proc open;\n  exsr shut;\nend-proc;\nbegsr shut;\nendsr;", [("open", ""), ("shut", "")]),
+    "rpgle": ("a.rpgle", "     C     SHUT          BEGSR\n     C                   ENDSR\n dcl-proc open;", [("SHUT", ""), ("open", "")]),
+    "natural": ("a.nat", "DEFINE SUBROUTINE OPEN-IT\n  PERFORM SHUT\nEND-SUBROUTINE\nDEFINE FUNCTION SHUT", [("OPEN-IT", ""), ("SHUT", "")]),
+    "focus": ("a.foc", "-DEFINE FUNCTION OPENIT(X)\n-OTHER\n-IF X THEN GOTO OTHER;", [("OPENIT", ""), ("OTHER", "")]),
+}
+
+
+def test_default_profiles_find_definitions(spark):
+    """Functions and the class each belongs to, for every language that a scan yields profiles for; \\r\\n lines too."""
+    rows = [(path, text.replace("\n", end), lang) for lang, (path, text, _) in SOURCES.items() for end in ("\n", "\r\n")]
+    found = chunking.chunk_definitions(spark.createDataFrame(rows, "path STRING, content STRING, language STRING"))
+    got = {}
+    for r in found.where("line_start > 0").collect():
+        got.setdefault(r.language, []).append((r.line_start, r.function_name, r.class_name))
+    for lang, (_, _, want) in SOURCES.items():
+        names = {n for n, _ in want}
+        assert sorted({(n, c) for _, n, c in got[lang] if n in names}) == sorted(want), lang
+        assert len([1 for _, n, _ in got[lang] if n in names]) == 2 * len(want), lang
+
+
+def test_definitions_of_a_long_text(spark):
+    """A text of many lines takes time in proportion, since no line is looked at twice."""
+    text = "\n".join(f"def f{i}(x):\n    return f{i + 1}(x)" for i in range(20_000))
+    files = spark.createDataFrame([("a.py", text, "python"), ("b.py", None, "python"), ("c.x", "def f(): 1", "none")], "path STRING, content STRING, language STRING")
+    found = chunking.find_definitions(chunking.DEFAULT_PROFILES)(chunking._text_lines("content"), F.col("language"))
+    sizes = {r.path: r.n for r in files.select("path", F.size(found).alias("n")).collect()}
+    assert sizes["a.py"] == 20_000 and sizes["c.x"] == 0
