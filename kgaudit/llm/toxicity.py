@@ -2,14 +2,14 @@
 
 The kernel compares two short strings by their common subsequences of three characters, each
 weighted by LAMBDA to the power of its span; so inserted and left-out characters cost a little,
-not everything. An exponential makes it local. Its strings are the windows of a sentence: a word, a word without its signs,
-or a run of single characters. A support vector machine on the landmarks' kernel values tells
-insulting windows from others, a sentence is as toxic as its worst windows, and a document as its
-worst sentences.
+not everything. An exponential makes it local. Its strings are windows of a text: a word, a word
+without its signs, or a run of single characters. A support vector machine on the landmarks' kernel
+values tells insulting windows from others, and a document is as toxic as its worst windows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,16 +22,20 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from kgaudit.llm.arrow import map_texts
 from kgaudit.llm.exprs import narrow
-from kgaudit.llm.hashing import shingle_set
+from kgaudit.llm.hashing import mix, shingle_set
 from kgaudit.llm.learning import labelled_sample, logistic, sigmoid, with_fold
 from kgaudit.session import checkpointed
 
 FOLDS, HELD = 3, 1
 # Labelled documents of either label that a model is fitted on.
 SAMPLE = 6000
-# Windows of either label, landmarks, and documents and share of the toxic documents that an
-# insulting window must stand in.
-WINDOWS, LANDMARKS, LEAST, SHARE = 1500, 320, 3, 0.01
+# Windows of either label, and landmarks.
+WINDOWS, LANDMARKS = 1500, 320
+# A window is an insulting example if its share of toxic documents is no chance find: if the log
+# likelihood ratio exceeds the logarithm of the number of windows by SURE.
+SURE = 1.0
+# Shingle hashes by which near copies in the sample are told.
+SIGNS = 3
 # Copies of each window with an inserted character.
 GAPPED = 3
 # Rounds that each add the clean windows which the machine takes for insults most.
@@ -50,16 +54,11 @@ TOP, LEVELS, FLOOR = 3, (0.0, 0.5, 1.0), -1.5
 FEATURES = TOP + len(LEVELS) + 1
 
 
-def _alphabet() -> np.ndarray:
-    """128 symbols: ASCII as it is, all else on the places of capitals and control characters, which windows lack."""
-    free = [*range(1, 32), *range(65, 91)]
-    table = np.arange(0x110000) % len(free)
-    table = np.array(free, np.int64)[table]
-    table[:128] = np.arange(128)
-    return table
+def _parts(points: np.ndarray) -> list[np.ndarray]:
+    """Of each character, three numbers: as the first, second and third of a subsequence. Their sum's upper bits number it."""
+    return [(mix(points.astype(np.uint64) + np.uint64(0x110000 * k)) >> np.uint64(32)).astype(np.uint32) for k in (1, 2, 3)]
 
 
-_SYMBOLS = _alphabet()
 _COMBOS: dict[int, tuple] = {}
 
 
@@ -88,8 +87,8 @@ def features(windows: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         for start in range(0, len(places), 2048):
             own = places[start : start + 2048]
             points = np.frombuffer("".join(windows[p] for p in own).encode("utf-32-le", "surrogatepass"), np.uint32)
-            c = _SYMBOLS[points].reshape(len(own), length)
-            number = (c[:, i] << 14) | (c[:, j] << 7) | c[:, k]
+            one, two, three = (x.reshape(len(own), length) for x in _parts(points))
+            number = (one[:, i] + two[:, j] + three[:, k]) >> np.uint32(11)
             order = np.argsort(number, axis=1, kind="stable")
             number, value = np.take_along_axis(number, order, 1), weight[order]
             new = np.ones(number.shape, bool)
@@ -159,6 +158,9 @@ def words_of(text: str) -> set[str]:
     return set(low.split()) | {"".join(m.split()) for m in _APART.findall(low)}
 
 
+_SCORERS: dict[str, object] = {}
+
+
 @dataclass
 class ToxicModel:
     """Landmarks, their weights in the machine, its bias, and the logistic step to a probability."""
@@ -169,7 +171,19 @@ class ToxicModel:
     bias: float
     link: np.ndarray
 
+    @property
+    def name(self) -> bytes:
+        """A digest of what the margins depend on."""
+        return hashlib.sha256(repr((self.landmarks, self.n_bad, self.bias)).encode("utf-8", "surrogatepass") + self.alpha.tobytes()).digest()
+
     def scorer(self):
+        """A function from texts to features; kept by the worker from task to task, with the margins of the words it has seen."""
+        if _SCORERS.get("name") != self.name:
+            _SCORERS.clear()
+            _SCORERS.update(name=self.name, worst=self._scorer())
+        return _SCORERS["worst"]
+
+    def _scorer(self):
         landmarks = Landmarks(self.landmarks, self.n_bad)
         known: dict[str, float] = {}
 
@@ -207,17 +221,20 @@ class ToxicModel:
 
 
 def _without_copies(sample: DataFrame) -> DataFrame:
-    """One sampled document of each label and smallest shingle hash. Stored.
+    """The sampled documents that share none of ``SIGNS`` smallest shingle hashes with one of a smaller id and their label. Stored.
 
-    Near copies mostly share that hash; counted apart, they would make any word of theirs look typical.
+    Near copies mostly share one; counted apart, they would make any word of theirs look typical.
     """
-    signed = map_texts(
-        sample,
-        lambda: lambda texts: [[int(s[0].view(np.int64)) if len(s := shingle_set(t)) else 0 for t in texts]],
-        StructType([StructField("sign", LongType())]),
-    )
-    one = signed.groupBy("label", "sign").agg(F.min("doc_id").alias("doc_id"))
-    return checkpointed(sample.join(one.select("doc_id"), "doc_id", "left_semi").repartition(24, "doc_id"))
+
+    def signs(text: str) -> list[int]:
+        items = shingle_set(text)
+        return [int(mix(items + np.uint64(k)).min().view(np.int64)) if len(items) else k for k in range(SIGNS)]
+
+    signed = map_texts(sample, lambda: lambda texts: [[signs(t) for t in texts]], StructType([StructField("signs", ArrayType(LongType()))]))
+    each = checkpointed(signed.select("doc_id", "label", F.posexplode("signs").alias("no", "sign")))
+    first = each.groupBy("label", "no", "sign").agg(F.min("doc_id").alias("first"))
+    copies = each.join(first, ["label", "no", "sign"]).filter("doc_id <> first").select("doc_id")
+    return checkpointed(sample.join(copies, "doc_id", "left_anti").repartition(24, "doc_id"))
 
 
 def word_table(sample: DataFrame) -> DataFrame:
@@ -273,10 +290,12 @@ def _window_model(bad: dict[str, int], good: dict[str, int], hard: dict[str, int
     bad, good, hard = list(bad), list(good), list(hard)
     rng = np.random.default_rng(3)
     drawn = lambda words, n: [words[i] for i in sorted(rng.permutation(len(words))[:n])]
-    # Half of the landmarks are insulting windows, the most frequent first; the others are drawn.
+    # Half of the landmarks are insulting windows, the surest ones and others drawn from all; the rest are drawn too.
     near = drawn(hard, LANDMARKS // 4)
-    own = [*bad[: LANDMARKS // 2], *near, *[w for w in drawn(good, LANDMARKS // 4) if w not in near]]
-    marks = Landmarks(own, len(bad[: LANDMARKS // 2]))
+    sure = bad[: LANDMARKS // 4]
+    worst = sure + drawn(bad[LANDMARKS // 4 :], LANDMARKS // 4)
+    own = [*worst, *near, *[w for w in drawn(good, LANDMARKS // 4) if w not in near]]
+    marks = Landmarks(own, len(worst))
     inner = marks.all_values(own)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     keep = values > 1e-6 * values.max()
@@ -284,7 +303,7 @@ def _window_model(bad: dict[str, int], good: dict[str, int], hard: dict[str, int
     positive, negative = bad + _gapped(bad * GAPPED, 1), good + _gapped(good * GAPPED, 2) + hard
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
     weights, bias = _machine(marks.all_values(positive + negative) @ root, y, weight)
-    return ToxicModel(own, len(bad[: LANDMARKS // 2]), root @ weights, bias, np.zeros(FEATURES + 1))
+    return ToxicModel(own, len(worst), root @ weights, bias, np.zeros(FEATURES + 1))
 
 
 def _margin_start(model: ToxicModel):
@@ -298,11 +317,12 @@ def _margin_start(model: ToxicModel):
 def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE, label: str = "toxic", folds: int = FOLDS, held: int = HELD, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
     """A model from at most ``each`` labelled documents of either label outside the held-out fold.
 
-    A clean document's sentences are clean; a toxic one holds toxic sentences somewhere. So
-    windows that stand in several toxic and in no clean document are the machine's positive
-    examples, and those of clean documents the negative ones; both also come with an inserted
-    character. The probability is fitted on whole documents. The driver gets ``WINDOWS``
-    windows of either kind and two numbers per sampled document.
+    A toxic document holds insults somewhere, and a clean one hardly any. So windows that stand
+    in toxic documents far more often than chance allows are the machine's positive examples
+    (a clean document that quotes one, or a wrong label, doesn't matter), and those of clean
+    documents the negative ones; both also come with an inserted character. The probability is
+    fitted on whole documents. The driver gets ``WINDOWS`` windows of either kind, the surest or
+    most frequent first, and two rows of numbers per sampled document.
 
     Without both labels the score is the constant share of label 1 (0.5 for no labels at all).
     """
@@ -310,10 +330,14 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE, label: str = "to
     counted = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     total = sum(counted.values())
     table = word_table(sample)
-    clean = table.filter("clean > 0")
-    enough = max(LEAST, counted.get(1, 0) * SHARE)
+    share = min(max(counted.get(1, 0) / total, 1e-6), 1 - 1e-6) if total else 0.5
+    n = F.col("toxic") + F.col("clean")
+    part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * p))).otherwise(0.0)
+    marked = table.withColumn("sure", F.when(F.col("toxic") > n * share, part("toxic", share) + part("clean", 1 - share)).otherwise(0.0))
+    insulting = F.col("sure") >= float(np.log(max(1, table.count()))) + SURE
+    clean = marked.filter((F.col("clean") > 0) & ~insulting)
     taken = lambda rows: {r["word"]: r["toxic"] + r["clean"] for r in rows.select("word", "toxic", "clean").limit(WINDOWS).collect()}
-    bad = taken(table.filter((F.col("clean") == 0) & (F.col("toxic") >= enough)).orderBy(F.desc("toxic"), "word"))
+    bad = taken(marked.filter(insulting).orderBy(F.desc("sure"), "word"))
     good = taken(clean.orderBy(F.desc("clean"), "word")) | taken(clean.orderBy(F.xxhash64("word"), "word"))
     if not bad or not good:
         p = min(max(counted.get(1, 0) / total if total else 0.5, 0.01), 0.99)
@@ -332,7 +356,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE, label: str = "to
 
     # The logistic step sees each document as it is, and with a character put into every word.
     kinds = StructType([StructField(c, ArrayType(DoubleType())) for c in ("plain", "gapped")])
-    made = map_texts(sample, start, kinds).orderBy("doc_id").toArrow()
+    made = map_texts(sample, start, kinds).toArrow().sort_by("doc_id")
     seen = np.array(made.column("plain").to_pylist() + made.column("gapped").to_pylist(), np.float64).reshape(-1, FEATURES)
     truth = np.array(made.column("label").to_pylist() * 2, np.float64)
     model.link = logistic(seen, truth, ridge=1e-4)
