@@ -90,29 +90,30 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """Every original record: page_id, record_type, refers_to, payload_digest, payload_bytes, payload, record, verified.
 
     ``record`` holds the bytes of the WARC record: header, HTTP head, payload (none in a
-    revisit) and the two closing line ends.
+    revisit) and the two closing line ends. ``verified`` tells whether the payload fits its address
+    and the header's digest, the record is as long as its header says, and its block is that payload.
+    A header whose payload is missing gives an unverified record.
     """
-    records = read_headers(spark, folder).join(read_payloads(spark, folder), "address")
+    records = read_headers(spark, folder).join(read_payloads(spark, folder), "address", "left")
+    head, tail = F.lit(HTTP_HEAD.encode()), F.lit((CRLF * 2).encode())
     block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return records.select(
-        "page_id", "record_type", "refers_to", "payload_digest", F.octet_length("payload").cast("bigint").alias("payload_bytes"), "payload",
-        F.concat(F.col("header").cast("binary"), F.lit(HTTP_HEAD.encode()), block, F.lit((CRLF * 2).encode())).alias("record"),
-        (F.col("verified") & (F.sha1("payload") == F.col("payload_digest"))).alias("verified"),
+    whole = records.withColumn("record", F.concat(F.col("header").cast("binary"), head, block, tail))
+    start, length = F.octet_length("header"), _read("Content-Length").cast("bigint")
+    body = F.substring(F.col("record"), start + len(HTTP_HEAD) + 1, (length - len(HTTP_HEAD)).cast("int"))
+    intact = (F.octet_length("record") == start + length + len(CRLF * 2)) & ((F.col("record_type") == "revisit") | (F.sha1(body) == F.col("payload_digest")))
+    good = F.col("verified") & (F.sha1("payload") == F.col("payload_digest")) & intact
+    return whole.select(
+        "page_id", "record_type", "refers_to", "payload_digest", F.octet_length("payload").cast("bigint").alias("payload_bytes"), "payload", "record", F.coalesce(good, F.lit(False)).alias("verified"),
     )
 
 
 def archive_digest(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
-    """Write ``pages`` to a fresh archive in the shared folder, read it back and report each record.
+    """Write ``pages`` to a fresh archive in the shared folder, read its records back and report each one.
 
-    Fails on a payload whose bytes don't match its digests.
+    Fails on a record that can't be rebuilt as its header and its payload's digests say.
     """
     spark = pages.sparkSession
     folder = shared_folder(spark, "archive")
     write_archive(pages, folder, min_revisit=min_revisit)
-    checked = read_payloads(spark, folder).select(
-        "address", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("found"),
-        F.when(F.col("verified"), True).otherwise(F.raise_error("a stored payload does not match its digest").cast("boolean")).alias("verified"),
-    )
-    return read_headers(spark, folder).join(checked, "address").filter(F.col("verified") & (F.col("found") == F.col("payload_digest"))).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
-    )
+    size = F.when(F.col("verified"), F.col("payload_bytes")).otherwise(F.raise_error(F.lit("a stored record does not match its header or its payload's digest")).cast("bigint"))
+    return read_records(spark, folder).select("page_id", size.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

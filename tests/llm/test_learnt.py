@@ -115,6 +115,28 @@ def test_archive_round_trip(spark, tmp_path):
     assert archive.archive_digest(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part, change", [("payloads", "payload"), ("headers", "digest"), ("headers", "length"), ("payloads", "missing")])
+def test_damaged_archives_are_noticed(spark, tmp_path, monkeypatch, part, change):
+    pages = spark.createDataFrame([(1, "u", "a" * 2000), (2, "u", "b" * 1500)], "page_id bigint, url string, html string")
+    folder, other = str(tmp_path / "good"), str(tmp_path / "bad")
+    archive.write_archive(pages, folder)
+    for name in ("payloads", "headers"):
+        df = spark.read.parquet(f"{folder}/{name}")
+        if name == part:
+            swap = lambda a, b: df.withColumn("header", F.regexp_replace("header", a, b))
+            df = {
+                "payload": lambda: df.withColumn("payload", F.concat("payload", F.lit(b"!"))), "digest": lambda: swap("sha1:[0-9a-f]{3}", "sha1:000"),
+                "length": lambda: swap("Length: ", "Length: 9"), "missing": lambda: df.filter("n_bytes = 2000"),
+            }[change]()
+        df.write.parquet(f"{other}/{name}")
+    assert [r.verified for r in archive.read_records(spark, folder).collect()] == [True, True]
+    assert len(got := archive.read_records(spark, other).collect()) == 2 and not all(r.verified for r in got)
+    monkeypatch.setattr(archive, "shared_folder", lambda *_: other)
+    monkeypatch.setattr(archive, "write_archive", lambda *_, **__: None)
+    with pytest.raises(Exception, match="does not match"):
+        archive.archive_digest(pages).collect()
+
+
 def brute_groups(rows):
     sets = {}
     for i, t in rows:
