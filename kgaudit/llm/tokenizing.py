@@ -25,6 +25,7 @@ MEMO_ENTRIES = 400_000
 # White space other than blank, tab and line feed; texts that hold some are not cut into pieces.
 _ODD_SPACE = re.compile("[\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 _ODD_ASCII = "\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_WHITE = re.compile("[ \t\n]")
 _RUNS = ["\x00", "\t", "  ", "\n\n", " \n", "\n "]
 _PIECE = re.compile("[ \t\n]*[^ \t\n]+|[ \t\n]+")
 _LOADED: dict[str, object] = {}
@@ -88,9 +89,13 @@ def chunked_ids(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = O
         width, end = overlap, min(hi + chunk, n)
         while True:
             start = hi - width
-            if start <= lo:  # no room left: one larger chunk instead of two
-                tokens, hi = encode(lo, end), end
+            if start <= lo:  # no room left: one chunk twice as long, so that a text that never aligns takes time in proportion
+                hi = min(hi + max(chunk, hi - lo), n)
+                tokens = encode(lo, hi)
                 break
+            if not _WHITE.search(text, start - 1, hi):  # no join is possible here
+                width *= 2
+                continue
             right = encode(start, end)
             shared_left = next((k for k, t in enumerate(tokens) if t[0] >= start), len(tokens))
             shared_right = next((k for k, t in enumerate(right) if t[1] > hi), len(right))
