@@ -47,6 +47,16 @@ def test_pieces_equal_whole_text(path):
             assert b"".join(ids.of([cut])[0]) == np.array(want, "<u4").tobytes()
 
 
+def test_ranks_give_the_same_ids():
+    """The faster encoding of a plain byte-level file, on any text; other files have none."""
+    tok, rnd, fast = tokenizing.load_tokenizer(BYTE), random.Random(9), tokenizing.by_ranks(BYTE)
+    for k in range(400):
+        text = noise(rnd, rnd.randint(0, 60)) if k % 2 else "".join(chr(rnd.choice([rnd.randint(1, 0x2FF), rnd.randint(0x400, 0xD7FF), rnd.randint(0xE000, 0x10FFFF)])) for _ in range(60))
+        text = text.replace("<|endoftext|>", "")
+        assert fast(text) == tok.encode(text, add_special_tokens=False).ids
+    assert tokenizing.by_ranks(WORD) is None
+
+
 def test_token_counts(corpus):
     rows = list(enumerate([*ODD, noise(random.Random(1), 400)])) + [(None, "lone"), (1 << 60, "big id")]
     tok = Tokenizer.from_file(WORD)
