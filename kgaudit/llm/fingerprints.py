@@ -1,10 +1,10 @@
 """Invertible Bloom lookup fingerprints of documents, compared by subtraction and peeling.
 
 A paragraph of a document is a line, or a piece of a long line that ends where the text itself
-says so; its digest covers its text and how often the document holds it. A fingerprint spreads each digest over three of its cells; a cell holds the count,
-the exclusive or of the digests and the exclusive or of check values. Subtracting the cells of
-two fingerprints leaves the paragraphs that differ, and peeling cells with a single digest
-recovers them.
+says so. A fingerprint spreads each paragraph's digest over three of its cells; a cell holds the
+count, the exclusive or of the digests and the exclusive or of check values. Subtracting the
+cells of two fingerprints leaves the paragraphs that differ, and peeling cells with a single
+digest recovers them.
 
 Cells are kept sparse: an array of (cell, n, key, chk), sorted by cell, without empty ones.
 """
@@ -16,14 +16,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from kgaudit.llm.exprs import narrow
-from kgaudit.session import checkpointed
+from kgaudit.session import bucketed, checkpointed
 
 CELLS = 36
-# Lines of more characters are cut after words whose hash is 0 modulo WORDS, and pieces that are
-# still RUNS times as long after characters that end a run of three with a hash of 0 modulo CHARS.
-LONG, WORDS, RUNS, CHARS = 64, 8, 8, 64
-# Sizes that a failed peeling is retried with are CELLS times powers of this.
-GROWTH, RETRIES = 4, 12
+# Smallest digests that a fingerprint keeps, to estimate how many differ between two documents.
+LEAST = 32
+# Cells of a sketch for each digest that should differ, and some more; peeling needs 1.23 in the limit.
+PER_DIGEST, SPARE = 2.0, 12
+# Rounds of peeling, each over one third of the cells; a failed peeling is retried with GROWTH times the cells.
+ROUNDS, GROWTH, RETRIES = 12, 2, 12
+# A paragraph ends with its line, or with a word whose last character has a code that 7 divides
+# (beyond Latin: lies in one of some ranges). Pieces that are still longer than LONG are cut after
+# characters that end a run of three with a hash of 0 modulo CHARS. So only characters at its end
+# decide where a piece ends, and an edit changes the pieces that it touches and no others.
+LONG, CHARS = 512, 64
+_ASCII = "".join(rf"\x{c:02x}" for c in range(35, 127, 7))
+_BEYOND = "".join(rf"\x{{{c:x}}}-\x{{{c + 3:x}}}" for c in range(0xC0, 0x700, 32))
+ENDS = rf"[\n ](?<=\n|[{_ASCII}{_BEYOND}] )"
+# Words of the first characters count as paragraphs of their own, so that short texts have several.
+OPENING = 64
 CELL = "array<struct<cell:int,n:int,key:bigint,chk:bigint>>"
 
 
@@ -60,21 +71,25 @@ def paragraphs(text: Column) -> Column:
     So an edit changes the pieces that it touches, and the rest of a long line stays as it was.
     Text that repeats one word or a short run of characters is cut everywhere or nowhere.
     """
-    one = lambda x: F.array(x)
-    by_word = lambda x: _cut(F.split(x, " "), lambda w, i: F.pmod(F.xxhash64(w[i]), F.lit(WORDS)) == 0, " ")
     run = lambda c, i: F.xxhash64(F.get(c, i - 2), F.get(c, i - 1), c[i])
     by_char = lambda x: _cut(F.split(x, ""), lambda c, i: F.pmod(run(c, i), F.lit(CHARS)) == 0, "")
-    finer = lambda x: F.when(F.char_length(x) > LONG * RUNS, by_char(x)).otherwise(one(x))
-    pieces = lambda x: F.when(F.char_length(x) > LONG, F.flatten(F.transform(by_word(x), finer))).otherwise(one(x))
-    return F.flatten(F.transform(F.split(text, "\n"), pieces))
+    finer = lambda x: F.when(F.char_length(x) > LONG, by_char(x)).otherwise(F.array(x))
+    cut = lambda parts: F.when(F.exists(parts, lambda x: F.char_length(x) > LONG), F.flatten(F.transform(parts, finer))).otherwise(parts)
+    return _let(F.split(text, ENDS), cut)
 
 
 def paragraph_digests(text: Column) -> Column:
-    """Sorted 64-bit digests of the distinct paragraphs of a text, each with its number of repeats."""
-    lines = F.array_sort(F.transform(paragraphs(text), lambda x: F.xxhash64(x)))
-    fold = lambda rows, starts: F.transform(starts, lambda p, j: F.xxhash64(rows[p], _run_length(rows, starts, j)))
-    counted = _let(lines, lambda rows: _let(_run_starts(rows, lambda x: x), lambda starts: fold(rows, starts)))
-    return F.array_sort(counted)
+    """Sorted distinct 64-bit digests of the paragraphs of a text and of the words of its opening.
+
+    The k-th repeat of a paragraph has a digest of its own, so one more repeat adds one digest.
+    """
+    opening = F.transform(F.split(F.substring(text, 1, OPENING), "[ \\n]"), lambda w: F.xxhash64(w, F.lit("opening")))
+    found = F.sort_array(F.concat(F.transform(paragraphs(text), lambda x: F.xxhash64(x)), opening))
+    repeats = lambda rows, starts: F.transform(
+        starts, lambda p, j: F.transform(F.sequence(F.lit(0), _run_length(rows, starts, j) - 1), lambda k: F.when(k == 0, rows[p]).otherwise(F.xxhash64(rows[p], k)))
+    )
+    numbered = lambda rows: F.sort_array(F.flatten(_let(_run_starts(rows, lambda x: x), lambda starts: repeats(rows, starts))))
+    return _let(found, lambda rows: F.when(F.size(F.array_distinct(rows)) == F.size(rows), rows).otherwise(numbered(rows)))
 
 
 def _check(digest: Column) -> Column:
@@ -93,7 +108,7 @@ def _merge(rows: Column) -> Column:
 
         return F.transform(starts, cell)
 
-    merged = _let(F.array_sort(rows), lambda rows: _let(_run_starts(rows, lambda x: x["cell"]), lambda starts: fold(rows, starts)))
+    merged = _let(F.sort_array(rows), lambda rows: _let(_run_starts(rows, lambda x: x["cell"]), lambda starts: fold(rows, starts)))
     return F.filter(merged, lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["chk"] != 0))
 
 
@@ -116,64 +131,100 @@ def sketch(digests: Column, cells: Column | int = CELLS, seed: Column | int = 0)
     return _merge(_entries(digests, as_col(cells), as_col(seed)))
 
 
-def subtract(a: Column, b: Column) -> Column:
-    """Cells of the digests that only one side has: counts are positive for ``a``, negative for ``b``."""
-    return _merge(F.concat(a, F.transform(b, lambda c: F.struct(c["cell"], (-c["n"]).alias("n"), c["key"], c["chk"])).cast(CELL)))
+def first_size(a: Column, b: Column) -> Column:
+    """Cells for the digests that two documents should differ by, judged from the ``LEAST`` smallest of each."""
+    least = lambda x: F.slice(x, 1, LEAST)
+    joint = F.slice(F.sort_array(F.array_union(least(a), least(b))), 1, LEAST)
+    share = F.size(F.array_intersect(F.array_intersect(least(a), least(b)), joint)) / F.greatest(F.size(joint), F.lit(1))
+    expected = _let(share, lambda j: (F.size(a) + F.size(b)) * (1 - j) / (1 + j))
+    return F.greatest(F.ceil((expected * PER_DIGEST + SPARE) / 3) * 3, F.lit(CELLS)).cast("int")
 
 
-def peel(cells: Column, size: Column, seed: Column) -> Column:
-    """(cells, only_a, only_b): what is left, and the digests found on each side.
+def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells of several entries: counts added, keys and checks combined by exclusive or; empty cells go."""
+    total = rows.groupBy(*keys, "size", "seed", "cell", "rec").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk"))
+    return total.filter("n <> 0 OR key <> 0 OR chk <> 0")
 
-    A round takes every cell whose single digest fits its check value, and removes these
-    digests everywhere. The peeling has succeeded when no cells are left.
-    """
-    none = F.array().cast("array<bigint>")
-    start = F.struct(cells.alias("cells"), none.alias("only_a"), none.alias("only_b"), F.lit(True).alias("moved"))
-    pure = lambda c, n: (c["n"] == n) & (c["chk"] == _check(c["key"]))
-    keys = lambda rows, n: F.array_distinct(F.transform(F.filter(rows, lambda c: pure(c, n)), lambda c: c["key"]))
 
-    def step(s: Column) -> Column:
-        def take(a: Column, b: Column) -> Column:
-            gone = F.concat(s["cells"], _entries(a, size, seed, -1), _entries(b, size, seed, 1))
-            return F.struct(
-                _merge(gone).alias("cells"), F.concat(s["only_a"], a).alias("only_a"), F.concat(s["only_b"], b).alias("only_b"), (F.size(a) + F.size(b) > 0).alias("moved"),
-            )
+def _place(digest: str, k: Column) -> Column:
+    """The cell of a digest in the k-th third, from a slice of one hash."""
+    third = F.expr("size div 3")
+    part = F.call_function("shiftrightunsigned", F.xxhash64(F.col(digest), F.col("seed")), (k * 21).cast("int"))
+    return k * third + F.pmod(part.bitwiseAND(F.lit((1 << 21) - 1)), third)
 
-        return _let(keys(s["cells"], 1), lambda a: _let(keys(s["cells"], -1), lambda b: take(a, b)))
 
-    rounds = F.sequence(F.lit(1), F.size(cells) + 1)  # each round but the last empties a cell
-    return F.aggregate(rounds, start, lambda s, _: F.when(s["moved"] & (F.size(s["cells"]) > 0), step(s)).otherwise(s))
+def peeled(pairs: DataFrame, keys: list[str], seed: int, listed: bool = False, rounds: int = ROUNDS) -> DataFrame:
+    """What peeling recovers of each pair (``keys``, size, a, b) of digest sets, sketched in ``size`` cells and subtracted.
 
-
-def differing(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    """(only_a, only_b, tries): the digests that differ between two documents.
-
-    The fingerprints' own cells are tried first; where they don't peel, sketches of
-    ``GROWTH`` times as many cells are made of the digests, and so on. After ``RETRIES``
-    sizes, each with hashes of its own, the digests are compared directly.
+    Rows (keys, cell, rec, n): cells that are left have a cell of 0 or more, recovered digests
+    the cell -1 (only in ``a``) or -2 (only in ``b``), with their number in n, or each with its
+    digest in ``rec`` if they are ``listed``. A round takes all cells of one third that hold a single
+    digest, by count and check value, and takes these digests out of the other two thirds.
+    All rounds group by the same keys, so they run without a shuffle where ``pairs`` is
+    partitioned by some of them, and a task holds the cells of its own pairs only.
     """
-    small = peel(subtract(cells_a, cells_b), F.lit(CELLS), F.lit(0))
-    none = F.array().cast("array<bigint>")
-    state = lambda p, tries: F.struct(p["only_a"].alias("only_a"), p["only_b"].alias("only_b"), (F.size(p["cells"]) == 0).alias("done"), tries.alias("tries"))
-
-    def retry(s: Column, i: Column) -> Column:
-        size = (F.lit(CELLS) * F.pow(F.lit(GROWTH), F.least(i, F.lit(8)))).cast("int")
-        again = lambda m: _let(peel(_merge(F.concat(_entries(a, m, i), _entries(b, m, i, -1))), m, i), lambda p: state(p, i))
-        return _let(size, again)
-
-    tried = F.aggregate(
-        F.sequence(F.lit(1), F.lit(RETRIES)), _let(small, lambda p: state(p, F.lit(0))), lambda s, i: F.when(s["done"], s).otherwise(retry(s, i)),
-    )
-    direct = F.struct(F.array_except(a, b).alias("only_a"), F.array_except(b, a).alias("only_b"), F.lit(True).alias("done"), F.lit(-1).alias("tries"))
-    same = F.struct(none.alias("only_a"), none.alias("only_b"), F.lit(True).alias("done"), F.lit(0).alias("tries"))
-    return F.when(a == b, same).otherwise(_let(tried, lambda s: F.when(s["done"], s).otherwise(direct)))
-
-
-def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    """Share of the paragraphs of two documents that both have: 1 for equal sets, 0 for disjoint ones."""
-    diff = differing(a, b, cells_a, cells_b)
-    common = lambda d: (F.size(a) - F.size(d["only_a"])).cast("double")
-    return _let(diff, lambda d: F.when(F.size(a) + F.size(d["only_b"]) == 0, F.lit(1.0)).otherwise(common(d) / (F.size(a) + F.size(d["only_b"]))))
+    long = lambda x: F.lit(x).cast("bigint")
+    # The seed is a column, so that attempts with other seeds run the same compiled code.
+    digests = pairs.select(*keys, F.col("size").cast("bigint").alias("size"), F.lit(seed).cast("bigint").alias("seed"), F.size("a").alias("n_a"), F.posexplode(F.concat("a", "b")).alias("at", "d"))
+    signed = digests.select(*keys, "size", "seed", F.when(F.col("at") < F.col("n_a"), 1).otherwise(-1).cast("bigint").alias("n"), "d", F.explode(F.array(*[long(k) for k in range(3)])).alias("k"))
+    cells = _summed(signed.select(*keys, "size", "seed", _place("d", F.col("k")).alias("cell"), long(0).alias("rec"), "n", F.col("d").alias("key"), _check(F.col("d")).alias("chk")), keys)
+    entry = lambda cell, rec, n, key, chk: F.struct(cell.alias("cell"), rec.alias("rec"), n.alias("n"), key.alias("key"), chk.alias("chk"))
+    kept = entry(*[F.col(c) for c in ("cell", "rec", "n", "key", "chk")])
+    for i in range(rounds):
+        k = i % 3
+        pure = (F.expr("cell div (size div 3)") == k) & (F.col("cell") >= 0) & (F.abs("n") == 1) & (F.col("chk") == _check(F.col("key")))
+        gone = [entry(_place("key", long(j)), long(0), -F.col("n"), F.col("key"), F.col("chk")) for j in range(3) if j != k]
+        found = entry(F.when(F.col("n") == 1, long(-1)).otherwise(long(-2)), F.col("key") if listed else long(0), long(1), long(0), long(0))
+        cells = _summed(cells.select(*keys, "size", "seed", F.inline(F.when(pure, F.array(*gone, found)).otherwise(F.array(kept)))), keys)
+    return cells.select(*keys, "cell", "rec", "n")
+
+
+def _counted(pairs: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """keys, open (cells that are left), only_a, only_b of the pairs that differ at all."""
+    part = lambda c: F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0))
+    return peeled(pairs, keys, seed).groupBy(*keys).agg(F.count_if(F.col("cell") >= 0).alias("open"), part(-1).alias("only_a"), part(-2).alias("only_b"))
+
+
+def difference_sizes(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, only_a, only_b, tries of every pair (``keys``, size, a, b): how many digests only one side has. Stored.
+
+    Where a sketch of ``size`` cells doesn't peel, one of ``GROWTH`` times the cells with other
+    hashes is tried for those pairs, and so on; after ``RETRIES`` sizes the digests are compared.
+    """
+    done, waiting = None, pairs
+    for i in range(RETRIES):
+        tried = checkpointed(_counted(waiting, keys, i))
+        good = tried.filter("open = 0").select(*keys, "only_a", "only_b", F.lit(i).alias("tries"))
+        done = good if done is None else done.unionByName(good)
+        failed = tried.filter("open > 0").select(*keys)
+        if failed.isEmpty():
+            return done
+        # A shuffled copy of the few that failed.
+        waiting = checkpointed(pairs.join(failed, keys, "left_semi").withColumn("size", (F.col("size") * GROWTH ** (i + 1)).cast("bigint")))
+    apart = lambda x, y: F.size(F.array_except(x, y)).cast("bigint")
+    return done.unionByName(waiting.select(*keys, apart("a", "b").alias("only_a"), apart("b", "a").alias("only_b"), F.lit(-1).alias("tries")))
+
+
+def differing(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, side (``a`` or ``b``), digest: the digests that peeling recovers, of every pair (``keys``, size, a, b)."""
+    tries = checkpointed(difference_sizes(pairs, keys).select(*keys, "tries"))
+    out, side = None, F.when(F.col("cell") == -1, "a").otherwise("b").alias("side")
+    for i in [r["tries"] for r in tries.select("tries").distinct().collect()]:  # at most RETRIES + 1 values
+        own = pairs.join(tries.filter(F.col("tries") == i).select(*keys), keys)
+        if i < 0:
+            each = lambda x, y, n: F.transform(F.array_except(x, y), lambda d: F.struct(F.lit(n).alias("side"), d.alias("digest")))
+            found = own.select(*keys, F.inline(F.concat(each("a", "b", "a"), each("b", "a", "b"))))
+        else:
+            sized = own.withColumn("size", (F.col("size") * GROWTH**i).cast("bigint"))
+            found = peeled(sized, keys, i, listed=True).filter("cell < 0").select(*keys, side, F.col("rec").alias("digest"))
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else pairs.select(*keys, F.lit("").alias("side"), F.lit(0).cast("bigint").alias("digest"))
+
+
+def likeness(n_a: Column, only_a: Column, only_b: Column) -> Column:
+    """Share of the digests of two documents that both have: 1 for equal sets, 0 for disjoint ones."""
+    whole = n_a + only_b
+    return F.when(whole == 0, F.lit(1.0)).otherwise((n_a - only_a).cast("double") / whole)
 
 
 def fingerprint(digests: Column, cells: Column) -> Column:
@@ -182,36 +233,53 @@ def fingerprint(digests: Column, cells: Column) -> Column:
     return F.concat(F.size(digests).cast("string"), F.lit(":"), F.array_join(F.transform(cells, part), ""))
 
 
-def with_next(docs: DataFrame, per_bucket: int = 2048, segments: int = 64) -> DataFrame:
-    """doc_id, text, next_text: each document and the next one in descending order of ids.
+def with_next(docs: DataFrame, per_bucket: int = 2048, segments: int = 512) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) with next_text (and next_<name> of other columns): each document and the next one in descending order of ids.
+
+    ``part`` numbers the bucket of a row.
 
     After the last document comes the first. A null id counts as the smallest; equal ids
-    follow one another by text. The ids are cut into buckets of neighbours, evenly inside
-    ``segments`` quantiles; each bucket also gets the first document of the next one, so that
-    texts are dealt out once and no order spans more than a bucket.
+    follow one another by a hash of their text. The ids are cut into buckets of neighbours, evenly
+    inside ``segments`` quantiles; each bucket also gets the first document of the next one, so that
+    texts are dealt out once and no order spans more than a bucket. An id that fills whole quantiles,
+    and the null id, have their rows dealt to buckets by ranges of the hash.
     """
-    ids = docs.select("doc_id")
-    n, low, *cuts = ids.agg(
-        F.count(F.lit(1)), F.min("doc_id"), F.percentile_approx("doc_id", [i / segments for i in range(1, segments + 1)], 10_000),
-    ).select("*").first()
-    bounds = sorted({*(cuts[0] or []), low} - {None}) if cuts else []
-    if len(bounds) < 2:
-        bounds = [bounds[0] if bounds else 0, (bounds[0] if bounds else 0) + 1]
+    rest = [c for c in docs.columns if c != "doc_id"]
+    docs = docs.withColumn("tie", F.xxhash64("text"))
+    n, nulls, low, *cuts = docs.agg(
+        F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull()), F.min("doc_id"), F.percentile_approx("doc_id", [i / segments for i in range(1, segments + 1)], 10 * segments),
+    ).first()
+    bounds = sorted([c for c in [*(cuts[0] or []), low] if c is not None]) or [0]
     runs = n // (per_bucket * segments) + 1
-    edges = F.array(*[F.lit(int(b)).cast("bigint") for b in bounds[:-1]], F.lit(int(bounds[-1])).cast("bigint") + 1)
-    seg = F.greatest(F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))), F.lit(1))
-    seg = F.least(seg, F.lit(len(bounds) - 1))
-    lo, hi = edges[seg - 1], edges[seg]
-    within = F.greatest(F.least(F.floor((F.col("doc_id") - lo) * runs / (hi - lo)), F.lit(runs - 1)), F.lit(0))
-    bucket = F.coalesce((seg - 1).cast("bigint") * runs + within, F.lit(-1))
-    heads = ids.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("head_id"))
-    down = Window.partitionBy(F.lit(0)).orderBy("bucket")
-    back = F.coalesce(F.lead("bucket").over(down), F.min("bucket").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = checkpointed(heads.select("head_id", back.alias("bucket")))
-    own = docs.select("doc_id", "text", bucket.alias("bucket"), F.lit(0).alias("guard"))
-    guards = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head_id"))).select("doc_id", "text", "bucket", F.lit(1).alias("guard"))
-    order = Window.partitionBy("bucket").orderBy("guard", F.col("doc_id").desc_nulls_last(), "text")
-    return own.unionByName(guards).withColumn("next_text", F.lead("text").over(order)).filter("guard = 0").select("doc_id", "text", "next_text")
+    # Where one id is several quantiles, it has buckets of its own; an ascending number for each bound.
+    many = {b: bounds.count(b) for b in set(bounds) if bounds.count(b) > 2}
+    edges = sorted({*bounds, bounds[0] + 1, *many, *(b + 1 for b in many)})
+    array = F.array(*[F.lit(int(b)).cast("bigint") for b in edges])
+    share = max(1, n // segments)
+    split = F.create_map(*[x for b, k in many.items() for x in (F.lit(int(b)).cast("bigint"), F.lit(k * share // per_bucket + 1))]) if many else None
+    spot = F.greatest(F.size(F.filter(array, lambda e: e <= F.col("doc_id"))) - 1, F.lit(0))
+    lo, hi = array[spot], F.coalesce(F.get(array, spot + 1), F.lit(int(edges[-1]) + 1))
+    even = F.greatest(F.least(F.floor((F.col("doc_id") - lo).cast("double") * runs / (hi - lo).cast("double")), F.lit(runs - 1)), F.lit(0))
+    part = lambda k: F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * k)
+    parts = F.coalesce(F.element_at(split, F.col("doc_id")), F.lit(0)) if split is not None else F.lit(0)
+    # Inside an id the order goes up by hash while ids go down, so its parts count down.
+    within = F.when(parts > 0, parts - 1 - part(parts)).otherwise(even)
+    bucket = F.when(F.col("doc_id").isNotNull(), F.struct(spot.cast("bigint").alias("a"), within.cast("bigint").alias("b")))
+    of_null = F.struct(F.lit(-1).cast("bigint").alias("a"), (-part(F.lit(nulls // per_bucket + 1))).cast("bigint").alias("b"))
+    dealt = docs.withColumn("bucket", F.coalesce(bucket, of_null))
+    order = [F.col("doc_id").isNull(), F.col("doc_id").desc_nulls_last(), F.col("tie")]
+    down = F.struct(F.col("doc_id").isNull(), -F.coalesce(F.col("doc_id"), F.lit(0)).cast("decimal(20,0)"), F.col("tie"))
+    heads = dealt.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "tie"), down).alias("head"))
+    # Few rows, one for each bucket: the head of each bucket goes to the one before it, the first to the last.
+    turn = Window.partitionBy(F.lit(0)).orderBy(F.col("bucket").desc())
+    last = F.min("bucket").over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    moved = checkpointed(heads.select("head", F.coalesce(F.lag("bucket").over(turn), last).alias("to")))
+    own = dealt.withColumn("guard", F.lit(0))
+    met = docs.join(moved, F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("tie") == F.col("head.tie")))
+    guards = met.select("doc_id", *rest, "tie", F.col("to").alias("bucket"), F.lit(1).alias("guard"))
+    inside = Window.partitionBy("part").orderBy("guard", *order)
+    ahead = [F.lead(c).over(inside).alias(f"next_{c}") for c in rest]
+    return own.unionByName(guards).withColumn("part", F.xxhash64("bucket")).select("*", *ahead).filter("guard = 0").select("part", "doc_id", *rest, *[f"next_{c}" for c in rest])
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -228,15 +296,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null text is an empty one, which has one empty paragraph. A table of one row is its own
     next document. Repeated rows are documents of their own; an empty table stays empty.
     """
-    pairs = with_next(narrow(docs, id_col, text_col)).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    kinds = {"own": "text", "other": "edited", "next": "next_text"}
-    made = pairs.select(
-        "doc_id", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        *[paragraph_digests(F.col(c)).alias(k) for k, c in kinds.items()],
-    )
-    celled = made.select("*", *[sketch(F.col(k)).alias(f"{k}_cells") for k in kinds])
-    near = lambda k: likeness(F.col("own"), F.col(k), F.col("own_cells"), F.col(f"{k}_cells"))
+    rows = narrow(docs, id_col, text_col).withColumn("own", paragraph_digests(F.col("text")))
+    pairs = with_next(rows).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    made = bucketed(pairs.select(
+        "part", F.monotonically_increasing_id().alias("no"), "doc_id", F.char_length("text").cast("bigint").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", paragraph_digests(F.col("edited")).alias("other"), F.col("next_own").alias("next"),
+    ), ["part"], deal=False)
+    keys = ["part", "no", "kind"]
+    pair = lambda kind, c: F.struct(F.lit(kind).alias("kind"), first_size(F.col("own"), F.col(c)).alias("size"), F.col("own").alias("a"), F.col(c).alias("b"))
+    both = made.select("part", "no", F.inline(F.array(pair(0, "other"), pair(1, "next"))))
+    found = difference_sizes(both, keys)
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c))).alias(f"{c}_{kind}")
+    sizes = found.groupBy("part", "no").agg(*[of(kind, c) for kind in (0, 1) for c in ("only_a", "only_b")])
+    met = made.join(sizes, ["part", "no"], "left")
+    n, none = F.size("own"), F.lit(0).cast("bigint")
+    near = lambda kind: likeness(n, F.coalesce(f"only_a_{kind}", none), F.coalesce(f"only_b_{kind}", none))
+    celled = met.select("doc_id", "n_chars", "edited_sha256", "own", "other", sketch(F.col("own")).alias("own_cells"), sketch(F.col("other")).alias("other_cells"), near(0).alias("near_edited"), near(1).alias("near_next"))
     return celled.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own"), F.col("own_cells")).alias("fingerprint"),
-        fingerprint(F.col("other"), F.col("other_cells")).alias("edited_fingerprint"), near("other").alias("near_edited"), near("next").alias("near_next"),
+        fingerprint(F.col("other"), F.col("other_cells")).alias("edited_fingerprint"), "near_edited", "near_next",
     )

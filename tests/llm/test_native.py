@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from kgaudit.llm import exact_dedup, fingerprints, mixing
@@ -104,8 +105,42 @@ def test_schedule_interleaves(corpus):
         assert all(abs(part[k] - 20 * (k + 1)) <= 4 for k in range(3))
 
 
+def spark_hash(*parts):
+    """Spark's xxhash64 of strings; nulls leave the seed as it is."""
+    h = 42
+    for x in parts:
+        if x is not None:
+            h = xxhash.xxh64_intdigest(x.encode(), h)
+    return h
+
+
+def ends_word(c):
+    return (c.isascii() and 35 <= ord(c) < 127 and (ord(c) - 35) % 7 == 0) or (0xC0 <= ord(c) < 0x700 and (ord(c) - 0xC0) % 32 < 4)
+
+
+def pieces(text):
+    """Character by character: what a line, a fitting word or, in long pieces, a fitting run of three ends."""
+    out = [""]
+    for i, c in enumerate(text):
+        if c == "\n" or (c == " " and i and ends_word(text[i - 1])):
+            out.append("")
+        else:
+            out[-1] += c
+    cut = []
+    for piece in out:
+        cut.append("")
+        for i, c in enumerate(piece):
+            cut[-1] += c
+            run = [piece[k] if k >= 0 else None for k in (i - 2, i - 1, i)]
+            if len(piece) > 512 and i < len(piece) - 1 and spark_hash(*run) % 64 == 0:
+                cut.append("")
+    return cut
+
+
 def paragraphs(t):
-    return set(collections.Counter(t.split("\n")).items())
+    """Pieces and words of the opening, each with the number of its repeat."""
+    counts = collections.Counter(pieces(t)), collections.Counter(re.split("[ \n]", t[:64]))
+    return {(kind, x, k) for kind, c in enumerate(counts) for x, n in c.items() for k in range(n)}
 
 
 def jaccard(a, b):
@@ -129,22 +164,51 @@ def test_fingerprints(corpus, n):
     assert fingerprints.fingerprints(corpus([])).count() == 0
 
 
-def test_long_lines_keep_what_an_edit_leaves(spark, corpus):
-    """Documents of one line, with and without blanks, stay alike after an edit of their end."""
+def test_long_lines_and_repeats(spark, corpus):
+    """Documents of one line, with and without blanks, and of one repeated word, stay alike after an edit of their end."""
     rows = [(i, " ".join(f"w{(i * 7919 + k * k * 31) % 5003}" for k in range(400))) for i in range(4)]
-    rows += [(9, "".join(f"{k * k * 37 % 10007:x}" for k in range(2000)))]
-    got = fingerprints.fingerprints(corpus(rows)).collect()
-    assert all(r.near_edited > 0.2 and r.near_next < r.near_edited for r in got)
+    rows += [(9, "".join(f"{k * k * 37 % 10007:x}" for k in range(2000))), (10, "буква слово привет мир " * 60), (11, "same " * 2000), (12, "x" * 3000), (13, "a few words only")]
+    got = {r.doc_id: r for r in fingerprints.fingerprints(corpus(rows)).collect()}
+    assert all(r.near_edited > (0.05 if i == 11 else 0.3) and r.near_next < r.near_edited for i, r in got.items())
     texts = spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", fingerprints.paragraphs(F.col("t")).alias("p")).collect()
-    assert all((" " if " " in r.t else "").join(r.p) == r.t and len(r.p) > 8 for r in texts)
+    assert all(r.p == pieces(r.t) for r in texts)
+    order = sorted(rows, reverse=True)
+    for k, (i, own) in enumerate(order):
+        other, half = order[(k + 1) % len(order)][1], len(own) // 2
+        after = own[: len(own) - half] + other[:half]
+        assert got[i].near_edited == pytest.approx(jaccard(paragraphs(own), paragraphs(after)))
+        assert got[i].near_next == pytest.approx(jaccard(paragraphs(own), paragraphs(other)))
+
+
+def test_hot_ids(corpus):
+    """One id in a third of all rows, a third of null ids, repeated rows: each row has a next one, and the order is a circle."""
+    rows = [(7, f"hot {i}") for i in range(60)] + [(None, f"none {i}") for i in range(50)] + [(i * 1000, f"own {i}") for i in range(50)] + [(3, "twice")] * 2
+    got = fingerprints.with_next(corpus(rows).select("doc_id", "text"), per_bucket=4, segments=8).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(rows)
+    assert collections.Counter(r.next_text for r in got) == collections.Counter(t for _, t in rows)
+    ids = {t: i for i, t in rows}
+    rank = lambda i: (i is None, -(i or 0))
+    down = sum(rank(ids[r.next_text]) < rank(r.doc_id) for r in got)
+    assert down == 1
 
 
 def test_peeling_recovers_digests(spark):
-    """Few differences peel from the fingerprints; many need larger sketches."""
-    pairs = [([*range(50)], [*range(4, 50), 99]), ([*range(400)], [*range(200, 900)]), ([], [1]), ([3], [3])]
-    df = spark.createDataFrame(pairs, "a array<bigint>, b array<bigint>")
-    df = df.withColumns({"cells_a": fingerprints.sketch(F.col("a")), "cells_b": fingerprints.sketch(F.col("b"))})
-    d = fingerprints.differing(*[F.col(c) for c in ("a", "b", "cells_a", "cells_b")])
-    for r in df.select("a", "b", d.alias("d")).collect():
-        assert (set(r.d.only_a), set(r.d.only_b)) == (set(r.a) - set(r.b), set(r.b) - set(r.a))
-        assert (r.d.tries == 0) == (len(set(r.a) ^ set(r.b)) < 20)
+    """Few differences, many, none; a bad first guess needs larger sketches, and a hopeless one a plain comparison."""
+    sets = [([*range(50)], [*range(4, 50), 99]), ([*range(400)], [*range(200, 900)]), ([], [1]), ([3], [3]), ([*range(1000)], [*range(1000, 1100)]), ([], [])]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(sets)], "no bigint, a array<bigint>, b array<bigint>")
+    want = {(i, "a", x) for i, (a, b) in enumerate(sets) for x in {*a} - {*b}} | {(i, "b", x) for i, (a, b) in enumerate(sets) for x in {*b} - {*a}}
+    for size in (fingerprints.first_size(F.col("a"), F.col("b")), F.lit(36)):
+        pairs = df.withColumn("size", size)
+        assert {tuple(r) for r in fingerprints.differing(pairs, ["no"]).collect()} == want
+        found = {r.no: r for r in fingerprints.difference_sizes(pairs, ["no"]).collect()}
+        for i, (a, b) in enumerate(sets):
+            n = (len({*a} - {*b}), len({*b} - {*a}))
+            assert n == ((found[i].only_a, found[i].only_b) if i in found else (0, 0))
+    assert any(r.tries > 0 for r in found.values())
+
+
+def test_peeling_falls_back(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RETRIES", 2)
+    pairs = spark.createDataFrame([(1, [*range(3000)], [7])], "no bigint, a array<bigint>, b array<bigint>").withColumn("size", F.lit(36))
+    assert [tuple(r) for r in fingerprints.difference_sizes(pairs, ["no"]).collect()] == [(1, 2999, 0, -1)]
+    assert fingerprints.differing(pairs, ["no"]).count() == 2999
