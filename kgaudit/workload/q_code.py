@@ -387,8 +387,11 @@ def udf_1(t):
 @query("udf_2", "SELECT path, len(regexp_extract_all(html, '<article\\b[^>]*>')) + len(regexp_extract_all(html, '<nav\\b[^>]*>')) >= 0 AS scanned FROM (SELECT url AS path, html FROM pages)")
 def udf_2(t):
     ch.register_udtf(t.spark)
-    blocks = t.spark.sql("SELECT p.url AS path, b.start FROM {pages} p LEFT JOIN LATERAL code_blocks(p.html, 'html') b", pages=t.pages)
-    return blocks.groupBy("path").agg((F.count("start") >= 0).alias("scanned"))
+    # One row per page: pages may share a url, have no block or no text.
+    blocks = t.spark.sql("SELECT p.page_id, b.start FROM {pages} p JOIN LATERAL code_blocks(p.html, 'html') b", pages=t.pages)
+    found = blocks.groupBy("page_id").agg(F.count("start").alias("n"))
+    scanned = F.when(F.col("html").isNotNull(), F.coalesce("n", F.lit(0)) >= 0)
+    return t.pages.join(found, "page_id", "left").select(F.col("url").alias("path"), scanned.alias("scanned"))
 
 
 @query("udf_3", "SELECT p_partkey, round(1 - levenshtein(p_name, lower(p_type)) / greatest(len(p_name), len(p_type), 1), 6) AS ratio FROM part")
