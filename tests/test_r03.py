@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from kgaudit.operators import graph
+from kgaudit.operators import coverage, diff, graph
 from kgaudit.sources import graph as g
 from kgaudit.workload import q_code
 
@@ -45,8 +45,23 @@ def test_snippets_and_fields_of_an_entity_do_not_meet(spark):
     assert max(row_counts(found)) < n * n
 
 
-def row_counts(df):
-    """Output rows of every step of the executed plan."""
+def test_gaps_and_extra_callees_are_not_shuffled_as_pairs(spark):
+    """200 flows (snippets) know a function with 200 callees: 40,000 pairs, of which no exchange has to move any."""
+    n = 200
+    edge = {"seq": "id", "caller": "'F'", "callee": "concat('G', id)", "caller_file": "''", "callee_file": "''", "caller_class": "''", "callee_class": "''", "extraction_method": "'neo4j'"}
+    a = spark.range(n).selectExpr("concat('f', id) AS flow_key", *[f"{e} AS {c}" for c, e in edge.items()])
+    stored = spark.range(n).selectExpr("id AS seq", "'a.pas::T::F' AS caller", "concat('b.pas::T::X.G', id) AS callee", "0.5D AS confidence")
+    gaps = diff.coverage_gaps(a, a.limit(0), stored)
+    assert len(gaps.collect()) == n * n - n
+    assert max(row_counts(gaps, "shuffleRecordsWritten")) < 3 * n
+    truth = spark.range(n).selectExpr("concat('s', id) AS snippet_key", "'f' AS caller_func", "concat('g', id) AS callee_func")
+    extra = coverage.extra_callees(truth, truth.select("snippet_key", "caller_func"), coverage.stored_calls(stored))
+    assert len(extra.collect()) == n * n - n
+    assert max(row_counts(extra, "shuffleRecordsWritten")) < 3 * n
+
+
+def row_counts(df, metric="numOutputRows"):
+    """A metric of every step of the executed plan that has it."""
     out, todo = [], [df._jdf.queryExecution().executedPlan()]
     while todo:
         step = todo.pop()
@@ -55,9 +70,9 @@ def row_counts(df):
             todo.append(step.executedPlan())
         if name.endswith("QueryStageExec"):
             todo.append(step.plan())
-        metric = step.metrics().get("numOutputRows")
-        if metric.isDefined():
-            out.append(metric.get().value())
+        found = step.metrics().get(metric)
+        if found.isDefined():
+            out.append(found.get().value())
         kids = step.children()
         todo += [kids.apply(i) for i in range(kids.size())]
     return out
