@@ -60,6 +60,16 @@ def test_gaps_and_extra_callees_are_not_shuffled_as_pairs(spark):
     assert max(row_counts(extra, "shuffleRecordsWritten")) < 3 * n
 
 
+def test_edges_are_shuffled_once(spark):
+    """All tiers are found inside the buckets of the stored keys."""
+    rows = [("f", i, f"T.c{i % 9}" if i % 2 else f"c{i % 9}", f"e{i % 7}", "x", "y", "", "", "regex" if i % 3 else "neo4j") for i in range(300)]
+    names = ["flow_key", "seq", "caller", "callee", "caller_file", "callee_file", "caller_class", "callee_class", "extraction_method"]
+    a, b = spark.createDataFrame(rows[:200], names), spark.createDataFrame(rows[100:], names)
+    found = diff.diff_edges(a, b)
+    assert found.count() > 0 and len(found.collect()) > 0
+    assert not row_counts(found, "shuffleRecordsWritten")
+
+
 def row_counts(df, metric="numOutputRows"):
     """A metric of every step of the executed plan that has it."""
     out, todo = [], [df._jdf.queryExecution().executedPlan()]
