@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kgaudit.functions import profiles as pf
 from kgaudit.functions import scalars as fx
 from kgaudit.functions.profiles import DEFAULT_PROFILES, Profile
+from kgaudit.session import checkpointed
 
 # Confidence of each extraction strategy.
 PAREN_CALL, KEYWORD_CALL, BARE_CALL, SUPPLEMENT, HANDLER, PROPOSED = 0.70, 0.80, 0.60, 0.55, 0.90, 0.85
@@ -155,20 +156,24 @@ def resolve_callees(calls: DataFrame, chunks: DataFrame) -> DataFrame:
     up at each of its own leads, so calls and candidates of a name are never paired.
     ``chunks`` has (chunk_id, path, function_name, seq).
     """
-    def leads(path: Column) -> Column:
-        parts = F.split(F.upper(fx.slashes(path)), "/")
-        return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("lead")))
+    def with_leads(df: DataFrame, path: str) -> DataFrame:
+        split = df.withColumn("_parts", F.split(F.upper(fx.slashes(path)), "/"))
+        lead = F.transform(F.sequence(F.lit(0), F.size("_parts")), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice("_parts", F.lit(1), n), "/").alias("lead")))
+        return split.select(*df.columns, F.inline(lead))
 
-    candidates = chunks.where("function_name <> '' AND function_name <> '<module>'").select(
-        F.upper("function_name").alias("_name"), "chunk_id", F.upper(fx.file_stem("path")).alias("_stem"), "seq", F.inline(leads(F.col("path"))))
+    # Every side grows with the code, so none may be collected for a broadcast, however well it is compressed.
+    wanted = calls.select(F.upper("callee").alias("_name"), "caller_file").distinct()
+    named = chunks.where("function_name <> '' AND function_name <> '<module>'").select(
+        F.upper("function_name").alias("_name"), "chunk_id", "path", F.upper(fx.file_stem("path")).alias("_stem"), "seq")
+    # Names that nobody calls go before paths are spread; stored, as two tables are made of the rest.
+    candidates = with_leads(checkpointed(named.join(wanted.select("_name").distinct().hint("merge"), "_name", "left_semi")), "path")
     pick = F.min_by("chunk_id", F.struct("seq", "chunk_id")).alias
     by_lead = candidates.groupBy("_name", "depth", "lead").agg(pick("_any"))
     by_stem = candidates.groupBy("_name", "depth", "lead", "_stem").agg(pick("_same"))
-    wanted = calls.select(F.upper("callee").alias("_name"), "caller_file").distinct()
-    probes = wanted.select("_name", "caller_file", F.upper(fx.file_stem("caller_file")).alias("_stem"), F.inline(leads(F.col("caller_file"))))
-    found = probes.join(by_lead, ["_name", "depth", "lead"]).join(by_stem, ["_name", "depth", "lead", "_stem"], "left")
+    probes = with_leads(wanted.withColumn("_stem", F.upper(fx.file_stem("caller_file"))), "caller_file")
+    found = probes.join(by_lead.hint("merge"), ["_name", "depth", "lead"]).join(by_stem.hint("merge"), ["_name", "depth", "lead", "_stem"], "left")
     best = found.groupBy("_name", "caller_file").agg(F.max_by(F.coalesce("_same", "_any"), "depth").alias("callee_chunk"))
-    return calls.withColumn("_name", F.upper("callee")).join(best, ["_name", "caller_file"]).select(*calls.columns, "callee_chunk")
+    return calls.withColumn("_name", F.upper("callee")).join(best.hint("merge"), ["_name", "caller_file"]).select(*calls.columns, "callee_chunk")
 
 
 def handler_edges(forms: DataFrame, chunks: DataFrame, distinct: bool = False) -> DataFrame:

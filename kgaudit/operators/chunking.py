@@ -20,6 +20,7 @@ from kgaudit.functions.profiles import DEFAULT_PROFILES, Profile, by_language, j
 from kgaudit.session import first_per
 
 DEFINITION = "array<struct<line:int,name:string,kind:string,owner:string>>"
+CHUNKS = "array<struct<function_name:string,class_name:string,line_start:int,line_end:int,content:string>>"
 FLAGS = re.MULTILINE | re.IGNORECASE
 BLOCK_SIZE = 2048  # fixed value
 
@@ -58,10 +59,14 @@ def _text_lines(content: Column | str) -> Column:
 
 
 def _trimmed_end(lines: Column, start: Column, end: Column) -> Column:
-    """Last line of ``start..end`` that is not blank, at least ``start``."""
+    """Last line of ``start..end`` that is not blank, at least ``start``.
+
+    The last two lines are looked at first, since most parts end there.
+    """
     part = F.slice(lines, start, F.greatest(end - start + 1, F.lit(0)))
     filled = F.array_position(F.reverse(F.transform(part, lambda x: fx.strip(x) != "")), True)
-    return F.when(filled == 0, start).otherwise(end - filled + 1).cast("int")
+    ends = lambda back: (end - back >= start) & (fx.strip(F.get(lines, end - back - 1)) != "")
+    return F.when(ends(0), end).when(ends(1), end - 1).when(filled == 0, start).otherwise(end - filled + 1).cast("int")
 
 
 def chunk_definitions(files: DataFrame, profiles: dict[str, Profile] = DEFAULT_PROFILES) -> DataFrame:
@@ -75,10 +80,13 @@ def chunk_definitions(files: DataFrame, profiles: dict[str, Profile] = DEFAULT_P
         keyword = F.when(F.col("language") == name, p.implementation_keyword.lower()).otherwise(keyword)
     stem = F.coalesce(F.nullif(fx.path_stem("path"), F.lit("")), F.lit("<module>"))
     parsed = files.where(fx.text("content") != "").select(
-        "path", "language", "content", _text_lines("content").alias("lines"), stem.alias("stem"), keyword.alias("keyword"),
-        find_definitions(profiles)(_text_lines("content"), F.col("language")).alias("found"))
-    impl = F.array_position(F.transform("lines", lambda x: F.lower(fx.strip(x))), F.col("keyword"))
-    kept = F.when((F.col("keyword") == "") | (impl == 0), F.col("found")).otherwise(F.filter("found", lambda d: (d["line"] > impl) | (d["owner"] != "")))
+        "path", "language", "content", _text_lines("content").alias("lines"), stem.alias("stem"), keyword.alias("keyword"))
+    parsed = parsed.withColumn("found", find_definitions(profiles)(F.col("lines"), F.col("language")))
+    # The lines are only searched for the keyword when the text has it at all.
+    sought = (F.col("keyword") != "") & F.contains(F.lower("content"), F.col("keyword"))
+    impl = F.when(sought, F.array_position(F.transform("lines", lambda x: F.lower(fx.strip(x))), F.col("keyword"))).otherwise(0)
+    parsed = parsed.withColumn("impl", impl)
+    kept = F.when(F.col("impl") == 0, F.col("found")).otherwise(F.filter("found", lambda d: (d["line"] > F.col("impl")) | (d["owner"] != "")))
     parsed = parsed.withColumn("defs", kept)
     # WIN-5: the class a definition belongs to is the last class seen so far.
     seen = F.aggregate(
@@ -91,20 +99,22 @@ def chunk_definitions(files: DataFrame, profiles: dict[str, Profile] = DEFAULT_P
     def text(start: Column, end: Column) -> Column:
         return F.array_join(F.slice(F.col("lines"), start, end - start + 1), "\n")
 
-    def body(d: Column, i: Column) -> Column:
+    def last_line(d: Column, i: Column) -> Column:
         # WIN-4: a chunk ends before the next definition, the last one at the end.
         following = F.get(F.col("defs"), i + 1)["line"] - 1
-        end = _trimmed_end(F.col("lines"), d["line"], F.greatest(F.coalesce(following, F.col("total")), d["line"]))
+        return _trimmed_end(F.col("lines"), d["line"], F.greatest(F.coalesce(following, F.col("total")), d["line"]))
+
+    def body(d: Column, i: Column) -> Column:
+        end = F.get(F.col("ends"), i)
         cls = F.when(d["owner"] != "", d["owner"]).when(d["kind"] == "function", F.element_at(F.col("classes"), i + 2)).otherwise("")
         return chunk(d["name"], cls, d["line"], end, text(d["line"], end))
 
     first = F.get("defs", F.lit(0))["line"]
-    head_end = _trimmed_end(F.col("lines"), F.lit(1), first - 1)
+    parsed = parsed.withColumns({"ends": F.transform("defs", last_line), "head_end": _trimmed_end(F.col("lines"), F.lit(1), first - 1)})
     head_filled = F.exists(F.slice(F.col("lines"), 1, F.greatest(first - 1, F.lit(0))), lambda x: fx.strip(x) != "")
-    head = F.when((first > 1) & head_filled, F.array(chunk(F.col("stem"), F.lit(""), F.lit(1), head_end, text(F.lit(1), head_end))))
+    head = F.when((first > 1) & head_filled, F.array(chunk(F.col("stem"), F.lit(""), F.lit(1), F.col("head_end"), text(F.lit(1), F.col("head_end"))))).otherwise(F.array().cast(CHUNKS))
     whole = F.array(chunk(F.col("stem"), F.lit(""), F.lit(1), F.col("total"), F.col("content")))
-    bodies = F.transform("defs", body)
-    chunks = F.when(F.size("defs") == 0, whole).when(head.isNull(), bodies).otherwise(F.concat(head, bodies))
+    chunks = F.when(F.size("defs") == 0, whole).otherwise(F.concat(head, F.transform("defs", body)))
     return parsed.select("path", "language", F.inline(chunks)).withColumn("chunk_id", fx.chunk_id("path", "class_name", "function_name"))
 
 
