@@ -63,32 +63,58 @@ def _keyword_names(profile: Profile) -> Column:
     return found
 
 
+def _name_lists(chunks: DataFrame, profiles: dict[str, Profile]) -> DataFrame:
+    """(chunk_id, _me, _paren, _keyword, _bare): the distinct names that a chunk may call, by strategy."""
+    none = F.array().cast("array<string>")
+    me = F.upper(fx.text("function_name"))
+    found = chunks.select("chunk_id", "language", "content", clean_code(profiles).alias("_clean"), me.alias("_me"))
+    found = found.select(
+        "chunk_id", "language", "_clean", "_me", _upper_all(F.col("_clean"), PAREN).alias("_p"),
+        pf.by_language(F.col("language"), profiles, _keyword_names, none).alias("_k"),
+        pf.by_language(F.col("language"), profiles, lambda p: F.array_except(identifiers(F.col("_clean"), p.bare_lookahead), F.array(*[F.lit(s.upper()) for s in p.skip_tokens])) if p.bare_identifiers else none, none).alias("_b"),
+    )
+
+    def without_self(names: str, counted: Column) -> Column:
+        """A chunk calls itself only when its name occurs again; most do not have it at all."""
+        alone = F.array_contains(names, F.col("_me")) & (times(counted, F.col("_me")) < 2)
+        return F.when(alone, F.array_remove(F.array_distinct(names), F.col("_me"))).otherwise(F.array_distinct(names))
+
+    # Whatever follows them counts: read again only in chunks that have their own name among the bare ones.
+    every = pf.by_language(F.col("language"), profiles, lambda p: identifiers(F.col("_clean")) if p.bare_identifiers else none, none)
+    bare = F.filter(without_self("_b", every), lambda x: F.length(x) >= SHORTEST_BARE_NAME)
+    return found.select("chunk_id", "_me", without_self("_p", F.col("_p")).alias("_paren"), F.array_distinct("_k").alias("_keyword"), bare.alias("_bare"))
+
+
 def mentioned_names(chunks: DataFrame, profiles: dict[str, Profile] = DEFAULT_PROFILES) -> DataFrame:
     """Distinct (chunk_id, strategy, name, is_self) that a chunk may call, before any join.
 
     Strategy 1 is a call with parentheses, 2 a call keyword, 3 a bare identifier.
     """
-    none = F.array().cast("array<string>")
-    me = F.upper(fx.text("function_name"))
-    prepared = chunks.withColumns({"_clean": clean_code(profiles), "_me": me})
-    prepared = prepared.withColumns({
-        "_paren": _upper_all(F.col("_clean"), PAREN),
-        "_keyword": pf.by_language(F.col("language"), profiles, _keyword_names, none),
-        "_all": pf.by_language(F.col("language"), profiles, lambda p: identifiers(F.col("_clean")) if p.bare_identifiers else none, none),
-        "_bare": pf.by_language(F.col("language"), profiles, lambda p: F.array_except(identifiers(F.col("_clean"), p.bare_lookahead), F.array(*[F.lit(s.upper()) for s in p.skip_tokens])) if p.bare_identifiers else none, none),
-    })
+    def tagged(strategy: int, names: str) -> Column:
+        return F.transform(names, lambda x: F.struct(F.lit(strategy).alias("strategy"), x.alias("name"), (x == F.col("_me")).alias("is_self")))
 
-    def without_self(names: str, counted: str) -> Column:
-        """A chunk calls itself only when its name occurs again."""
-        return F.when(times(F.col(counted), F.col("_me")) > 1, F.array_distinct(names)).otherwise(F.array_remove(F.array_distinct(names), F.col("_me")))
+    return _name_lists(chunks, profiles).select("chunk_id", F.inline(F.concat(tagged(1, "_paren"), tagged(2, "_keyword"), tagged(3, "_bare"))))
 
-    bare = F.filter(without_self("_bare", "_all"), lambda x: F.length(x) >= SHORTEST_BARE_NAME)
 
-    def tagged(strategy: int, names: Column) -> Column:
-        return F.transform(names, lambda x: F.struct(F.lit(strategy).alias("strategy"), x.alias("name"), (x == F.col("_me")).alias("is_self")))
+def known_mentions(chunks: DataFrame, known: DataFrame, profiles: dict[str, Profile] = DEFAULT_PROFILES) -> DataFrame:
+    """The known names of every chunk, once each: (chunk_id, name, strategy, bare).
+
+    ``strategy`` is the strongest one that counts. A form's name counts only after a call keyword,
+    or as the chunk's own name with parentheses, else it is null. ``bare`` tells whether the name also
+    stands alone. The strategies of a name meet inside the chunk's row, before any shuffle.
+    """
+    def rows(names: Column, plain: int, form: Column) -> Column:
+        return F.transform(names, lambda x: F.struct(x.alias("name"), F.lit(plain).alias("plain"), form(x).alias("form"), F.array_contains("_bare", x).alias("bare")))
 
-    found = F.concat(tagged(1, without_self("_paren", "_paren")), tagged(2, F.array_distinct("_keyword")), tagged(3, bare))
-    return prepared.select("chunk_id", F.inline(found))
+    none = F.lit(None).cast("int")
+    later = F.array_except("_keyword", "_paren")
+    found = F.concat(
+        rows(F.col("_paren"), 1, lambda x: F.when(x == F.col("_me"), 1).when(F.array_contains("_keyword", x), 2)),
+        rows(later, 2, lambda x: F.lit(2)),
+        rows(F.array_except(F.array_except("_bare", "_paren"), "_keyword"), 3, lambda x: none))
+    names = _name_lists(chunks, profiles).select("chunk_id", F.inline(found))
+    strategy = F.when(F.col("is_form"), F.col("form")).otherwise(F.col("plain"))
+    return names.join(known, "name").select("chunk_id", "name", strategy.alias("strategy"), (F.col("bare") & ~F.col("is_form")).alias("bare"))
 
 
 def known_names(chunks: DataFrame, forms: DataFrame | None = None) -> DataFrame:
@@ -104,18 +130,30 @@ def extract_calls(chunks: DataFrame, known: DataFrame, profiles: dict[str, Profi
 
     A form's name counts only after a call keyword, or as the chunk's own name.
     """
-    hits = mentioned_names(chunks, profiles).join(known, "name").where("NOT is_form OR strategy = 2 OR (strategy = 1 AND is_self)")
-    best = hits.groupBy("chunk_id", F.col("name").alias("callee")).agg(F.min("strategy").alias("strategy"))
+    return calls_of(known_mentions(chunks, known, profiles))
+
+
+def calls_of(mentions: DataFrame) -> DataFrame:
+    """TXT-6 from ``known_mentions``."""
+    best = mentions.where("strategy IS NOT NULL").groupBy("chunk_id", F.col("name").alias("callee")).agg(F.min("strategy").alias("strategy"))
     score = F.when(F.col("strategy") == 1, PAREN_CALL).when(F.col("strategy") == 2, KEYWORD_CALL).otherwise(BARE_CALL)
     return best.select("chunk_id", "callee", score.alias("confidence"))
 
 
 def contained_names(chunks: DataFrame, known: DataFrame, profiles: dict[str, Profile] = DEFAULT_PROFILES) -> DataFrame:
     """JOIN-15: known names that stand alone in a chunk's code."""
-    bare = mentioned_names(chunks, profiles).where("strategy = 3")
+    bare = _name_lists(chunks, profiles).select("chunk_id", F.explode("_bare").alias("name"))
     return bare.join(known.where("NOT is_form"), "name").select("chunk_id", F.col("name").alias("callee"))
 
 
+def supplemented_calls(mentions: DataFrame) -> DataFrame:
+    """TXT-8 for the calls with parentheses, from ``known_mentions``: whether a chunk calls a name
+    and whether it contains it is known in one row, so nothing is looked up."""
+    best = mentions.where("strategy = 1 OR bare").groupBy("chunk_id", F.col("name").alias("callee")).agg(F.min("strategy").alias("strategy"), F.count_if("bare").alias("n"))
+    calls = F.when(F.col("strategy") == 1, F.array(F.lit(PAREN_CALL))).otherwise(F.array_repeat(F.lit(SUPPLEMENT), F.col("n").cast("int")))
+    return best.select("chunk_id", "callee", F.explode(calls).alias("confidence"))
+
+
 def supplement_calls(calls: DataFrame, chunks: DataFrame, known: DataFrame, profiles: dict[str, Profile] = DEFAULT_PROFILES) -> DataFrame:
     """TXT-8: contained names that ``calls`` lacks, appended with low confidence."""
     have = calls.select("chunk_id", F.upper("callee").alias("callee")).distinct()

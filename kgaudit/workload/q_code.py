@@ -209,7 +209,7 @@ def txt_7(t):
    WHERE m.strategy = 3 AND m.name IN {KNOWN} AND NOT EXISTS (SELECT 1 FROM ck_extracted e WHERE e.confidence = 0.7 AND e.chunk_id = m.chunk_id AND e.callee = m.name)""")
 def txt_8(t):
     parts = chunk_table(t)
-    return ca.supplement_calls(extracted(t, parts).where("confidence = 0.7"), parts, known(t, parts))
+    return ca.supplemented_calls(ca.known_mentions(parts, known(t, parts)))
 
 
 @query("txt_9", r"""WITH c AS (SELECT chunk_id, upper(function_name) AS me, regexp_extract_all(upper(content), '(\w+)\s*\(', 1) AS p, regexp_extract_all(upper(content), '\w+') AS w FROM ck_chunks),

@@ -80,6 +80,20 @@ def test_names_nobody_calls_are_not_spread_over_leads(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_name_leaves_its_chunk_once(spark):
+    """A name that is called with parentheses and stands alone is one row; a form's counts only when called."""
+    text = "procedure F;\nbegin\n  G(1);\n  H;\n  call K;\n  PPP;\nend;"
+    chunks = spark.createDataFrame([("c", "a.pas", "pascal", "F", text)], "chunk_id STRING, path STRING, language STRING, function_name STRING, content STRING")
+    known = spark.createDataFrame([("G", False), ("HHH", False), ("K", True), ("PPP", True), ("CALL", False)], "name STRING, is_form BOOLEAN")
+    rows = sorted(map(tuple, calls.known_mentions(chunks, known).collect()), key=str)
+    assert rows == [("c", "CALL", 3, True), ("c", "G", 1, False), ("c", "K", 2, False), ("c", "PPP", None, False)]
+    long = chunks.withColumn("content", F.lit("procedure F;\n  GGG(1);\n  call KKK; HHH;"))
+    names = spark.createDataFrame([("GGG", False), ("KKK", True), ("HHH", False)], "name STRING, is_form BOOLEAN")
+    mentions = calls.known_mentions(long, names)
+    assert sorted(map(tuple, calls.calls_of(mentions).collect())) == [("c", "GGG", 0.7), ("c", "HHH", 0.6), ("c", "KKK", 0.8)]
+    assert sorted(map(tuple, calls.supplemented_calls(mentions).collect())) == [("c", "GGG", 0.7), ("c", "HHH", 0.55)]
+
+
 def row_counts(df, metric="numOutputRows"):
     """A metric of every step of the executed plan that has it."""
     out, todo = [], [df._jdf.queryExecution().executedPlan()]
