@@ -286,7 +286,7 @@ def join_13(t):
 def gra_14(t):
     parts = chunk_table(t)
     index = parts.select("function_name", F.col("path").alias("file_path"), "class_name", "line_start")
-    sites = gr.located_sites(ca.fresh_sites(parts), index)
+    sites = checkpointed(gr.located_sites(ca.fresh_sites(parts), index))
     starts = t.region.join(t.code_files, F.col("r_regionkey") == F.col("k")).selectExpr("concat('F', r_regionkey) AS flow_key", "concat('H', r_regionkey) AS start", "path AS start_file", "'' AS prefix")
     edges = gr.traverse(starts, sites)
     seeds = starts.select("flow_key", F.col("start").alias("node"), F.col("start_file").alias("path"), F.lit(0).alias("depth"))

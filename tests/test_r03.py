@@ -94,6 +94,20 @@ def test_a_name_leaves_its_chunk_once(spark):
     assert sorted(map(tuple, calls.supplemented_calls(mentions).collect())) == [("c", "GGG", 0.7), ("c", "HHH", 0.55)]
 
 
+def test_small_levels_are_followed_several_at_once(spark, monkeypatch):
+    """A chain of 40 calls with a short cut and a cycle, and 400 callers that nobody calls."""
+    calls_made, real = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: calls_made.append(1) or real(df))
+    chain = [(f"N{i}", f"N{i + 1}") for i in range(40)] + [("N3", "N20"), ("N40", "N1")] + [(f"X{i}", f"Y{i}") for i in range(400)]
+    sites = spark.createDataFrame([(a, "A.PAS", b, "a.pas", "a.pas", "", b, "", 1.0, 1) for a, b in chain], "caller_key STRING, caller_path STRING, callee_key STRING, callee_file STRING, caller_file STRING, caller_class STRING, callee STRING, callee_class STRING, confidence DOUBLE, seq INT")
+    starts = spark.createDataFrame([("f", "N0", "a.pas", "")], "flow_key STRING, start STRING, start_file STRING, prefix STRING")
+    depth = {(r.caller, r.callee): r.depth for r in graph.traverse(starts, sites).collect()}
+    at = lambda i: i if i < 20 else min(i, i - 16)
+    assert depth == {(a, b): at(int(a[1:])) + 1 for a, b in chain if a[0] == "N"}
+    assert len(calls_made) < 12
+    assert {r.callee for r in graph.traverse(starts, sites, 3).collect()} == {"N1", "N2", "N3"}
+
+
 def row_counts(df, metric="numOutputRows"):
     """A metric of every step of the executed plan that has it."""
     out, todo = [], [df._jdf.queryExecution().executedPlan()]
