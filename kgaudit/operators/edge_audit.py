@@ -29,6 +29,13 @@ def keyed_first(edges: DataFrame, order: list[str]) -> DataFrame:
     return first_per(named, EDGE_KEY, [F.col(c) for c in order])
 
 
+def common_keys(catalog: DataFrame, stored: DataFrame) -> DataFrame:
+    """SET-1: distinct edge keys of both sides. One grouping of the keys alone, so neither side is sent to the driver."""
+    sides = with_edge_key(catalog).where("caller <> '' AND callee <> ''").select(*EDGE_KEY, F.lit(1).alias("side")).unionByName(
+        with_edge_key(stored).where("caller <> '' AND callee <> ''").select(*EDGE_KEY, F.lit(2).alias("side")))
+    return sides.groupBy(*EDGE_KEY).agg(F.bit_or("side").alias("sides")).where("sides = 3").select(*EDGE_KEY)
+
+
 def class_by_function(code_index: DataFrame) -> DataFrame:
     """Class of a (function, file name); of several paths the greatest wins."""
     return code_index.groupBy(

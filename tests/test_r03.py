@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from kgaudit.operators import calls, coverage, diff, graph
+from kgaudit.operators import calls, coverage, diff, edge_audit, graph
 from kgaudit.sources import graph as g
 from kgaudit.workload import q_code
 
@@ -108,6 +108,31 @@ def test_small_levels_are_followed_several_at_once(spark, monkeypatch):
     assert {r.callee for r in graph.traverse(starts, sites, 3).collect()} == {"N1", "N2", "N3"}
 
 
+def test_common_keys_are_grouped_not_joined(spark):
+    names = "caller STRING, caller_file STRING, callee STRING, callee_file STRING"
+    catalog = spark.createDataFrame([("a", "x/u.pas", "b", ""), ("A", "u.pas", "B", None), ("a", "u.pas", "", ""), ("c", "", "d", "")], names)
+    stored = spark.createDataFrame([("A ", "U.PAS", "b", ""), ("a", "u.pas", "", ""), ("d", "", "c", "")], names)
+    found = edge_audit.common_keys(catalog, stored)
+    assert list(map(tuple, found.collect())) == [("A", "U.PAS", "B", "")]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_roots_of_one_class_are_dealt_to_several_tasks(spark):
+    """300 roots of a class of 100 members: every pair, and no task has most of them."""
+    index = spark.range(100).selectExpr("concat('M', id) AS function_name", "'a.pas' AS file_path", "'TC' AS class_name")
+    roots = spark.range(300).selectExpr("concat('f', id) AS flow_key", "concat('No', id) AS root_function", "'tc' AS root_class")
+    sites = spark.createDataFrame([], "caller STRING, caller_class STRING")
+    found = graph.resolve_roots(roots, index, sites).where("resolved_via = 'class_members'")
+    rows = found.groupBy("flow_key").agg(F.count("start").alias("n"), F.count_distinct("start").alias("d")).collect()
+    assert {(r.n, r.d) for r in rows} == {(100, 100)} and len(rows) == 300
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 30_000 and max(sizes) < 20_000
+
+
 def row_counts(df, metric="numOutputRows"):
     """A metric of every step of the executed plan that has it."""
     out, todo = [], [df._jdf.queryExecution().executedPlan()]
