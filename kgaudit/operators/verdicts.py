@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgaudit.functions import scalars as fx
@@ -89,10 +89,28 @@ SECTIONS = ["confirmed", "phantom", "missing", "gap"]
 def flow_report(verified: DataFrame, gaps: DataFrame, shown: dict[str, int] | None = None) -> DataFrame:
     """QR-31: the rows of every section of each flow; with ``shown``, so many of a section
     and how many more there are."""
-    rows = verified.select("flow_key", F.col("classification").alias("section"), "caller", "callee", "tier", "trust_score").unionByName(
+    rows = _sections(verified).unionByName(
         gaps.select("flow_key", F.lit("gap").alias("section"), "caller", "callee", F.lit("gap").alias("tier"), "trust_score"))
     parts = [head_with_more(rows.where(F.col("section") == s), ["flow_key", "section"], ["caller", "callee", "tier", F.desc("trust_score")], (shown or {}).get(s)) for s in SECTIONS]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def _sections(verified: DataFrame) -> DataFrame:
+    return verified.select("flow_key", F.col("classification").alias("section"), "caller", "callee", "tier", "trust_score")
+
+
+def flow_report_heads(verified: DataFrame, heads: DataFrame, shown: dict[str, int]) -> DataFrame:
+    """QR-31 with ``shown``, from ``diff.first_gaps`` instead of all gaps. The other sections are ranked in one pass."""
+    limit = F.lit(0)
+    for s in SECTIONS[:-1]:
+        limit = F.when(F.col("section") == s, shown[s]).otherwise(limit)
+    keys = ["flow_key", "section"]
+    head = head_with_more(_sections(verified), keys, ["caller", "callee", "tier", F.desc("trust_score")], max(shown.values()))
+    spare = max(shown.values()) - limit
+    total = F.when(F.col("more") > 0, F.col("more") + spare).otherwise(F.count(F.lit(1)).over(Window.partitionBy(*keys)) - limit)
+    edges = head.withColumn("more", F.greatest(total, F.lit(0)).cast("bigint")).where(F.col("position") <= limit)
+    gaps = heads.select("flow_key", F.lit("gap").alias("section"), "caller", "callee", F.lit("gap").alias("tier"), "trust_score", "position", F.greatest(F.col("gaps") - shown["gap"], F.lit(0)).alias("more"))
+    return edges.unionByName(gaps)

@@ -8,6 +8,7 @@ from kgaudit.operators import diff
 from kgaudit.operators import inventory as inv
 from kgaudit.operators import roadmap as rm
 from kgaudit.operators import verdicts as vd
+from kgaudit.session import checkpointed
 from kgaudit.workload.q_flow import sides
 from kgaudit.workload.registry import fixture, query
 
@@ -450,5 +451,6 @@ def agg_5(t):
    SELECT flow_key, section, caller, callee, tier, position, greatest(n - CASE WHEN section IN ('confirmed','gap') THEN 30 ELSE 20 END, 0) AS more FROM k WHERE position <= CASE WHEN section IN ('confirmed','gap') THEN 30 ELSE 20 END""")
 def qr_31(t):
     a, b = sides(t)
-    report = vd.flow_report(diff.diff_edges(a, b), diff.coverage_gaps(a, b, t.call_edges), {"confirmed": 30, "phantom": 20, "missing": 20, "gap": 30})
+    shown = {"confirmed": 30, "phantom": 20, "missing": 20, "gap": 30}
+    report = vd.flow_report_heads(checkpointed(diff.diff_edges(a, b)), diff.first_gaps(a, b, t.call_edges, shown["gap"]), shown)
     return report.select("flow_key", "section", "caller", "callee", "tier", "position", "more")

@@ -133,6 +133,23 @@ def test_roots_of_one_class_are_dealt_to_several_tasks(spark):
     assert sum(sizes) == 30_000 and max(sizes) < 20_000
 
 
+def test_first_gaps_are_those_of_all_gaps(spark):
+    """Ranked like all gaps; 100 flows that know a function of 100 callees make no 10,000 pairs."""
+    edge = {"seq": "id", "caller_file": "''", "callee_file": "''", "caller_class": "''", "callee_class": "''", "extraction_method": "'neo4j'"}
+    side = lambda caller, callee: spark.range(400).selectExpr("concat('f', id % 100) AS flow_key", f"{caller} AS caller", f"{callee} AS callee", *[f"{e} AS {c}" for c, e in edge.items()])
+    a, b = side("concat('F', id % 3)", "concat('G', id % 37)"), side("concat('T.F', id % 2)", "concat('G', id % 11)")
+    stored = spark.range(300).selectExpr("id AS seq", "concat('a.pas::T::', CASE WHEN id % 5 = 0 THEN 'T.' ELSE '' END, 'f', id % 3) AS caller", "concat('b.pas::T::X.G', floor(id / 3)) AS callee", "0.5D AS confidence")
+    every = diff.coverage_gaps(a, b, stored).toPandas().sort_values(["flow_key", "caller", "callee"])
+    for n in (1, 4, 150):
+        heads = diff.first_gaps(a, b, stored, n)
+        got = {(r.flow_key, r.position): (r.caller, r.callee, r.gaps) for r in heads.collect()}
+        want = {}
+        for flow, part in every.groupby("flow_key"):
+            want |= {(flow, i + 1): (r.caller, r.callee, len(part)) for i, r in enumerate(part.head(n).itertuples())}
+        assert got == want
+        assert n > 4 or max(row_counts(heads)) < len(every) / 4
+
+
 def row_counts(df, metric="numOutputRows"):
     """A metric of every step of the executed plan that has it."""
     out, todo = [], [df._jdf.queryExecution().executedPlan()]
