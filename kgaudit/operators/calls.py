@@ -286,10 +286,11 @@ def function_bodies(files: DataFrame, wanted: DataFrame, max_lines: int | None =
     whose braces never balance to ``unbalanced`` lines after the first.
     """
     named = wanted.where(fx.text("function_name") != "")
-    rows = named.join(files.select("path", F.split("content", r"\r?\n").alias("lines")), "path")
-    ext = fx.extension("path")
-    starts = F.filter(F.transform("lines", lambda line, i: F.when(defined_name(line, ext) == F.col("function_name"), i)), lambda i: i.isNotNull())
-    rows = rows.withColumns({"start": F.get(starts, F.lit(0)), "total": F.size("lines")}).where("start IS NOT NULL")
+    # Names are found once per wanted file, whatever number of its functions is wanted.
+    texts = files.join(named.select("path").distinct(), "path", "left_semi").select("path", F.split("content", r"\r?\n").alias("lines"), fx.extension("path").alias("ext"))
+    texts = texts.withColumn("names", F.transform("lines", lambda line: defined_name(line, F.col("ext"))))
+    ext = F.col("ext")
+    rows = named.join(texts, "path").withColumns({"start": F.coalesce(F.array_position("names", F.col("function_name")).cast("int"), F.lit(0)) - 1, "total": F.size("lines")}).where("start >= 0")
 
     def indent(line: Column) -> Column:
         return F.length(line) - F.length(F.ltrim(F.translate(line, "\t", " ")))
@@ -311,7 +312,8 @@ def function_bodies(files: DataFrame, wanted: DataFrame, max_lines: int | None =
         closed = (c == "}") & opened & (depth == 0) & (s["end"] < 0)
         return F.struct(depth.alias("depth"), (s["line"] + F.when(c == "\n", 1).otherwise(0)).alias("line"), opened.alias("open"), F.when(closed, s["line"]).otherwise(s["end"]).alias("end"))
 
-    closing = F.aggregate(marks, state, step)["end"]
+    rows = rows.withColumn("closing", F.when(ext != ".py", F.aggregate(marks, state, step)["end"]))
+    closing = F.col("closing")
     by_brace = F.when(closing >= 0, F.col("start") + closing).otherwise(F.col("total") - 1 if unbalanced is None else F.least(F.col("start") + unbalanced, F.col("total") - 1))
     rows = rows.withColumn("stop", F.when(ext == ".py", by_indent).otherwise(by_brace))
     body = F.slice("lines", F.col("start") + 1, F.col("stop") - F.col("start") + 1)

@@ -150,6 +150,16 @@ def test_first_gaps_are_those_of_all_gaps(spark):
         assert n > 4 or max(row_counts(heads)) < len(every) / 4
 
 
+def test_names_of_a_file_are_found_once(spark):
+    """The patterns stand once in the plan, below the join with the wanted functions."""
+    files = spark.createDataFrame([("a.py", "def f():\n  g()\n\ndef h(): pass"), ("b.go", "func f() {\n  g()\n}\nfunc h() { }")], "path STRING, content STRING")
+    wanted = spark.createDataFrame([(p, f) for p in ("a.py", "b.go", "c.py") for f in ("f", "h", "none")], "path STRING, function_name STRING")
+    found = calls.function_bodies(files, wanted)
+    assert sorted(map(tuple, found.drop("body").collect())) == [("a.py", "f", 1, 3), ("a.py", "h", 4, 4), ("b.go", "f", 1, 3), ("b.go", "h", 4, 4)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(calls.FINDERS[".go"]) == 1
+
+
 def row_counts(df, metric="numOutputRows"):
     """A metric of every step of the executed plan that has it."""
     out, todo = [], [df._jdf.queryExecution().executedPlan()]
