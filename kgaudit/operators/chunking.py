@@ -88,10 +88,14 @@ def chunk_definitions(files: DataFrame, profiles: dict[str, Profile] = DEFAULT_P
     parsed = parsed.withColumn("impl", impl)
     kept = F.when(F.col("impl") == 0, F.col("found")).otherwise(F.filter("found", lambda d: (d["line"] > F.col("impl")) | (d["owner"] != "")))
     parsed = parsed.withColumn("defs", kept)
-    # WIN-5: the class a definition belongs to is the last class seen so far.
-    seen = F.aggregate(
-        "defs", F.array(F.lit("")), lambda acc, d: F.array_append(acc, F.when(d["kind"] == "class", d["name"]).otherwise(F.element_at(acc, -1))))
-    parsed = parsed.withColumn("classes", seen).withColumn("total", F.size("lines"))
+    # WIN-5: the class a definition belongs to is the last class seen so far. Each class name is repeated up to the
+    # next class, so the work grows with the definitions; a list that is appended to is copied for each of them.
+    places = F.transform("defs", lambda d, i: F.struct(i.alias("at"), F.when(d["kind"] == "class", d["name"]).alias("name")))
+    marks = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("name"))), F.filter(places, lambda p: p["name"].isNotNull()))
+    parsed = parsed.withColumn("marks", marks)
+    until = lambda j: F.coalesce(F.get(F.col("marks"), j + 1)["at"], F.size("defs"))
+    seen = F.flatten(F.transform("marks", lambda m, j: F.array_repeat(m["name"], until(j) - m["at"])))
+    parsed = parsed.withColumns({"classes": seen, "total": F.size("lines")})
 
     def chunk(name: Column, cls: Column, start: Column, end: Column, content: Column) -> Column:
         return F.struct(name.alias("function_name"), cls.alias("class_name"), start.cast("int").alias("line_start"), end.cast("int").alias("line_end"), content.alias("content"))
@@ -106,7 +110,7 @@ def chunk_definitions(files: DataFrame, profiles: dict[str, Profile] = DEFAULT_P
 
     def body(d: Column, i: Column) -> Column:
         end = F.get(F.col("ends"), i)
-        cls = F.when(d["owner"] != "", d["owner"]).when(d["kind"] == "function", F.element_at(F.col("classes"), i + 2)).otherwise("")
+        cls = F.when(d["owner"] != "", d["owner"]).when(d["kind"] == "function", F.get(F.col("classes"), i)).otherwise("")
         return chunk(d["name"], cls, d["line"], end, text(d["line"], end))
 
     first = F.get("defs", F.lit(0))["line"]

@@ -334,7 +334,8 @@ def scanned_tree(t):
         text = F.translate(text, "\x01\x02", "{}")
         lines = rows.where(F.col("k") % len(ROUTINES) == n).select("k", F.posexplode(F.split(text, "\n")).alias("at", "line")).repartition(4, "k").sortWithinPartitions("k", "at")
         plain = {"extension": extension, "sep": "\x01", "quote": "", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-        lines.select("line").write.options(**plain).csv(f"{root}/app/{extension}")
+        # A larger tree has more files: none holds more than a thousand routines, cut between two of them.
+        lines.select("line").write.options(maxRecordsPerFile=1000 * (routine.count("\n") + 1), **plain).csv(f"{root}/app/{extension}")
     files = sf.scan_sources(t.spark, root)
     return index_code(files, shared_folder(t.spark, "index"))
 
