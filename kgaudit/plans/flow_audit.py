@@ -37,6 +37,6 @@ def audit_flows(nodes: DataFrame, rels: DataFrame, code_index: DataFrame, call_e
     explained = diff.explain_discrepancies(verified)
     return {
         "catalog_edges": a, "observed_edges": b, "verified_edges": verified, "flow_scores": diff.flow_scores(verified, a, b),
-        "order": diff.order_check(diff.call_order(a, b)), "gaps": diff.coverage_gaps(a, b, call_edges, roots),
+        "order": diff.order_kept(a, b), "gaps": diff.coverage_gaps(a, b, call_edges, roots),
         "unresolved": graph.unresolved_callees(traversed), "explained": explained, "causes": diff.flow_causes(explained, found),
     }
