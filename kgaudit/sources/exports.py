@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgaudit.functions import scalars as fx
-from kgaudit.session import checkpointed, ordinal
+from kgaudit.session import checkpointed
 
 
 def without_nulls(props: Column | str) -> Column:
@@ -42,29 +42,36 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def flow_result_records(scores: DataFrame, verified: DataFrame, edges: DataFrame, per_record: int = 1000) -> DataFrame:
+def flow_result_records(scores: DataFrame, verified: DataFrame, edges: DataFrame, per_record: int = 1000, per_task: int = 100_000) -> DataFrame:
     """SRC-32: nested JSON records per flow.
 
     A flow gives one header record and as many edge records as it needs, each with at
     most ``per_record`` entries, so no record grows with the data.
+
+    Entries are shuffled once, by flow and part. Parts of more than ``per_task`` entries are dealt to
+    several ``chunk`` numbers by a hash of the whole row; only these parts, at most one per ``per_task``
+    rows, are broadcast.
     """
     header = scores.select("flow_key", F.lit("summary").alias("part"), F.lit(0).cast("bigint").alias("chunk"), F.to_json(F.struct("*")).alias("json"))
-    graph_rows = edges.select(
-        "flow_key", F.concat(F.lit("graph_"), "side").alias("part"), F.struct("caller", "callee", "caller_file", "callee_file", "caller_class", "callee_class", "confidence", "extraction_method").alias("entry"))
-    verdict_rows = verified.select(
-        "flow_key", F.concat(F.col("classification"), F.lit("_edges")).alias("part"), F.struct("caller", "callee", "caller_file", "callee_file", "tier", "trust_score").alias("entry"))
-
-    def records(rows: DataFrame) -> DataFrame:
-        text = rows.select("flow_key", "part", F.to_json("entry").alias("entry"))
-        sizes = text.groupBy("flow_key", "part").agg(F.count(F.lit(1)).alias("_n"))
-        spread = text.join(sizes, ["flow_key", "part"]).withColumn(
-            "chunk", F.pmod(F.xxhash64("entry"), F.ceil(F.col("_n") / per_record)).cast("bigint"))
-        placed = ordinal(spread.withColumn("_seq", F.lit(0)), ["flow_key", "part", "chunk"], "_seq", ["entry"], "_pos")
+    graph_rows = edges.withColumn("part", F.concat(F.lit("graph_"), "side"))
+    verdict_rows = verified.withColumn("part", F.concat(F.col("classification"), F.lit("_edges")))
+
+    def records(rows: DataFrame, entry: list[str]) -> DataFrame:
+        key = ["flow_key", "part", "chunk"]
+        sizes = rows.groupBy("flow_key", "part").agg(F.count(F.lit(1)).alias("_n"))
+        large = sizes.where(F.col("_n") > per_task).select("flow_key", "part", F.ceil(F.col("_n") / per_task).alias("_deals"))
+        spread = rows.withColumn("_hash", F.xxhash64(*rows.columns)).join(large.hint("broadcast"), ["flow_key", "part"], "left")
+        chunk = F.pmod("_hash", F.coalesce("_deals", F.lit(1))).cast("bigint")
+        # As one text an entry takes less room in the shuffle than as columns.
+        text = spread.select("flow_key", "part", chunk.alias("chunk"), F.to_json(F.struct(*entry)).alias("_entry")).repartition(*key)
+        placed = text.withColumn("_pos", F.row_number().over(Window.partitionBy(*key).orderBy("_entry")))
         cut = placed.withColumn("sub", F.floor((F.col("_pos") - 1) / per_record))
-        return cut.groupBy("flow_key", "part", "chunk", "sub").agg(F.array_sort(F.collect_list("entry")).alias("_e")).select(
-            "flow_key", "part", "chunk", F.concat(F.lit("["), F.array_join("_e", ","), F.lit("]")).alias("json"))
+        return cut.groupBy(*key, "sub").agg(F.array_sort(F.collect_list("_entry")).alias("_e")).select(
+            *key, F.concat(F.lit("["), F.array_join("_e", ","), F.lit("]")).alias("json"))
 
-    return header.unionByName(records(graph_rows)).unionByName(records(verdict_rows))
+    graphs = records(graph_rows, ["caller", "callee", "caller_file", "callee_file", "caller_class", "callee_class", "confidence", "extraction_method"])
+    verdicts = records(verdict_rows, ["caller", "callee", "caller_file", "callee_file", "tier", "trust_score"])
+    return header.unionByName(graphs).unionByName(verdicts)
 
 
 def flatten_call_trees(documents: DataFrame, column: str, max_depth: int | None = None) -> DataFrame:

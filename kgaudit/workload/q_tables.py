@@ -389,9 +389,9 @@ def src_32(t):
     from kgaudit.operators import diff
 
     a, b = sides(t)
-    verified = diff.diff_edges(a, b)
+    verified, scores = diff.diff_flows(a, b)
     edges = a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
-    records = exports.flow_result_records(diff.flow_scores(verified, a, b), verified, edges)
+    records = exports.flow_result_records(scores, verified, edges)
     entry = "array<struct<caller:string,callee:string,caller_file:string,callee_file:string,tier:string,trust_score:double>>"
     read = F.when(F.col("part") == "summary", F.from_json(F.lit("[{}]"), entry)).otherwise(F.from_json("json", entry))
     return records.select("flow_key", "part", F.inline(read)).withColumn("score", F.round("trust_score", 6)).drop("trust_score")

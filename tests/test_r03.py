@@ -74,6 +74,17 @@ def test_edges_are_shuffled_once(spark):
     assert not row_counts(found, "shuffleRecordsWritten")
 
 
+def test_pairs_of_flows_are_counted_where_edges_are_stored(spark):
+    """The scores are those of the edges; nothing but sums per flow is shuffled for them."""
+    rows = [(f"f{i % 2}", i, f"T.c{i % 9}" if i % 4 else f"c{i % 9}", f"e{i % 41}", "x", "y", "", "", "regex" if i % 3 else "neo4j") for i in range(900)]
+    names = ["flow_key", "seq", "caller", "callee", "caller_file", "callee_file", "caller_class", "callee_class", "extraction_method"]
+    a, b = spark.createDataFrame(rows[:600], names), spark.createDataFrame(rows[300:], names)
+    verified, scores = diff.diff_flows(a, b)
+    got = scores.collect()
+    assert sorted(map(str, got)) == sorted(map(str, diff.flow_scores(diff.diff_edges(a, b), a, b).collect())) and len(got) == 2
+    assert max(row_counts(scores, "shuffleRecordsWritten")) < 50
+
+
 def test_large_inputs_are_not_dealt_out_again(spark, tmp_path):
     """A table read in many parts gives a stored table without a shuffle, a single file is dealt out."""
     from kgaudit.workload import load, registry
@@ -212,6 +223,26 @@ def test_a_larger_tree_has_more_files(spark):
     assert max(r.names for r in found) <= 2000 and sum(r.names for r in found) == 80_000
 
 
+def test_entries_of_records_are_shuffled_once(spark):
+    """Every entry moves once; a record has at most 50, copies too, and a large part is dealt to several tasks."""
+    from kgaudit.sources import exports
+
+    names = "caller, callee, 'x' AS caller_file, 'y' AS callee_file, '' AS caller_class, '' AS callee_class, 1.0D AS confidence, 'regex' AS extraction_method, 'a' AS side, id AS seq"
+    edges = spark.range(3000).selectExpr("IF(id < 2400, 'big', concat('f', id % 3)) AS flow_key", "'C' AS caller", "IF(id < 1200, 'same', concat('e', id)) AS callee", "id").selectExpr("flow_key", *names.split(", "))
+    verified = edges.selectExpr("flow_key", "caller", "callee", "caller_file", "callee_file", "'confirmed' AS classification", "'full' AS tier", "0.5D AS trust_score").distinct()
+    scores = edges.selectExpr("flow_key", "1 AS confirmed").distinct()
+    found = exports.flow_result_records(scores, verified, edges, per_record=50, per_task=500)
+    rows = found.where("part <> 'summary'").selectExpr("flow_key", "part", "chunk", "json_array_length(json) AS n").collect()
+    total = lambda part, flow: sum(r.n for r in rows if (r.part, r.flow_key) == (part, flow))
+    assert [total("graph_a", f) for f in ("big", "f0", "f2")] == [2400, 200, 200] and total("confirmed_edges", "big") == 1201
+    assert max(r.n for r in rows) <= 50 and len([r for r in rows if r.flow_key == "f1" and r.part == "graph_a"]) == 4
+    assert len({r.chunk for r in rows if r.flow_key == "big" and r.part == "graph_a"}) == 5
+    graphs = found.where("part = 'graph_a'")
+    graphs.collect()
+    # A shuffle and its stage both show the count.
+    assert [n for n in row_counts(graphs, "shuffleRecordsWritten") if n >= 3000] == [3000, 3000]
+
+
 def test_order_is_checked_without_positions(spark, monkeypatch):
     """Equal to the positions, also where every caller is cut into many slices; edges are shuffled once."""
     rng = random.Random(5)
