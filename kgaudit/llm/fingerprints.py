@@ -6,7 +6,7 @@ count, the exclusive or of the digests and the exclusive or of check values. Sub
 cells of two fingerprints leaves the paragraphs that differ, and peeling cells with a single
 digest recovers them.
 
-Cells are kept sparse: an array of (cell, n, key, chk), sorted by cell, without empty ones.
+Cells are rows (cell, n, key, chk), without empty ones.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ ROUNDS, GROWTH, RETRIES = 12, 2, 12
 LONG, CHARS = 512, 64
 _ASCII = "".join(rf"\x{c:02x}" for c in range(35, 127, 7))
 _BEYOND = "".join(rf"\x{{{c:x}}}-\x{{{c + 3:x}}}" for c in range(0xC0, 0x700, 32))
-ENDS = rf"[\n ](?<=\n|[{_ASCII}{_BEYOND}] )"
+# The many ranges are only tried on characters between the first and the last of them.
+ENDS = rf"[\n ](?:(?<=\n)|(?<=(?:[{_ASCII}]|(?=[\x{{c0}}-\x{{6ff}}])[{_BEYOND}]) ))"
 # Words of the first characters count as paragraphs of their own, so that short texts have several.
 OPENING = 64
-CELL = "array<struct<cell:int,n:int,key:bigint,chk:bigint>>"
 
 
 def _let(value: Column, body) -> Column:
@@ -55,10 +55,10 @@ def _run_length(rows: Column, starts: Column, j: Column) -> Column:
 
 
 def _cut(parts: Column, ends, glue: str) -> Column:
-    """Pieces of an array of strings, which end at the places where ``ends`` holds and at the end."""
+    """Pieces of an array of two or more strings, which end at the places where ``ends`` holds and at the end."""
 
     def pieces(parts: Column) -> Column:
-        last = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: ends(parts, i) | (i == F.size(parts) - 1))
+        last = F.concat(F.filter(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: ends(parts, i)), F.array(F.size(parts) - 1))
         start = lambda at, j: F.coalesce(F.get(at, j - 1), F.lit(-1)) + 1
         return _let(last, lambda at: F.transform(at, lambda e, j: F.array_join(F.slice(parts, start(at, j) + 1, e - start(at, j) + 1), glue)))
 
@@ -96,41 +96,6 @@ def _check(digest: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(digest, F.lit("check")), 32)
 
 
-def _merge(rows: Column) -> Column:
-    """Cells of several entries a cell: counts added, keys and checks combined by exclusive or."""
-
-    def fold(rows: Column, starts: Column) -> Column:
-        def cell(p: Column, j: Column) -> Column:
-            start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("chk"))
-            add = lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), a["key"].bitwiseXOR(x["key"]).alias("key"), a["chk"].bitwiseXOR(x["chk"]).alias("chk"))
-            total = F.aggregate(F.slice(rows, p + 1, _run_length(rows, starts, j)), start, add)
-            return _let(total, lambda t: F.struct(rows[p]["cell"].alias("cell"), t["n"].alias("n"), t["key"].alias("key"), t["chk"].alias("chk")))
-
-        return F.transform(starts, cell)
-
-    merged = _let(F.sort_array(rows), lambda rows: _let(_run_starts(rows, lambda x: x["cell"]), lambda starts: fold(rows, starts)))
-    return F.filter(merged, lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["chk"] != 0))
-
-
-def _entries(digests: Column, cells: Column, seed: Column, sign: int = 1) -> Column:
-    """The three entries of each digest: one in each third of the cells."""
-    third = F.floor(cells / 3).cast("int")
-
-    def entry(d: Column, h: Column, k: int) -> Column:
-        # Disjoint slices of one hash choose the cell of each third.
-        place = F.pmod(F.shiftrightunsigned(h, 21 * k).bitwiseAND(F.lit((1 << 21) - 1)), third)
-        return F.struct((place.cast("int") + third * k).alias("cell"), F.lit(sign).alias("n"), d.alias("key"), _check(d).alias("chk"))
-
-    spread = lambda d: _let(F.xxhash64(d, seed), lambda h: F.array(*[entry(d, h, k) for k in range(3)]))
-    return F.flatten(F.transform(digests, spread)).cast(CELL)
-
-
-def sketch(digests: Column, cells: Column | int = CELLS, seed: Column | int = 0) -> Column:
-    """Cells of a set of digests."""
-    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return _merge(_entries(digests, as_col(cells), as_col(seed)))
-
-
 def first_size(a: Column, b: Column) -> Column:
     """Cells for the digests that two documents should differ by, judged from the ``LEAST`` smallest of each."""
     least = lambda x: F.slice(x, 1, LEAST)
@@ -142,47 +107,59 @@ def first_size(a: Column, b: Column) -> Column:
 
 def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Cells of several entries: counts added, keys and checks combined by exclusive or; empty cells go."""
-    total = rows.groupBy(*keys, "size", "seed", "cell", "rec").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk"))
+    total = rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk"))
     return total.filter("n <> 0 OR key <> 0 OR chk <> 0")
 
 
-def _place(digest: str, k: Column) -> Column:
-    """The cell of a digest in the k-th third, from a slice of one hash."""
-    third = F.expr("size div 3")
-    part = F.call_function("shiftrightunsigned", F.xxhash64(F.col(digest), F.col("seed")), (k * 21).cast("int"))
+def _place(digest: str, k: Column, size: Column, seed: Column) -> Column:
+    """The cell of a digest in the k-th third of ``size`` cells, from a slice of one hash."""
+    third = F.call_function("div", size, F.lit(3))
+    part = F.call_function("shiftrightunsigned", F.xxhash64(F.col(digest), seed), (k * 21).cast("int"))
     return k * third + F.pmod(part.bitwiseAND(F.lit((1 << 21) - 1)), third)
 
 
-def peeled(pairs: DataFrame, keys: list[str], seed: int, listed: bool = False, rounds: int = ROUNDS) -> DataFrame:
+def peeled(pairs: DataFrame, keys: list[str], listed: bool = False, rounds: int = ROUNDS) -> DataFrame:
     """What peeling recovers of each pair (``keys``, size, a, b) of digest sets, sketched in ``size`` cells and subtracted.
 
     Rows (keys, cell, rec, n): cells that are left have a cell of 0 or more, recovered digests
     the cell -1 (only in ``a``) or -2 (only in ``b``), with their number in n, or each with its
     digest in ``rec`` if they are ``listed``. A round takes all cells of one third that hold a single
     digest, by count and check value, and takes these digests out of the other two thirds.
+    The size is also the seed of the hashes, so another size has other ones.
     All rounds group by the same keys, so they run without a shuffle where ``pairs`` is
     partitioned by some of them, and a task holds the cells of its own pairs only.
     """
     long = lambda x: F.lit(x).cast("bigint")
-    # The seed is a column, so that attempts with other seeds run the same compiled code.
-    digests = pairs.select(*keys, F.col("size").cast("bigint").alias("size"), F.lit(seed).cast("bigint").alias("seed"), F.size("a").alias("n_a"), F.posexplode(F.concat("a", "b")).alias("at", "d"))
-    signed = digests.select(*keys, "size", "seed", F.when(F.col("at") < F.col("n_a"), 1).otherwise(-1).cast("bigint").alias("n"), "d", F.explode(F.array(*[long(k) for k in range(3)])).alias("k"))
-    cells = _summed(signed.select(*keys, "size", "seed", _place("d", F.col("k")).alias("cell"), long(0).alias("rec"), "n", F.col("d").alias("key"), _check(F.col("d")).alias("chk")), keys)
-    entry = lambda cell, rec, n, key, chk: F.struct(cell.alias("cell"), rec.alias("rec"), n.alias("n"), key.alias("key"), chk.alias("chk"))
-    kept = entry(*[F.col(c) for c in ("cell", "rec", "n", "key", "chk")])
+    place = lambda digest, k: _place(digest, k, F.col("size"), F.col("size"))
+    digests = pairs.select(*keys, F.col("size").cast("bigint").alias("size"), F.size("a").alias("n_a"), F.posexplode(F.concat("a", "b")).alias("at", "d"))
+    signed = digests.select(*keys, "size", F.when(F.col("at") < F.col("n_a"), 1).otherwise(-1).cast("bigint").alias("n"), "d", F.explode(F.array(*[long(k) for k in range(3)])).alias("k"))
+    # Recovered digests tell rows apart only if they are listed.
+    fields = ["cell", *(["rec"] if listed else []), "n", "key", "chk"]
+    by = [*keys, "size", *fields[:-3]]
+    cells = _summed(signed.select(*keys, "size", place("d", F.col("k")).alias("cell"), long(0).alias("rec"), "n", F.col("d").alias("key"), _check(F.col("d")).alias("chk")), by)
+    # A pure cell becomes entries against the two other thirds (0 and 1) and a recovered digest (2), another cell stays (3).
+    into = lambda *of: F.array(*[F.lit(x) for x in of])
     for i in range(rounds):
         k = i % 3
         pure = (F.expr("cell div (size div 3)") == k) & (F.col("cell") >= 0) & (F.abs("n") == 1) & (F.col("chk") == _check(F.col("key")))
-        gone = [entry(_place("key", long(j)), long(0), -F.col("n"), F.col("key"), F.col("chk")) for j in range(3) if j != k]
-        found = entry(F.when(F.col("n") == 1, long(-1)).otherwise(long(-2)), F.col("key") if listed else long(0), long(1), long(0), long(0))
-        cells = _summed(cells.select(*keys, "size", "seed", F.inline(F.when(pure, F.array(*gone, found)).otherwise(F.array(kept)))), keys)
-    return cells.select(*keys, "cell", "rec", "n")
-
-
-def _counted(pairs: DataFrame, keys: list[str], seed: int) -> DataFrame:
+        spread = cells.select("*", F.explode(F.when(pure, into(0, 1, 2)).otherwise(into(3))).alias("as"))
+        kept, found = F.col("as") == 3, F.col("as") == 2
+        other = F.when(F.col("as") == 0, long((k + 1) % 3)).otherwise(long((k + 2) % 3))
+        value = {
+            "cell": F.when(kept, F.col("cell")).when(found, F.when(F.col("n") == 1, long(-1)).otherwise(long(-2))).otherwise(place("key", other)),
+            "rec": F.when(kept, F.col("rec")).when(found, F.col("key")).otherwise(long(0)) if listed else None,
+            "n": F.when(kept, F.col("n")).when(found, long(1)).otherwise(-F.col("n")),
+            "key": F.when(found, long(0)).otherwise(F.col("key")),
+            "chk": F.when(found, long(0)).otherwise(F.col("chk")),
+        }
+        cells = _summed(spread.select(*keys, "size", *[value[c].alias(c) for c in fields]), by)
+    return cells.select(*keys, "cell", F.col("rec") if listed else long(0).alias("rec"), "n")
+
+
+def _counted(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, open (cells that are left), only_a, only_b of the pairs that differ at all."""
     part = lambda c: F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0))
-    return peeled(pairs, keys, seed).groupBy(*keys).agg(F.count_if(F.col("cell") >= 0).alias("open"), part(-1).alias("only_a"), part(-2).alias("only_b"))
+    return peeled(pairs, keys).groupBy(*keys).agg(F.count_if(F.col("cell") >= 0).alias("open"), part(-1).alias("only_a"), part(-2).alias("only_b"))
 
 
 def difference_sizes(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -193,7 +170,7 @@ def difference_sizes(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """
     done, waiting = None, pairs
     for i in range(RETRIES):
-        tried = checkpointed(_counted(waiting, keys, i))
+        tried = checkpointed(_counted(waiting, keys))
         good = tried.filter("open = 0").select(*keys, "only_a", "only_b", F.lit(i).alias("tries"))
         done = good if done is None else done.unionByName(good)
         failed = tried.filter("open > 0").select(*keys)
@@ -216,7 +193,7 @@ def differing(pairs: DataFrame, keys: list[str]) -> DataFrame:
             found = own.select(*keys, F.inline(F.concat(each("a", "b", "a"), each("b", "a", "b"))))
         else:
             sized = own.withColumn("size", (F.col("size") * GROWTH**i).cast("bigint"))
-            found = peeled(sized, keys, i, listed=True).filter("cell < 0").select(*keys, side, F.col("rec").alias("digest"))
+            found = peeled(sized, keys, listed=True).filter("cell < 0").select(*keys, side, F.col("rec").alias("digest"))
         out = found if out is None else out.unionByName(found)
     return out if out is not None else pairs.select(*keys, F.lit("").alias("side"), F.lit(0).cast("bigint").alias("digest"))
 
@@ -227,16 +204,27 @@ def likeness(n_a: Column, only_a: Column, only_b: Column) -> Column:
     return F.when(whole == 0, F.lit(1.0)).otherwise((n_a - only_a).cast("double") / whole)
 
 
-def fingerprint(digests: Column, cells: Column) -> Column:
-    """A fingerprint as text: the number of digests, then cell, count, key and check of each cell in hex."""
-    part = lambda c: F.concat(F.lpad(F.hex(c["cell"]), 2, "0"), F.lpad(F.hex(c["n"]), 8, "0"), F.lpad(F.hex(c["key"]), 16, "0"), F.lpad(F.hex(c["chk"]), 8, "0"))
-    return F.concat(F.size(digests).cast("string"), F.lit(":"), F.array_join(F.transform(cells, part), ""))
+def sketched(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, a_cells, b_cells of pairs (``keys``, a, b) of digest sets: sketches as bytes, with cell (1), count (4), key (8) and check (4) of each cell.
 
-
-def with_next(docs: DataFrame, per_bucket: int = 2048, segments: int = 512) -> DataFrame:
+    Cells are summed as rows, without a shuffle where ``pairs`` is partitioned by some of the keys.
+    """
+    digests = pairs.select(*keys, F.size("a").alias("n_a"), F.posexplode(F.concat("a", "b")).alias("at", "d"))
+    thirds = digests.select(*keys, F.when(F.col("at") < F.col("n_a"), 0).otherwise(CELLS).alias("first"), "d", F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(3)])).alias("k"))
+    place = F.col("first") + _place("d", F.col("k"), F.lit(CELLS), F.lit(0))
+    cells = _summed(thirds.select(*keys, place.alias("cell"), F.lit(1).alias("n"), F.col("d").alias("key"), _check(F.col("d")).alias("chk")), [*keys, "cell"])
+    text = F.concat(*[F.lpad(F.hex(c), width, "0") for c, width in ((F.col("cell") % CELLS, 2), (F.col("n"), 8), (F.col("key"), 16), (F.col("chk"), 8))])
+    # At most CELLS short texts of each side, which sort as their cells do.
+    joined = lambda side: F.unhex(F.array_join(F.sort_array(F.collect_list(F.when(side, F.col("text")))), ""))
+    in_a = F.col("cell") < CELLS
+    return cells.select(*keys, "cell", text.alias("text")).groupBy(*keys).agg(joined(in_a).alias("a_cells"), joined(~in_a).alias("b_cells"))
+
+
+def with_next(docs: DataFrame, per_bucket: int = 2048, segments: int = 512, made: dict[str, Column] | None = None) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) with next_text (and next_<name> of other columns): each document and the next one in descending order of ids.
 
-    ``part`` numbers the bucket of a row.
+    ``part`` numbers the bucket of a row. Columns that are ``made`` of the text come along as if
+    ``docs`` had them, but are computed once a row, after the texts are dealt out and the guards are picked.
 
     After the last document comes the first. A null id counts as the smallest; equal ids
     follow one another by a hash of their text. The ids are cut into buckets of neighbours, evenly
@@ -244,6 +232,7 @@ def with_next(docs: DataFrame, per_bucket: int = 2048, segments: int = 512) -> D
     texts are dealt out once and no order spans more than a bucket. An id that fills whole quantiles,
     and the null id, have their rows dealt to buckets by ranges of the hash.
     """
+    made = made or {}
     rest = [c for c in docs.columns if c != "doc_id"]
     docs = docs.withColumn("tie", F.xxhash64("text"))
     n, nulls, low, *cuts = docs.agg(
@@ -257,14 +246,19 @@ def with_next(docs: DataFrame, per_bucket: int = 2048, segments: int = 512) -> D
     array = F.array(*[F.lit(int(b)).cast("bigint") for b in edges])
     share = max(1, n // segments)
     split = F.create_map(*[x for b, k in many.items() for x in (F.lit(int(b)).cast("bigint"), F.lit(k * share // per_bucket + 1))]) if many else None
-    spot = F.greatest(F.size(F.filter(array, lambda e: e <= F.col("doc_id"))) - 1, F.lit(0))
-    lo, hi = array[spot], F.coalesce(F.get(array, spot + 1), F.lit(int(edges[-1]) + 1))
-    even = F.greatest(F.least(F.floor((F.col("doc_id") - lo).cast("double") * runs / (hi - lo).cast("double")), F.lit(runs - 1)), F.lit(0))
     part = lambda k: F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * k)
     parts = F.coalesce(F.element_at(split, F.col("doc_id")), F.lit(0)) if split is not None else F.lit(0)
-    # Inside an id the order goes up by hash while ids go down, so its parts count down.
-    within = F.when(parts > 0, parts - 1 - part(parts)).otherwise(even)
-    bucket = F.when(F.col("doc_id").isNotNull(), F.struct(spot.cast("bigint").alias("a"), within.cast("bigint").alias("b")))
+
+    def of_id(spot: Column) -> Column:
+        lo, hi = array[spot], F.coalesce(F.get(array, spot + 1), F.lit(int(edges[-1]) + 1))
+        even = F.greatest(F.least(F.floor((F.col("doc_id") - lo).cast("double") * runs / (hi - lo).cast("double")), F.lit(runs - 1)), F.lit(0))
+        # Inside an id the order goes up by hash while ids go down, so its parts count down.
+        within = F.when(parts > 0, parts - 1 - part(parts)).otherwise(even)
+        return F.struct(spot.cast("bigint").alias("a"), within.cast("bigint").alias("b"))
+
+    # All bounds are looked at once a row.
+    spot = F.greatest(F.size(F.filter(array, lambda e: e <= F.col("doc_id"))) - 1, F.lit(0))
+    bucket = F.when(F.col("doc_id").isNotNull(), _let(spot, of_id))
     of_null = F.struct(F.lit(-1).cast("bigint").alias("a"), (-part(F.lit(nulls // per_bucket + 1))).cast("bigint").alias("b"))
     dealt = docs.withColumn("bucket", F.coalesce(bucket, of_null))
     order = [F.col("doc_id").isNull(), F.col("doc_id").desc_nulls_last(), F.col("tie")]
@@ -278,8 +272,10 @@ def with_next(docs: DataFrame, per_bucket: int = 2048, segments: int = 512) -> D
     met = docs.join(moved, F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("tie") == F.col("head.tie")))
     guards = met.select("doc_id", *rest, "tie", F.col("to").alias("bucket"), F.lit(1).alias("guard"))
     inside = Window.partitionBy("part").orderBy("guard", *order)
-    ahead = [F.lead(c).over(inside).alias(f"next_{c}") for c in rest]
-    return own.unionByName(guards).withColumn("part", F.xxhash64("bucket")).select("*", *ahead).filter("guard = 0").select("part", "doc_id", *rest, *[f"next_{c}" for c in rest])
+    cols = [*rest, *made]
+    ahead = [F.lead(c).over(inside).alias(f"next_{c}") for c in cols]
+    rows = own.unionByName(guards).withColumn("part", F.xxhash64("bucket")).repartition("part").withColumns(made)
+    return rows.select("*", *ahead).filter("guard = 0").select("part", "doc_id", *cols, *[f"next_{c}" for c in cols])
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -296,23 +292,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null text is an empty one, which has one empty paragraph. A table of one row is its own
     next document. Repeated rows are documents of their own; an empty table stays empty.
     """
-    rows = narrow(docs, id_col, text_col).withColumn("own", paragraph_digests(F.col("text")))
-    pairs = with_next(rows).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    rows = with_next(narrow(docs, id_col, text_col), made={"own": paragraph_digests(F.col("text"))})
+    pairs = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    # A document's two pairs have the even and the odd number: with its edited text, with the next document.
     made = bucketed(pairs.select(
-        "part", F.monotonically_increasing_id().alias("no"), "doc_id", F.char_length("text").cast("bigint").alias("n_chars"),
+        "part", (F.monotonically_increasing_id() * 2).alias("no"), "doc_id", F.char_length("text").cast("bigint").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", paragraph_digests(F.col("edited")).alias("other"), F.col("next_own").alias("next"),
     ), ["part"], deal=False)
-    keys = ["part", "no", "kind"]
-    pair = lambda kind, c: F.struct(F.lit(kind).alias("kind"), first_size(F.col("own"), F.col(c)).alias("size"), F.col("own").alias("a"), F.col(c).alias("b"))
-    both = made.select("part", "no", F.inline(F.array(pair(0, "other"), pair(1, "next"))))
-    found = difference_sizes(both, keys)
-    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c))).alias(f"{c}_{kind}")
-    sizes = found.groupBy("part", "no").agg(*[of(kind, c) for kind in (0, 1) for c in ("only_a", "only_b")])
-    met = made.join(sizes, ["part", "no"], "left")
-    n, none = F.size("own"), F.lit(0).cast("bigint")
-    near = lambda kind: likeness(n, F.coalesce(f"only_a_{kind}", none), F.coalesce(f"only_b_{kind}", none))
-    celled = met.select("doc_id", "n_chars", "edited_sha256", "own", "other", sketch(F.col("own")).alias("own_cells"), sketch(F.col("other")).alias("other_cells"), near(0).alias("near_edited"), near(1).alias("near_next"))
-    return celled.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own"), F.col("own_cells")).alias("fingerprint"),
-        fingerprint(F.col("other"), F.col("other_cells")).alias("edited_fingerprint"), "near_edited", "near_next",
+    pair = lambda kind, c: F.struct((F.col("no") + kind).alias("no"), first_size(F.col("own"), F.col(c)).alias("size"), F.col("own").alias("a"), F.col(c).alias("b"))
+    both = made.select("part", F.inline(F.array(pair(0, "other"), pair(1, "next"))))
+    found = difference_sizes(both, ["part", "no"])
+    of = lambda kind, c: F.max(F.when(F.col("no") % 2 == kind, F.col(c))).alias(f"{c}_{kind}")
+    sizes = found.groupBy("part", (F.col("no") - F.col("no") % 2).alias("no")).agg(*[of(kind, c) for kind in (0, 1) for c in ("only_a", "only_b")])
+    cells = sketched(made.select("part", "no", F.col("own").alias("a"), F.col("other").alias("b")), ["part", "no"])
+    # The joins move sketches as bytes, and sizes in the place of digests.
+    lean = made.select("part", "no", "doc_id", "n_chars", "edited_sha256", F.size("own").alias("n_own"), F.size("other").alias("n_other"))
+    met = lean.join(sizes, ["part", "no"], "left").join(cells, ["part", "no"])
+    none = F.lit(0).cast("bigint")
+    near = lambda kind: likeness(F.col("n_own"), F.coalesce(f"only_a_{kind}", none), F.coalesce(f"only_b_{kind}", none))
+    # A fingerprint as text: the number of digests, then its cells in hex.
+    text = lambda n, cells: F.concat(F.col(n).cast("string"), F.lit(":"), F.hex(cells))
+    return met.select(
+        "doc_id", "n_chars", "edited_sha256", text("n_own", "a_cells").alias("fingerprint"), text("n_other", "b_cells").alias("edited_fingerprint"),
+        near(0).alias("near_edited"), near(1).alias("near_next"),
     )

@@ -1,6 +1,7 @@
 """Exact dedup, mixing and fingerprints against plain Python."""
 
 import collections
+import functools
 import hashlib
 import re
 
@@ -212,3 +213,45 @@ def test_peeling_falls_back(spark, monkeypatch):
     pairs = spark.createDataFrame([(1, [*range(3000)], [7])], "no bigint, a array<bigint>, b array<bigint>").withColumn("size", F.lit(36))
     assert [tuple(r) for r in fingerprints.difference_sizes(pairs, ["no"]).collect()] == [(1, 2999, 0, -1)]
     assert fingerprints.differing(pairs, ["no"]).count() == 2999
+
+
+def spark_hash_long(*parts):
+    """Spark's xxhash64 of longs (int: 8 bytes), ints (bytes: 4) and strings."""
+    h = 42
+    for x in parts:
+        raw = x.encode() if isinstance(x, str) else x if isinstance(x, bytes) else (x % 2**64).to_bytes(8, "little")
+        h = xxhash.xxh64_intdigest(raw, h)
+    return h
+
+
+def test_fingerprint_text(spark):
+    """Cells of both sides against a sum in plain Python."""
+    sets = [([*range(-30, 30)], [5, 2**62, -(2**63)]), ([7], [7]), ([1, 2, 3], [*range(500)])]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(sets)], "no bigint, a array<bigint>, b array<bigint>")
+    got = {r.no: r for r in fingerprints.sketched(df, ["no"]).collect()}
+    for i, pair in enumerate(sets):
+        for digests, cells in zip(pair, (got[i].a_cells, got[i].b_cells)):
+            want = {}
+            for d in digests:
+                place, check = spark_hash_long(d, (0).to_bytes(4, "little")), spark_hash_long(d, "check") >> 32
+                for k in range(3):
+                    cell = want.setdefault(12 * k + ((place >> 21 * k) % 2**21) % 12, [0, 0, 0])
+                    cell[:] = [cell[0] + 1, cell[1] ^ d % 2**64, cell[2] ^ check]
+            assert cells.hex().upper() == "".join(f"{c:02X}{n:08X}{key:016X}{check:08X}" for c, (n, key, check) in sorted(want.items()))
+
+
+def test_digests_are_made_once(spark, corpus, monkeypatch):
+    """A text and its edited text are digested once each, besides one guard a bucket."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        calls.add(1)
+        return text
+
+    digests, ahead = fingerprints.paragraph_digests, fingerprints.with_next
+    monkeypatch.setattr(fingerprints, "paragraph_digests", lambda text: digests(counted(text)))
+    monkeypatch.setattr(fingerprints, "with_next", functools.partial(ahead, per_bucket=50, segments=2))
+    rows = [(i, f"text {i}\nof {i % 7} lines") for i in range(200)]
+    assert len(fingerprints.fingerprints(corpus(rows)).collect()) == 200
+    assert 400 <= calls.value <= 420
