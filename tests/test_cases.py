@@ -281,6 +281,24 @@ def test_similar_topics_equal_brute_force(spark, threshold, monkeypatch):
     assert all(r.ratio == pytest.approx(1 - edit_distance(r.a, r.b) / max(len(r.a), len(r.b))) for r in got)
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.85])
+def test_edits_at_starts_and_ends_lose_no_pair(spark, threshold):
+    """Texts of 14 to 40 characters, some with 𝄞, with edits heaped at the start, the border of a margin, or the end."""
+    rng = random.Random(5)
+    names = set()
+    for _ in range(12):
+        base = [rng.choice("abcdefgh 0123𝄞") for _ in range(rng.randrange(14, 40))]
+        for at in (0, 7, 8, 15, 16, len(base) - 9, len(base) - 1):
+            s = list(base)
+            for _ in range(rng.randrange(1, 7)):
+                i = max(0, min(at + rng.randrange(-1, 2), len(s) - 1))
+                rng.choice([lambda: s.insert(i, rng.choice("xyz𝄞")), lambda: s.pop(i), lambda: s.__setitem__(i, rng.choice("xyz𝄞"))])()
+            names |= {"".join(base), "".join(s)}
+    want = {(a, b) for a, b in combinations(sorted(names), 2) if 1 - edit_distance(a, b) / max(len(a), len(b)) >= threshold}
+    got = text_joins.edit_pairs(spark.createDataFrame([(n,) for n in names], "t STRING"), threshold).collect()
+    assert {(r.a, r.b) for r in got} == want and len(want) > 50
+
+
 def test_few_candidates_among_topics_that_share_words(spark):
     """20,000 topics of a few common words and a number: under 1 % of all pairs are compared."""
     rng = random.Random(4)
