@@ -88,7 +88,7 @@ def gra_1_unresolved(t):
 
 @query("win_9", f"""WITH RECURSIVE {CK_VISIT} SELECT flow_key, caller, callee, seq, row_number() OVER (PARTITION BY flow_key, caller, caller_file ORDER BY seq, callee) AS execution_order FROM e WHERE resolved""")
 def win_9(t):
-    return gr.callee_order(gr.traverse(t.trav_starts, sites(t))).select("flow_key", "caller", "callee", "seq", "execution_order")
+    return gr.callee_order(gr.traverse(t.trav_starts, sites(t), ordered=True)).select("flow_key", "caller", "callee", "seq", "execution_order")
 
 
 @fixture
