@@ -452,6 +452,6 @@ def agg_5(t):
 def qr_31(t):
     a, b = sides(t)
     shown = {"confirmed": 30, "phantom": 20, "missing": 20, "gap": 30}
-    verified, gaps = diff.diff_and_first_gaps(a, b, t.call_edges, shown["gap"])
-    report = vd.flow_report_heads(checkpointed(verified), gaps, shown)
+    keys = diff.stored_keys(a, b)
+    report = vd.flow_report_heads(checkpointed(diff.diff_edges(a, b, keys)), diff.first_gaps(a, b, t.call_edges, shown["gap"], keys), shown)
     return report.select("flow_key", "section", "caller", "callee", "tier", "position", "more")
