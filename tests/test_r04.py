@@ -117,3 +117,12 @@ def test_fields_of_an_entity_are_written_small_and_by_several_tasks(spark, tmp_p
     members = few.selectExpr("concat('f', id % 7) AS flow_key", "concat('s', id) AS key")
     rows, size, largest = _written(g.flow_entities(nodes, rels, members), tmp_path / "r")
     assert rows == 1_500_000 and size < 0.2 * rows and largest < rows
+
+
+def test_members_of_a_class_are_written_small(spark, tmp_path):
+    """300 roots name a class of 5,000 members."""
+    roots = spark.range(300).selectExpr("concat('f', id) AS flow_key", "concat('none', id) AS root_function", "IF(id < 0, 'x', 'TC') AS root_class")
+    index = spark.range(5000).selectExpr("concat('m', id) AS function_name", "'a.pas' AS file_path", "IF(id < 0, 'x', 'TC') AS class_name")
+    none = spark.createDataFrame([], "caller STRING, caller_class STRING")
+    rows, size, largest = _written(graph.resolve_roots(roots, index, none), tmp_path / "r")
+    assert rows == 1_500_000 and size < 0.2 * rows and largest < rows
