@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from kgaudit import session
-from kgaudit.operators import diff, graph
+from kgaudit.operators import coverage, diff, graph
 from kgaudit.sources import graph as g
 from test_r03 import row_counts
 
@@ -126,3 +126,26 @@ def test_members_of_a_class_are_written_small(spark, tmp_path):
     none = spark.createDataFrame([], "caller STRING, caller_class STRING")
     rows, size, largest = _written(graph.resolve_roots(roots, index, none), tmp_path / "r")
     assert rows == 1_500_000 and size < 0.2 * rows and largest < rows
+
+
+def test_pairs_left_out_are_cut_from_the_lists(spark):
+    """All, some, none, the first and the last of a list; rows that come twice; a null is like no pair."""
+    pick = random.Random(11)
+    left = [(pick.choice([None, "f", "g", "h"]), pick.choice("abc")) for _ in range(40)]
+    right = [(k, i) for k in "ab" for i in range(9)]
+    out = {(o, k, i) for o, k in set(left) for i in range(9) if (k == "a" and o == "f") or (o, i) in (("g", 0), ("g", 8), ("h", 3), ("h", 4), (None, 5))}
+    want = sorted(str((o, k, i)) for o, k in left for k2, i in right if k == k2 and (o is None or (o, k, i) not in out))
+    made = [spark.createDataFrame(rows, names) for rows, names in ((left, "o STRING, k STRING"), (right, "k STRING, i INT"), (sorted(out, key=str), "o STRING, k STRING, i INT"))]
+    for size in (1, 2, 4, 504):
+        got = session.paired(made[0], made[1], ["k"], size=size, without=made[2], own="o", item="i").collect()
+        assert sorted(str(tuple(r)) for r in got) == want
+
+
+def test_extra_callees_are_written_small(spark, tmp_path):
+    """300 snippets of a function of 5,000 callees, of which each names one."""
+    stored = spark.range(5000).selectExpr("'F' AS caller", "IF(id % 9 = 0, concat('X.G', id), concat('G', id)) AS callee", "'' AS callee_class", "'' AS callee_file")
+    truth = spark.range(300).selectExpr("concat('s', id) AS snippet_key", "'f' AS caller_func", "concat('g', id * 3) AS callee_func")
+    found = coverage.extra_callees(truth, truth.select("snippet_key", "caller_func"), stored.withColumn("caller", F.expr("IF(callee = '', 'x', caller)")))
+    assert found.where("snippet_key = 's3'").count() == 4999 and found.where("snippet_key = 's3' AND callee = 'X.G9'").isEmpty()
+    rows, size, largest = _written(found, tmp_path / "r")
+    assert rows == 300 * 4999 and size < 0.4 * rows and largest < rows
